@@ -141,3 +141,224 @@ def q_non_null_points(spark, sf_dir):
                     F.when(F.col("event_type") != "error", F.col("ts")).alias("date"),
                     F.col("value").alias("time"))
     return series.non_null_points(pts)
+
+
+# ---------------------------------------------------------------- build states
+
+from benchtide.operators import builds, states  # noqa: E402
+
+# events.event_type -> build state for the state-fold queries (fixed mapping)
+FOLD_STATES = {
+    "signup": "UPDATING_SOURCE",
+    "view": "UPDATING_SOURCE_COMPLETE",
+    "click": "BUILDING",
+    "purchase": "BUILDING_COMPLETE",
+    "error": "UPDATING_SOURCE_FAILED",
+}
+# events.event_type -> build state for the classifier queries (one per class)
+CLASS_STATES = {
+    "signup": "REQUESTED",
+    "view": "UPDATING_SOURCE",
+    "click": "BUILDING_FAILED",
+    "purchase": "BENCHMARKING_COMPLETE",
+    "error": "BENCHMARKING",
+}
+REQUEST_TYPES = ["view", "click", "signup"]
+COMPLETION_TYPES = ["purchase", "error"]
+
+
+def _map_col(col: str, mapping: dict):
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.try_element_at(F.create_map(*pairs), F.col(col))
+
+
+def _case_sql(col: str, mapping: dict) -> str:
+    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {col} {arms} END"
+
+
+def state_events(spark, sf_dir, mapping=FOLD_STATES) -> DataFrame:
+    """events as build-state events keyed by user_id, ordered by (ts, event_id)."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("user_id", "event_id", "ts", "event_type",
+                     _map_col("event_type", mapping).alias("build_state"))
+
+
+@register("state_class", f"""
+SELECT event_id, {_case_sql('event_type', CLASS_STATES)} AS build_state,
+  CASE WHEN {_case_sql('event_type', CLASS_STATES)} IN ('UPDATING_SOURCE','UPDATING_SOURCE_COMPLETE','BUILDING','BUILDING_COMPLETE','BENCHMARKING') THEN 'UPDATE'
+       WHEN {_case_sql('event_type', CLASS_STATES)} = 'BENCHMARKING_COMPLETE' THEN 'SUCCESS'
+       WHEN {_case_sql('event_type', CLASS_STATES)} IN ('UPDATING_SOURCE_FAILED','BUILDING_FAILED','BENCHMARKING_FAILED') THEN 'FAILURE'
+       ELSE 'NONE' END AS state_class,
+  {_case_sql('event_type', CLASS_STATES)} IN ('UPDATING_SOURCE_FAILED','BUILDING_FAILED','BENCHMARKING_FAILED','BENCHMARKING_COMPLETE') AS is_final
+FROM events
+""")
+def q_state_class(spark, sf_dir):
+    """C-6 on events mapped to one state per class."""
+    ev = state_events(spark, sf_dir, CLASS_STATES)
+    return ev.select("event_id", "build_state",
+                     states.state_class("build_state").alias("state_class"),
+                     states.is_final("build_state").alias("is_final"))
+
+
+@register("prev_state", f"""
+SELECT event_id, {_case_sql('event_type', FOLD_STATES)} AS build_state,
+  CASE {_case_sql('event_type', FOLD_STATES)}
+    WHEN 'UPDATING_SOURCE' THEN 'REQUESTED' WHEN 'UPDATING_SOURCE_COMPLETE' THEN 'UPDATING_SOURCE'
+    WHEN 'BUILDING' THEN 'UPDATING_SOURCE_COMPLETE' WHEN 'BUILDING_COMPLETE' THEN 'BUILDING'
+    WHEN 'UPDATING_SOURCE_FAILED' THEN 'UPDATING_SOURCE' END AS prev_state
+FROM events
+""")
+def q_prev_state(spark, sf_dir):
+    """C-7 on events mapped to build states."""
+    ev = state_events(spark, sf_dir)
+    return ev.select("event_id", "build_state", states.prev_state("build_state").alias("prev_state"))
+
+
+@register("latest_per_key", """
+SELECT user_id, event_id, ts, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rn FROM events)
+WHERE rn = 1
+""")
+def q_latest_per_key(spark, sf_dir):
+    """D-5: newest event per user (earlier-arrived wins a tie)."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return builds.latest_per_key(ev, ["user_id"], "ts", "event_id").select(
+        "user_id", "event_id", "ts", "event_type")
+
+
+_FOLD_SQL = f"""
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, ts, {_case_sql('event_type', FOLD_STATES)} AS s,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+ev2 AS (
+  SELECT *, CASE s WHEN 'UPDATING_SOURCE' THEN 'REQUESTED' WHEN 'UPDATING_SOURCE_COMPLETE' THEN 'UPDATING_SOURCE'
+                   WHEN 'BUILDING' THEN 'UPDATING_SOURCE_COMPLETE' WHEN 'BUILDING_COMPLETE' THEN 'BUILDING'
+                   WHEN 'UPDATING_SOURCE_FAILED' THEN 'UPDATING_SOURCE' END AS p,
+         s IN ('UPDATING_SOURCE_FAILED','BUILDING_FAILED','BENCHMARKING_FAILED','BENCHMARKING_COMPLETE') AS fin,
+         s IN ('UPDATING_SOURCE','UPDATING_SOURCE_COMPLETE','BUILDING','BUILDING_COMPLETE','BENCHMARKING') AS upd
+  FROM ev),
+fold AS (
+  SELECT user_id, rn, event_id, ts, s, p, fin, upd, CAST(NULL AS VARCHAR) AS before_s,
+         CASE WHEN upd THEN s END AS after_s
+  FROM ev2 WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.ts, e.s, e.p, e.fin, e.upd, f.after_s,
+         CASE WHEN e.upd AND (f.after_s IS NULL OR f.after_s = e.p) THEN e.s
+              WHEN e.fin AND (f.after_s IS NULL OR f.after_s = e.p) THEN NULL
+              ELSE f.after_s END
+  FROM fold f JOIN ev2 e ON e.user_id = f.user_id AND e.rn = f.rn + 1),
+traced AS (
+  SELECT user_id, event_id, ts, s AS build_state, before_s AS state_before, after_s AS state_after,
+         coalesce((upd OR fin) AND (before_s IS NULL OR before_s = p), false) AS accepted,
+         fin AS publish,
+         fin AND coalesce(sum(CAST(fin AS INT)) OVER (PARTITION BY user_id ORDER BY rn
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS out_of_order
+  FROM fold)
+"""
+
+
+def _fold(spark, sf_dir) -> DataFrame:
+    return builds.build_state_fold(state_events(spark, sf_dir), ["user_id"], "ts", "event_id")
+
+
+@register("state_fold", _FOLD_SQL + "SELECT * FROM traced")
+def q_state_fold(spark, sf_dir):
+    """J-1 (+D-2): every event applied to its user's build, in (ts, event_id) order."""
+    return _fold(spark, sf_dir).select(
+        "user_id", "event_id", "ts", "build_state", "state_before", "state_after",
+        "accepted", "publish", "out_of_order")
+
+
+@register("publish_requests", _FOLD_SQL + """
+SELECT user_id, event_id, ts, build_state, accepted, out_of_order FROM traced WHERE publish
+""")
+def q_publish_requests(spark, sf_dir):
+    """J-3: one publish request per final event."""
+    return builds.publish_requests(_fold(spark, sf_dir)).select(
+        "user_id", "event_id", "ts", "build_state", "accepted", "out_of_order")
+
+
+@register("inflight_snapshot", _FOLD_SQL + """
+SELECT user_id, state_after AS state FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rk FROM traced)
+WHERE rk = 1 AND state_after IS NOT NULL
+""")
+def q_inflight_snapshot(spark, sf_dir):
+    """D-7: builds still recorded after each user's last event."""
+    return builds.inflight_snapshot(_fold(spark, sf_dir), ["user_id"], "ts", "event_id")
+
+
+def _dispatch_input(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
+    return ev, F.col("event_type").isin(REQUEST_TYPES), F.col("event_type").isin(COMPLETION_TYPES)
+
+
+@register("dispatch_all", """
+SELECT user_id, event_id, ts, 'dispatch' AS action, ts AS dispatched_at
+FROM events WHERE event_type IN ('view','click','signup')
+""")
+def q_dispatch_all(spark, sf_dir):
+    """J-2, mode all: every request is sent on arrival."""
+    ev, req, done = _dispatch_input(spark, sf_dir)
+    return builds.dispatch(ev, ["user_id"], req, done, "ts", "event_id", mode="all").select(
+        "user_id", "event_id", "ts", "action", "dispatched_at")
+
+
+@register("dispatch_latest", """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, ts, event_type IN ('view','click','signup') AS req,
+         event_type IN ('purchase','error') AS comp,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+sim AS (
+  SELECT user_id, rn, event_id, ts, req, comp, req AS busy,
+         CAST(NULL AS BIGINT) AS pend_id, CAST(NULL AS TIMESTAMP) AS pend_ts,
+         CASE WHEN req THEN event_id END AS sent_now
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.ts, e.req, e.comp,
+         CASE WHEN e.req THEN true WHEN e.comp THEN s.pend_id IS NOT NULL ELSE s.busy END,
+         CASE WHEN e.req AND s.busy AND (s.pend_id IS NULL OR e.ts > s.pend_ts) THEN e.event_id
+              WHEN e.comp THEN NULL ELSE s.pend_id END,
+         CASE WHEN e.req AND s.busy AND (s.pend_id IS NULL OR e.ts > s.pend_ts) THEN e.ts
+              WHEN e.comp THEN NULL ELSE s.pend_ts END,
+         CASE WHEN e.req AND NOT s.busy THEN e.event_id WHEN e.comp THEN s.pend_id END
+  FROM sim s JOIN ev e ON e.user_id = s.user_id AND e.rn = s.rn + 1),
+sent AS (SELECT user_id, sent_now AS event_id, ts AS sent_ts, comp FROM sim WHERE sent_now IS NOT NULL),
+fin AS (SELECT user_id, pend_id FROM sim QUALIFY rn = max(rn) OVER (PARTITION BY user_id))
+SELECT r.user_id, r.event_id, r.ts,
+       CASE WHEN s.event_id IS NOT NULL AND NOT s.comp THEN 'dispatch'
+            WHEN s.event_id IS NOT NULL THEN 'dispatch_backlog'
+            WHEN f.pend_id IS NOT NULL THEN 'backlog' ELSE 'drop' END AS action,
+       s.sent_ts AS dispatched_at
+FROM ev r
+LEFT JOIN sent s ON s.user_id = r.user_id AND s.event_id = r.event_id
+LEFT JOIN fin f ON f.user_id = r.user_id AND f.pend_id = r.event_id
+WHERE r.req
+""")
+def q_dispatch_latest(spark, sf_dir):
+    """J-2, mode latest-wins: idle -> send now; busy -> newest waits, rest dropped."""
+    ev, req, done = _dispatch_input(spark, sf_dir)
+    return builds.dispatch(ev, ["user_id"], req, done, "ts", "event_id", mode="latest").select(
+        "user_id", "event_id", "ts", "action", "dispatched_at")
+
+
+@register("phase_durations", f"""
+WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events)
+SELECT user_id, day,
+  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED')))
+           - epoch_ms(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')), -1) AS updateSourceTime,
+  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED')))
+           - epoch_ms(max(ts) FILTER (WHERE s = 'BUILDING')), -1) AS compilationTime,
+  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED')))
+           - epoch_ms(max(ts) FILTER (WHERE s = 'BENCHMARKING')), -1) AS benchmarkTime
+FROM ev GROUP BY user_id, day
+""")
+def q_phase_durations(spark, sf_dir):
+    """D-6: per (user, day) build, elapsed ms of each phase, -1 if not run."""
+    ev = state_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return builds.phase_durations(ev, ["user_id", "day"], "ts", "build_state")
