@@ -348,14 +348,15 @@ def q_dispatch_latest(spark, sf_dir):
 
 
 @register("phase_durations", f"""
+-- timings are differences of millisecond-truncated timestamps
 WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events)
 SELECT user_id, day,
-  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED')))
-           - epoch_ms(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')), -1) AS updateSourceTime,
-  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED')))
-           - epoch_ms(max(ts) FILTER (WHERE s = 'BUILDING')), -1) AS compilationTime,
-  coalesce(epoch_ms(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED')))
-           - epoch_ms(max(ts) FILTER (WHERE s = 'BENCHMARKING')), -1) AS benchmarkTime
+  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED'))) // 1000
+           - epoch_us(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')) // 1000, -1) AS updateSourceTime,
+  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED'))) // 1000
+           - epoch_us(max(ts) FILTER (WHERE s = 'BUILDING')) // 1000, -1) AS compilationTime,
+  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED'))) // 1000
+           - epoch_us(max(ts) FILTER (WHERE s = 'BENCHMARKING')) // 1000, -1) AS benchmarkTime
 FROM ev GROUP BY user_id, day
 """)
 def q_phase_durations(spark, sf_dir):
