@@ -363,3 +363,340 @@ def q_phase_durations(spark, sf_dir):
     """D-6: per (user, day) build, elapsed ms of each phase, -1 if not run."""
     ev = state_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
     return builds.phase_durations(ev, ["user_id", "day"], "ts", "build_state")
+
+
+# ---------------------------------------------------------------- webhook intake
+
+from benchtide.functions import codec, records, text, times  # noqa: E402
+from benchtide.operators import logs, results, webhook  # noqa: E402
+from benchtide.sinks.assets import changed_assets  # noqa: E402
+
+REF_PATTERNS = ["1-.*", "[23]-.*"]
+
+
+def _payload_struct(ref=None, after=True, pusher=None):
+    """events row re-packed as a push payload (nested JSON object)."""
+    fields = [
+        (ref if ref is not None else F.concat(F.lit("refs/heads/"), F.col("event_type"))).alias("ref"),
+        F.lpad(F.col("event_id").cast("string"), 40, "0").alias("before"),
+    ]
+    if after:
+        fields.append(F.lpad(F.col("user_id").cast("string"), 40, "0").alias("after"))
+    fields += [
+        F.struct(F.concat(F.lit("org/"), F.col("event_type")).alias("full_name"),
+                 F.col("user_id").alias("id")).alias("repository"),
+        F.struct((pusher if pusher is not None else F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+                  ).alias("name")).alias("pusher"),
+        F.struct(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("login"),
+                 F.col("props").alias("note")).alias("sender"),
+    ]
+    return F.to_json(F.struct(*fields))
+
+
+def damaged_payloads(spark, sf_dir) -> DataFrame:
+    """events as webhook bodies, one kind of damage per event_id % 7:
+    0 cut short, 1 empty, 2 no ``after``, 3 numeric ``ref``, 4 wrapped in an
+    array, 5 empty pusher name, 6 intact."""
+    ev = table(spark, sf_dir, "events")
+    good = _payload_struct()
+    m = F.col("event_id") % 7
+    body = (F.when(m == 0, F.substring(good, 1, 60))
+            .when(m == 1, F.lit(""))
+            .when(m == 2, _payload_struct(after=False))
+            .when(m == 3, _payload_struct(ref=F.col("event_id")))
+            .when(m == 4, F.concat(F.lit("["), good, F.lit("]")))
+            .when(m == 5, _payload_struct(pusher=F.lit("")))
+            .otherwise(good))
+    return ev.select("event_id", "user_id", "event_type", "props", body.alias("body"))
+
+
+_VERDICT_BY_DAMAGE = """CASE event_id % 7 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'INVALID_JSON'
+       WHEN 6 THEN 'OK' ELSE 'INVALID_PAYLOAD' END"""
+
+
+@register("json_extract", """
+SELECT event_id, 'refs/heads/' || event_type AS ref, lpad(CAST(event_id AS VARCHAR), 40, '0') AS before,
+       lpad(CAST(user_id AS VARCHAR), 40, '0') AS after, 'org/' || event_type AS repository,
+       'user-' || CAST(user_id AS VARCHAR) AS pusher, 'user-' || CAST(user_id AS VARCHAR) AS sender,
+       json_extract_string(props, '$.k') AS k
+FROM events
+""")
+def q_json_extract(spark, sf_dir):
+    """C-1 (+F-2 path read): the six push fields from nested payload JSON,
+    and ``$.k`` from props."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props",
+                                               _payload_struct().alias("body"))
+    out = webhook.extract_push_fields(ev, "body")
+    return out.select("event_id", "ref", "before", "after", "repository", "pusher", "sender",
+                      F.get_json_object("props", "$.k").alias("k"))
+
+
+@register("payload_verdict", f"""
+SELECT event_id, {_VERDICT_BY_DAMAGE} AS verdict,
+       CASE WHEN event_id % 7 = 6 THEN 'refs/heads/' || event_type END AS ref
+FROM events
+""")
+def q_payload_verdict(spark, sf_dir):
+    """C-2 (+B-4 reason): verdict of every damaged or intact payload."""
+    df = damaged_payloads(spark, sf_dir)
+    verdict = webhook.payload_verdict("body")
+    ref = webhook.payload_fields("body")["ref"]
+    return df.select("event_id", verdict.alias("verdict"),
+                     F.when(verdict == "OK", ref).alias("ref"))
+
+
+def request_log(spark, sf_dir) -> DataFrame:
+    """events as webhook request log rows (method, uri, content type, body,
+    downstream outcome), varied by event_id."""
+    df = damaged_payloads(spark, sf_dir)
+    e = F.col("event_id")
+    return df.select(
+        "event_id",
+        F.when(e % 13 == 0, "GET").when(e % 13 == 1, "PUT").otherwise("POST").alias("method"),
+        F.when(e % 17 == 2, "/other").otherwise("/cb").alias("uri"),
+        F.when(e % 11 == 3, "text/plain").when(e % 11 == 4, "application/json; charset=utf-8")
+        .when(e % 11 != 5, "application/json").alias("content_type"),
+        F.col("body"),
+        (e % 19 != 7).alias("downstream_ok"))
+
+
+@register("admission_status", f"""
+SELECT event_id,
+  CASE WHEN event_id % 13 IN (0, 1) THEN 405
+       WHEN event_id % 17 = 2 THEN 404
+       WHEN event_id % 11 IN (3, 4, 5) THEN 415
+       WHEN event_id % 7 IN (0, 1) THEN 400
+       WHEN event_id % 7 IN (2, 3, 4, 5) THEN 422
+       WHEN event_id % 19 = 7 THEN 503
+       ELSE 202 END AS status
+FROM events
+""")
+def q_admission_status(spark, sf_dir):
+    """C-3: HTTP status per request, first failing rule wins."""
+    log = request_log(spark, sf_dir)
+    return log.select("event_id", webhook.admission_status(
+        "method", "uri", "content_type", "body", "downstream_ok").alias("status"))
+
+
+@register("ref_filter", """
+SELECT o_orderkey, o_orderpriority FROM orders
+WHERE regexp_full_match(o_orderpriority, '1-.*') OR regexp_full_match(o_orderpriority, '[23]-.*')
+""")
+def q_ref_filter(spark, sf_dir):
+    """C-4: orders whose priority fully matches any pattern."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return webhook.ref_filter(df, "o_orderpriority", REF_PATTERNS)
+
+
+def order_pushes(spark, sf_dir) -> DataFrame:
+    """orders as push events."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("id"),
+        F.col("o_orderdate").alias("timeStamp"),
+        F.concat(F.lit("refs/heads/"), F.col("o_orderpriority")).alias("ref"),
+        F.lpad(F.col("o_custkey").cast("string"), 40, "0").alias("before"),
+        F.lpad(F.col("o_orderkey").cast("string"), 40, "0").alias("after"),
+        F.concat(F.lit("org/"), F.col("o_orderstatus")).alias("repository"),
+        F.concat(F.lit("clerk-"), F.col("o_custkey").cast("string")).alias("pusher"),
+        F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")).alias("sender"))
+
+
+@register("push_to_request", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS "timeStamp", 'org/' || o_orderstatus AS repository,
+       'refs/heads/' || o_orderpriority AS ref, lpad(CAST(o_orderkey AS VARCHAR), 40, '0') AS commit,
+       'cust-' || CAST(o_custkey AS VARCHAR) AS author
+FROM orders
+""")
+def q_push_to_request(spark, sf_dir):
+    """C-5: push events -> build requests."""
+    return webhook.push_to_request(order_pushes(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- messages
+
+def order_requests(spark, sf_dir) -> DataFrame:
+    return webhook.push_to_request(order_pushes(spark, sf_dir))
+
+
+_ZONED_SQL = """(strftime({d}, '%Y-%m-%dT%H:%M') ||
+  CASE WHEN epoch_us({d}) % 60000000 = 0 THEN '' ELSE ':' || strftime({d}, '%S') ||
+    CASE WHEN epoch_us({d}) % 1000000 = 0 THEN ''
+         WHEN epoch_us({d}) % 1000 = 0 THEN '.' || lpad(CAST((epoch_us({d}) % 1000000) // 1000 AS VARCHAR), 3, '0')
+         ELSE '.' || lpad(CAST(epoch_us({d}) % 1000000 AS VARCHAR), 6, '0') END END || 'Z[UTC]')"""
+
+
+@register("record_json", f"""
+SELECT o_orderkey, json_object('id', CAST(o_orderkey AS VARCHAR),
+    'timeStamp', {_ZONED_SQL.format(d='o_orderdate')},
+    'repository', 'org/' || o_orderstatus, 'ref', 'refs/heads/' || o_orderpriority,
+    'commit', lpad(CAST(o_orderkey AS VARCHAR), 40, '0'), 'author', 'cust-' || CAST(o_custkey AS VARCHAR)
+  )::VARCHAR AS message
+FROM orders
+""")
+def q_record_json(spark, sf_dir):
+    """F-1 (+F-9): build requests from orders serialised as JSON messages."""
+    req = order_requests(spark, sf_dir).withColumn("o_orderkey", F.col("id").cast("bigint"))
+    return req.select("o_orderkey", records.record_json("build_request").alias("message"))
+
+
+@register("record_decode", """
+SELECT o_orderkey,
+  CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN NULL ELSE CAST(o_orderkey AS VARCHAR) END AS id,
+  CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN NULL ELSE o_orderdate END AS "timeStamp",
+  CASE WHEN o_orderkey % 5 IN (1, 2, 3) THEN NULL ELSE 'refs/heads/' || o_orderpriority END AS ref,
+  CASE o_orderkey % 5 WHEN 1 THEN 'missing field ref' WHEN 2 THEN 'invalid JSON'
+       WHEN 3 THEN 'not a JSON object' END AS error
+FROM orders
+""")
+def q_record_decode(spark, sf_dir):
+    """F-2 (+F-8, B-4): decode build-request messages, some damaged
+    (o_orderkey % 5: 1 no ref, 2 cut short, 3 wrapped in an array)."""
+    req = order_requests(spark, sf_dir).withColumn("o_orderkey", F.col("id").cast("bigint"))
+    msg = records.record_json("build_request")
+    m = F.col("o_orderkey") % 5
+    damaged = (F.when(m == 1, records.record_json("build_request", ref=F.lit(None).cast("string")))
+               .when(m == 2, F.substring(msg, 1, 20))
+               .when(m == 3, F.concat(F.lit("["), msg, F.lit("]")))
+               .otherwise(msg))
+    d = req.select("o_orderkey", records.decode_record(damaged, "build_request").alias("d"))
+    return d.select("o_orderkey", F.col("d.record.id").alias("id"),
+                    F.col("d.record.timeStamp").cast("timestamp_ntz").alias("timeStamp"),
+                    F.col("d.record.ref").alias("ref"), F.col("d.error").alias("error"))
+
+
+@register("enum_valid", """
+SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN event_type END AS value,
+       CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'No enum constant RequestType.' || event_type END AS error
+FROM events
+""")
+def q_enum_valid(spark, sf_dir):
+    """F-7: event types parsed against a three-name enum."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", text.enum_value("event_type", REQUEST_TYPES).alias("value"),
+                     text.enum_error("event_type", REQUEST_TYPES, "RequestType").alias("error"))
+
+
+@register("ts_format", f"""
+SELECT event_id, {_ZONED_SQL.format(d='ts')} AS zoned,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '+0000' AS csv_date,
+       strftime(ts, '%Y%m%d%H%M%S') AS log_stamp, strftime(ts, '%d %b %Y') AS label
+FROM events
+""")
+def q_ts_format(spark, sf_dir):
+    """F-9: message, results-history, log-name and label forms of event times."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", times.zoned_text("ts").alias("zoned"),
+                     times.csv_date_text("ts").alias("csv_date"),
+                     times.log_stamp("ts").alias("log_stamp"), times.label_text("ts").alias("label"))
+
+
+@register("ts_parse", """
+SELECT event_id, CASE event_id % 4 WHEN 1 THEN date_trunc('minute', ts)
+                                   WHEN 3 THEN date_trunc('millisecond', ts) ELSE ts END AS parsed
+FROM events
+""")
+def q_ts_parse(spark, sf_dir):
+    """F-8: event times written in four ISO forms (zone id, no seconds,
+    offset, nanoseconds) parsed back to instants."""
+    ev = table(spark, sf_dir, "events")
+    t = F.col("ts").cast("timestamp")
+    m = F.col("event_id") % 4
+    iso = (F.when(m == 0, F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z[UTC]")))
+           .when(m == 1, F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm"), F.lit("Z[UTC]")))
+           .when(m == 2, F.concat(F.date_format(t + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                                  F.lit("+01:00[Europe/Paris]")))
+           .otherwise(F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("000Z"))))
+    return ev.select("event_id", times.parse_zoned(iso).cast("timestamp_ntz").alias("parsed"))
+
+
+@register("b64", """
+SELECT doc_id, to_base64(encode(text)) AS encoded, text AS decoded FROM documents
+""")
+def q_b64(spark, sf_dir):
+    """F-3: document texts base64-encoded and decoded back."""
+    docs = table(spark, sf_dir, "documents")
+    enc = codec.b64_encode(F.col("text").cast("binary"))
+    return docs.select("doc_id", enc.alias("encoded"),
+                       codec.b64_decode(enc).cast("string").alias("decoded"))
+
+
+@register("list_string", """
+SELECT r.r_name, string_agg(n.n_name, ', ' ORDER BY n.n_name) AS names
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name
+""")
+def q_list_string(spark, sf_dir):
+    """F-5: nation names of each region as ``a, b, c`` (nation is a fixed
+    25-row dimension, so the per-region list is bounded)."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    g = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(
+        F.array_sort(F.collect_list("n_name")).alias("names"))
+    return g.select("r_name", text.list_text("names").alias("names"))
+
+
+@register("map_string", """
+SELECT r.r_name, string_agg(n.n_name || ' -> ' || CAST(n.n_nationkey AS VARCHAR), ', ' ORDER BY n.n_name) AS nations
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name
+""")
+def q_map_string(spark, sf_dir):
+    """F-6: name -> key map of each region's nations as ``k -> v, ...``."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    g = n.join(r, n.n_regionkey == r.r_regionkey).groupBy("r_name").agg(
+        F.map_from_entries(F.collect_list(F.struct("n_name", F.col("n_nationkey").cast("string"))))
+        .alias("m"))
+    return g.select("r_name", text.map_text("m").alias("nations"))
+
+
+# ---------------------------------------------------------------- assets, logs, results
+
+@register("changed_assets", """
+WITH shipped AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS name, sha256(text) AS h FROM documents),
+     cur AS (SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS name,
+                    sha256(CASE WHEN doc_id % 10 = 0 THEN text || ' (edited)' ELSE text END) AS h
+             FROM documents WHERE doc_id % 10 <> 1)
+SELECT s.name, CASE WHEN c.h IS NULL THEN 'new' ELSE 'changed' END AS change, s.h AS sha256
+FROM shipped s LEFT JOIN cur c ON s.name = c.name
+WHERE c.h IS NULL OR c.h <> s.h
+""")
+def q_changed_assets(spark, sf_dir):
+    """B-5: documents to ship against a target copy where some are edited
+    (doc_id % 10 = 0) and some are absent (doc_id % 10 = 1)."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name")
+    shipped = docs.select(name, F.col("text").alias("content"))
+    current = docs.filter(F.col("doc_id") % 10 != 1).select(
+        name, F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" (edited)")))
+        .otherwise(F.col("text")).alias("content"))
+    return changed_assets(shipped, current)
+
+
+@register("log_lines", """
+SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no,
+       unnest(string_split(text, chr(10))) AS line
+FROM documents
+""")
+def q_log_lines(spark, sf_dir):
+    """F-4 + F-3: document texts stored as zstd+base64 log details, then
+    decoded back and split into numbered lines."""
+    docs = table(spark, sf_dir, "documents")
+    packed = docs.select("doc_id", F.array(logs.log_detail(F.col("text"))).alias("buildDetails"))
+    decoded = logs.decode_details(packed)
+    return logs.log_lines(decoded.select("doc_id", "content")).select("doc_id", "line_no", "line")
+
+
+@register("unpivot_timings", """
+SELECT 'Update Source' AS task, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS commit,
+       l_shipdate AS date, l_quantity AS time FROM lineitem
+UNION ALL
+SELECT 'Compile Source', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), l_shipdate, l_extendedprice FROM lineitem
+UNION ALL
+SELECT 'Benchmark 1', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), l_shipdate, l_discount FROM lineitem
+""")
+def q_unpivot_timings(spark, sf_dir):
+    """E-3: three timings per lineitem build -> three results rows."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("commit"),
+        F.col("l_shipdate").alias("date"), "l_quantity", "l_extendedprice", "l_discount")
+    tasks = {"Update Source": "l_quantity", "Compile Source": "l_extendedprice",
+             "Benchmark 1": "l_discount"}
+    return results.unpivot_timings(li, ["commit", "date"], tasks).select("task", "commit", "date", "time")
