@@ -700,3 +700,46 @@ def q_unpivot_timings(spark, sf_dir):
     tasks = {"Update Source": "l_quantity", "Compile Source": "l_extendedprice",
              "Benchmark 1": "l_discount"}
     return results.unpivot_timings(li, ["commit", "date"], tasks).select("task", "commit", "date", "time")
+
+
+# ---------------------------------------------------------------- streaming forms
+
+from benchtide.streaming import jobs  # noqa: E402
+
+
+def events_stream(spark, sf_dir) -> DataFrame:
+    """The events table read as an unbounded source (parquet file source)."""
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+            .parquet(sf_dir))
+
+
+@register("state_fold_stream", _FOLD_SQL + "SELECT * FROM traced")
+def q_state_fold_stream(spark, sf_dir):
+    """J-1 as a stateful stream (transformWithStateInPandas, MapState per
+    user), run with availableNow into an idempotent per-batch sink."""
+    ev = events_stream(spark, sf_dir).select(
+        "user_id", "event_id", "ts", _map_col("event_type", FOLD_STATES).alias("build_state"),
+        F.col("user_id").cast("string").alias("build_id"))
+    folded = jobs.fold_stream(ev, ["user_id"], "build_id", "ts", "event_id", "build_state")
+    out = jobs.stream_folder(spark, "state_fold")
+    jobs.run_available_now(folded, f"{out}/data", f"{out}/checkpoint")
+    return jobs.read_batches(spark, f"{out}/data").select(
+        "user_id", "event_id", "ts", "build_state", "state_before", "state_after",
+        "accepted", "publish", "out_of_order")
+
+
+@register("dispatch_latest_stream", ORACLES["dispatch_latest"].replace(
+    "WHERE r.req", "WHERE r.req AND NOT (s.event_id IS NULL AND f.pend_id IS NOT NULL)"))
+def q_dispatch_latest_stream(spark, sf_dir):
+    """J-2 latest-wins as a stateful stream; decisions are emitted when known,
+    so requests still waiting at the end (backlog) produce no row."""
+    kind = (F.when(F.col("event_type").isin(REQUEST_TYPES), "request")
+            .when(F.col("event_type").isin(COMPLETION_TYPES), "completion"))
+    ev = events_stream(spark, sf_dir).select("user_id", "event_id", "ts", kind.alias("kind"))
+    decided = jobs.dispatch_stream(ev, ["user_id"], "kind", "ts", "event_id")
+    out = jobs.stream_folder(spark, "dispatch")
+    jobs.run_available_now(decided, f"{out}/data", f"{out}/checkpoint")
+    return jobs.read_batches(spark, f"{out}/data").select(
+        "user_id", "event_id", "ts", "action", "dispatched_at")
