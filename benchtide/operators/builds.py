@@ -184,10 +184,11 @@ PHASES = {
 
 
 def phase_durations(events: DataFrame, keys: Sequence[str], ts: str = "ts",
-                    state: str = "build_state") -> DataFrame:
+                    state: str = "build_state", finished: str | None = None) -> DataFrame:
     """D-6: elapsed ms per phase from the state log; -1 when a phase never
-    both started and ended.  Start/end are the latest such events."""
-    aggs = []
+    both started and ended.  Start/end are the latest such events.
+    ``finished`` names an extra column with the build's last event time."""
+    aggs = [F.max(ts).alias(finished)] if finished else []
     for name, (start, ends) in PHASES.items():
         when = F.col(ts).cast("timestamp")   # also accepts TIMESTAMP_NTZ
         t0 = F.max(F.when(F.col(state) == start, when))

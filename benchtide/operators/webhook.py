@@ -104,7 +104,8 @@ def ref_filter(df: DataFrame, ref: str, patterns: Sequence[str]) -> DataFrame:
     return df.filter(F.coalesce(ref_matches(ref, patterns), F.lit(False)))
 
 
-def push_to_request(push: DataFrame) -> DataFrame:
-    """C-5: push event -> build request (id and timeStamp are carried over)."""
+def push_to_request(push: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """C-5: push event -> build request (id and timeStamp are carried over,
+    plus any ``carry`` columns)."""
     return push.select("id", "timeStamp", "repository", "ref",
-                       F.col("after").alias("commit"), F.col("sender").alias("author"))
+                       F.col("after").alias("commit"), F.col("sender").alias("author"), *carry)

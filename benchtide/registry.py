@@ -743,3 +743,70 @@ def q_dispatch_latest_stream(spark, sf_dir):
     jobs.run_available_now(decided, f"{out}/data", f"{out}/checkpoint")
     return jobs.read_batches(spark, f"{out}/data").select(
         "user_id", "event_id", "ts", "action", "dispatched_at")
+
+
+# ---------------------------------------------------------------- end-to-end chains
+
+from benchtide.plans import chart, intake  # noqa: E402
+
+EVENT_INDEX_DATE = dt.datetime(2024, 1, 15)
+
+
+@register("build_results_series", f"""
+WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events),
+b AS (
+  SELECT CAST(user_id AS VARCHAR) || '@' || strftime(day, '%Y-%m-%d') AS commit, max(ts) AS date,
+    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED'))) // 1000
+             - epoch_us(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')) // 1000, -1) AS u,
+    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED'))) // 1000
+             - epoch_us(max(ts) FILTER (WHERE s = 'BUILDING')) // 1000, -1) AS c,
+    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED'))) // 1000
+             - epoch_us(max(ts) FILTER (WHERE s = 'BENCHMARKING')) // 1000, -1) AS k
+  FROM ev GROUP BY user_id, day),
+pts AS (
+  SELECT 'Update Source' AS task, commit, date, u AS time FROM b
+  UNION ALL SELECT 'Compile Source', commit, date, c FROM b
+  UNION ALL SELECT 'Benchmark 1', commit, date, k FROM b),
+idx AS (
+  SELECT task, time AS index_time FROM (
+    SELECT task, time, row_number() OVER (PARTITION BY task ORDER BY date DESC, commit DESC) AS rn
+    FROM pts WHERE CAST(date AS DATE) = DATE '2024-01-15') WHERE rn = 1)
+SELECT p.task, p.commit, p.date, p.time, coalesce(i.index_time, 0) AS index_time,
+       CASE WHEN coalesce(i.index_time, 0) > 0 THEN (p.time - i.index_time) / i.index_time ELSE 0.0 END AS indexed_time,
+       row_number() OVER (PARTITION BY p.task ORDER BY p.date, p.commit) AS point_order
+FROM pts p LEFT JOIN idx i ON p.task = i.task
+""")
+def q_build_results_series(spark, sf_dir):
+    """D-6 -> E-3 -> C-9 -> D-1 -> E-2 -> E-1: per (user, day) build timings
+    from the state log, as results rows, re-based against 2024-01-15."""
+    log = state_events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    rows = chart.build_results(log, ["user_id", "day"], "ts", "build_state")
+    return chart.results_series(rows, EVENT_INDEX_DATE).select(
+        "task", "commit", "date", "time", "index_time", "indexed_time", "point_order")
+
+
+INTAKE_PATTERNS = ["refs/heads/(view|click)", "refs/heads/sign.*"]
+
+
+@register("intake_dispatch", """
+WITH ok AS (
+  SELECT event_id, ts, 'refs/heads/' || event_type AS ref FROM events
+  WHERE event_id % 7 = 6 AND event_type IN ('view', 'click', 'signup')),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY ref ORDER BY ts, event_id) AS first_rank,
+            row_number() OVER (PARTITION BY ref ORDER BY ts DESC, event_id ASC) AS newest_rank
+  FROM ok)
+SELECT CAST(event_id AS VARCHAR) AS id, ref, event_id AS seq,
+       CASE WHEN first_rank = 1 THEN 'dispatch' WHEN newest_rank = 1 THEN 'backlog' ELSE 'drop' END AS action,
+       CASE WHEN first_rank = 1 THEN ts END AS dispatched_at
+FROM r
+""")
+def q_intake_dispatch(spark, sf_dir):
+    """A-1 -> C-2 -> B-4 -> C-1 -> C-4 -> C-5 -> J-2: damaged webhook bodies
+    to dispatch decisions per ref (three refs hold every request)."""
+    bodies = damaged_payloads(spark, sf_dir).join(
+        table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    req = bodies.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("received_at"),
+                        F.col("event_id").alias("seq"), "body")
+    decisions, _dead = intake.intake(req, ref_patterns=INTAKE_PATTERNS)
+    return decisions.select("id", "ref", "seq", "action", "dispatched_at")
