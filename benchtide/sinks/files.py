@@ -23,6 +23,7 @@ def write_queue(df: DataFrame, path: str, record: str) -> None:
 def write_results(rows: DataFrame, path: str) -> None:
     """B-2: append results rows ``task,commit,date,time`` with a header and
     CRLF line ends; each append adds part files to the history folder."""
-    (rows.select("task", "commit", "date", F.col("time").cast("long").alias("time"))
+    (rows.select("task", "commit", F.col("date").cast("timestamp").alias("date"),
+                 F.col("time").cast("long").alias("time"))
      .write.mode("append").option("header", True).option("lineSep", "\r\n")
      .option("timestampFormat", CSV_DATE_FORMAT).csv(path))

@@ -17,7 +17,7 @@ from benchtide.schemas import BENCHMARK_RESULT, CHART_POINT
 def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A-1: one request body per file, as ``body`` with its ``source`` path."""
     reader = spark.readStream if stream else spark.read
-    df = reader.option("wholetext", True).text(path)
+    df = reader.text(path, wholetext=True)
     return df.select(F.col("value").alias("body"),
                      F.col("_metadata.file_path").alias("source"))
 
