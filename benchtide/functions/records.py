@@ -3,7 +3,7 @@ enum and timestamp checks that decide whether a message is dead-lettered."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,30 +70,42 @@ def json_kind(text, path: str = "$") -> Column:
     return F.regexp_extract(F.schema_of_variant(node), r"^([A-Z_]+)", 1)
 
 
-def decode_record(text, record: str) -> Column:
-    """F-2 (+F-7, F-8): ``struct(record, error)`` for a JSON text message.
+def is_json_object_text(text) -> Column:
+    """Cheap test that (valid) JSON text holds an object at the top."""
+    c = F.col(text) if isinstance(text, str) else text
+    return c.rlike(r"^\s*\{")
+
+
+def decode_records(df: DataFrame, text: str, record: str, out: str = "record",
+                   error: str = "error") -> DataFrame:
+    """F-2 (+F-7, F-8): add ``out`` (the typed record) and ``error`` for a
+    column of JSON text messages.
 
     ``error`` is null for a good message; otherwise the first problem found:
-    not JSON, not an object, a missing required field, a bad timestamp, or an
-    unknown enum name.  ``record`` is null whenever ``error`` is set.
+    invalid JSON, not a JSON object, a missing required field, a bad
+    timestamp, or an unknown enum name.  ``out`` is null whenever ``error``
+    is set.  The JSON is parsed once in its own projection; the checks then
+    read plain columns, so no branch of the check chain parses it again.
     """
-    c = F.col(text) if isinstance(text, str) else text
     schema, required = RECORDS[record]
-    raw = F.from_json(c, _text_schema(schema))
-    kind = json_kind(c)
-    checks = [(F.try_parse_json(c).isNull() | c.isNull(), F.lit("invalid JSON")),
-              (kind != "OBJECT", F.lit("not a JSON object"))]
+    raw, is_json, typed = "_bt_raw", "_bt_json", "_bt_typed"
+    staged = df.withColumn(raw, F.from_json(F.col(text), _text_schema(schema))).withColumn(
+        is_json, F.try_parse_json(F.col(text)).isNotNull())
+    staged = staged.withColumn(typed, _typed(F.col(raw), schema))
+    r, t = F.col(raw), F.col(typed)
+    checks = [(~F.coalesce(F.col(is_json), F.lit(False)), F.lit("invalid JSON")),
+              (~is_json_object_text(text), F.lit("not a JSON object"))]
     for name in required:
-        checks.append((raw[name].isNull(), F.lit(f"missing field {name}")))
+        checks.append((r[name].isNull(), F.lit(f"missing field {name}")))
     for f in schema.fields:
         if isinstance(f.dataType, _TS_TYPES):
-            checks.append((raw[f.name].isNotNull() & parse_zoned(raw[f.name]).isNull(),
-                           F.lit(f"bad timestamp {f.name}")))
+            checks.append((r[f.name].isNotNull() & t[f.name].isNull(), F.lit(f"bad timestamp {f.name}")))
     for name, names in RECORD_ENUMS.get(record, {}).items():
-        checks.append((raw[name].isNotNull() & ~raw[name].isin(names),
-                       F.concat(F.lit(f"unknown {name} "), raw[name])))
-    error = None
+        checks.append((r[name].isNotNull() & ~r[name].isin(names),
+                       F.concat(F.lit(f"unknown {name} "), r[name])))
+    err = None
     for cond, reason in checks:
-        error = F.when(cond, reason) if error is None else error.when(cond, reason)
-    good = F.when(error.isNull(), _typed(raw, schema))
-    return F.struct(good.alias("record"), error.alias("error"))
+        err = F.when(cond, reason) if err is None else err.when(cond, reason)
+    return (staged.withColumn(error, err)
+            .withColumn(out, F.when(F.col(error).isNull(), t))
+            .drop(raw, is_json, typed))

@@ -16,18 +16,20 @@ known.  The start states come from a summary of two rows per partition --
 bounded by the partition count, not by the data -- resolved in one small
 group and broadcast back.
 
-The scanned rows are checkpointed to ``spark.checkpoint.dir`` so the
-partition ids the summary refers to are fixed and lineage is cut.
+The scanned rows are written once as a table under ``spark.checkpoint.dir``
+so the partition ids the summary refers to are fixed and lineage is cut.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,18 +238,31 @@ def _resolver(key_names, initial: int):
     return resolve
 
 
+def _materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a parquet table under ``spark.checkpoint.dir``
+    and read it back: lineage is cut, the partition ids stored in the rows
+    stay fixed, and (unlike an RDD checkpoint of an uncached plan) the plan
+    runs only once."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                code: Column | None = None, table: Sequence[Sequence[int]] | None = None,
                initial: int = 0, flag: Column | None = None,
                state_col: str | None = "state_before",
                count_col: str | None = "count_before",
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, persist_input: bool = True) -> DataFrame:
     """Per key, in ascending ``order``: for every row the state of a finite-state
     machine *before* the row, and the number of earlier flagged rows.
 
     ``table[c][s]`` is the state reached from state ``s`` by a row with code
     ``c``; a null code leaves the state unchanged.  Every key starts in
     ``initial``.  ``flag`` (boolean) selects the rows that are counted.
+    ``persist_input`` keeps the input between the range-bound sampling job
+    and the scan (turn off when the input is a bare table scan).
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -263,6 +278,10 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     flag_col = F.coalesce(flag.cast("long"), F.lit(0)) if flag is not None else F.lit(0)
     work = df.withColumn(_CODE, code_col.cast("int")).withColumn(_FLAG, flag_col.cast("long"))
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if persist_input:
+        # range partitioning samples its input in a first job; keep the input
+        # so that pass does not recompute an expensive upstream plan
+        work = work.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = work.repartitionByRange(n_parts, *keys, *order).sortWithinPartitions(*keys, *order)
     # summary rows carry nulls in every non-key column, so all are nullable
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True)
@@ -274,15 +293,19 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         T.StructField(_COMP, T.ArrayType(T.IntegerType())),
         T.StructField(_CNT, T.LongType()),
     ])
-    scanned = ranged.mapInArrow(_scan_partitions(keys, tab, initial), out_schema)
-    scanned = scanned.checkpoint(eager=True)
+    scanned = _materialise(ranged.mapInArrow(_scan_partitions(keys, tab, initial), out_schema))
+    if persist_input:
+        work.unpersist()
 
     summary = (scanned.filter(F.col(_KIND) != 0)
                .select(*keys, _PID, _KIND, _HEAD, _ST, _COMP, _CNT)
                .withColumn("_bt_one", F.lit(1)))
+    # O(partitions) rows; materialised once so every consumer of the result
+    # reads it instead of re-running the resolution
     resolved = summary.groupBy("_bt_one").applyInPandas(
         _resolver(keys, initial),
         schema=f"{_PID} int, {_START} int, {_OFF} long")
+    resolved = _materialise(resolved)
     rows = scanned.filter(F.col(_KIND) == 0).join(F.broadcast(resolved), _PID, "left")
     head = F.col(_HEAD)
     result = rows

@@ -49,9 +49,35 @@ def payload_fields(text) -> dict[str, Column]:
     return out
 
 
+def _object_text(c: Column) -> Column:
+    return c.rlike(r"^\s*\{")
+
+
 def extract_push_fields(df: DataFrame, text: str) -> DataFrame:
-    """C-1: add the six payload columns."""
-    return df.select("*", *[col.alias(name) for name, col in payload_fields(text).items()])
+    """C-1: add the six payload columns (the JSON is parsed once, in its own
+    projection, and every field reads that parsed value)."""
+    v = "_bt_variant"
+    staged = df.withColumn(v, F.try_parse_json(F.col(text)))
+    fields = [F.when(_variant_kind(F.col(v), path) == "STRING", F.get_json_object(F.col(text), path))
+              .alias(name) for name, path in PAYLOAD_FIELDS.items()]
+    return staged.select("*", *fields).drop(v)
+
+
+def classify_payloads(df: DataFrame, text: str, verdict: str = "verdict",
+                      keep_fields: bool = True) -> DataFrame:
+    """C-1 + C-2 as staged projections: the six fields, then ``verdict``
+    from those columns (no branch re-parses the JSON)."""
+    staged = extract_push_fields(df.withColumn("_bt_ok_json", F.try_parse_json(F.col(text)).isNotNull()),
+                                 text)
+    c = F.col(text)
+    complete = reduce(lambda a, b: a & b,
+                      [F.coalesce(F.col(n) != "", F.lit(False)) for n in PAYLOAD_FIELDS])
+    value = (F.when(c.isNull() | (F.trim(c) == "") | ~F.col("_bt_ok_json"), F.lit(INVALID_JSON))
+             .when(~_object_text(c), F.lit(INVALID_PAYLOAD))
+             .when(~complete, F.lit(INVALID_PAYLOAD))
+             .otherwise(F.lit(OK)))
+    out = staged.withColumn(verdict, value).drop("_bt_ok_json")
+    return out if keep_fields else out.drop(*PAYLOAD_FIELDS)
 
 
 def payload_verdict(text) -> Column:
@@ -59,12 +85,11 @@ def payload_verdict(text) -> Column:
     INVALID_PAYLOAD (not an object, or a field missing, not a string, empty)."""
     c = _c(text)
     v = F.try_parse_json(c)
-    top = F.schema_of_variant(v)
     fields = payload_fields(c)
     complete = reduce(lambda a, b: a & b,
                       [F.coalesce(col != "", F.lit(False)) for col in fields.values()])
     return (F.when(c.isNull() | (F.trim(c) == "") | v.isNull(), F.lit(INVALID_JSON))
-            .when(~top.startswith("OBJECT"), F.lit(INVALID_PAYLOAD))
+            .when(~_object_text(c), F.lit(INVALID_PAYLOAD))
             .when(~complete, F.lit(INVALID_PAYLOAD))
             .otherwise(F.lit(OK)))
 
@@ -84,6 +109,24 @@ def admission_status(method, uri, content_type, body, downstream_ok) -> Column:
             .otherwise(STATUS_ACCEPTED))
 
 
+def admit_requests(df: DataFrame, method: str = "method", uri: str = "uri",
+                   content_type: str = "content_type", body: str = "body",
+                   downstream_ok: str = "downstream_ok", status: str = "status") -> DataFrame:
+    """C-3 over a request log: adds ``status`` (verdict computed once)."""
+    staged = classify_payloads(df, body, "_bt_verdict", keep_fields=False)
+    verdict, b = F.col("_bt_verdict"), F.col(body)
+    value = (F.when(F.coalesce(F.col(method) != "POST", F.lit(True)), STATUS_METHOD_NOT_ALLOWED)
+             .when(F.coalesce(F.col(uri) != WEBHOOK_PATH, F.lit(True)), STATUS_NOT_FOUND)
+             .when(F.coalesce(F.col(content_type) != JSON_CONTENT_TYPE, F.lit(True)),
+                   STATUS_UNSUPPORTED_MEDIA_TYPE)
+             .when(b.isNull() | (b == ""), STATUS_BAD_REQUEST)
+             .when(verdict == INVALID_JSON, STATUS_BAD_REQUEST)
+             .when(verdict == INVALID_PAYLOAD, STATUS_UNPROCESSABLE)
+             .when(~F.coalesce(F.col(downstream_ok), F.lit(False)), STATUS_UNAVAILABLE)
+             .otherwise(STATUS_ACCEPTED))
+    return staged.withColumn(status, value).drop("_bt_verdict")
+
+
 def validate_patterns(spark, patterns: Sequence[str]) -> None:
     """Fail fast on a pattern the JVM regex engine rejects."""
     if patterns:

@@ -26,11 +26,11 @@ def intake(requests: DataFrame, body: str = "body", id_col: str = "id",
     ``action`` / ``dispatched_at``; ``dead_letters`` holds the rejected
     bodies with their verdict.
     """
-    checked = requests.withColumn("_verdict", webhook.payload_verdict(body))
+    checked = webhook.classify_payloads(requests, body, "_verdict")
     reason = F.when(F.col("_verdict") != webhook.OK, F.col("_verdict"))
     good, dead = split_dead_letters(checked.withColumn("_reason", reason).drop("_verdict"),
                                     "_reason", body, "webhook")
-    push = webhook.extract_push_fields(good, body).select(
+    push = good.select(
         F.col(id_col).alias("id"), F.col(received).alias("timeStamp"), F.col(seq).alias("seq"),
         "ref", "before", "after", "repository", "pusher", "sender")
     push = webhook.ref_filter(push, "ref", list(ref_patterns))

@@ -407,7 +407,7 @@ def damaged_payloads(spark, sf_dir) -> DataFrame:
             .when(m == 4, F.concat(F.lit("["), good, F.lit("]")))
             .when(m == 5, _payload_struct(pusher=F.lit("")))
             .otherwise(good))
-    return ev.select("event_id", "user_id", "event_type", "props", body.alias("body"))
+    return ev.select("event_id", "ts", "user_id", "event_type", "props", body.alias("body"))
 
 
 _VERDICT_BY_DAMAGE = """CASE event_id % 7 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'INVALID_JSON'
@@ -438,11 +438,9 @@ FROM events
 """)
 def q_payload_verdict(spark, sf_dir):
     """C-2 (+B-4 reason): verdict of every damaged or intact payload."""
-    df = damaged_payloads(spark, sf_dir)
-    verdict = webhook.payload_verdict("body")
-    ref = webhook.payload_fields("body")["ref"]
-    return df.select("event_id", verdict.alias("verdict"),
-                     F.when(verdict == "OK", ref).alias("ref"))
+    df = webhook.classify_payloads(damaged_payloads(spark, sf_dir), "body")
+    return df.select("event_id", "verdict",
+                     F.when(F.col("verdict") == "OK", F.col("ref")).alias("ref"))
 
 
 def request_log(spark, sf_dir) -> DataFrame:
@@ -473,9 +471,7 @@ FROM events
 """)
 def q_admission_status(spark, sf_dir):
     """C-3: HTTP status per request, first failing rule wins."""
-    log = request_log(spark, sf_dir)
-    return log.select("event_id", webhook.admission_status(
-        "method", "uri", "content_type", "body", "downstream_ok").alias("status"))
+    return webhook.admit_requests(request_log(spark, sf_dir)).select("event_id", "status")
 
 
 @register("ref_filter", """
@@ -559,10 +555,11 @@ def q_record_decode(spark, sf_dir):
                .when(m == 2, F.substring(msg, 1, 20))
                .when(m == 3, F.concat(F.lit("["), msg, F.lit("]")))
                .otherwise(msg))
-    d = req.select("o_orderkey", records.decode_record(damaged, "build_request").alias("d"))
-    return d.select("o_orderkey", F.col("d.record.id").alias("id"),
-                    F.col("d.record.timeStamp").cast("timestamp_ntz").alias("timeStamp"),
-                    F.col("d.record.ref").alias("ref"), F.col("d.error").alias("error"))
+    d = records.decode_records(req.select("o_orderkey", damaged.alias("message")), "message",
+                               "build_request")
+    return d.select("o_orderkey", F.col("record.id").alias("id"),
+                    F.col("record.timeStamp").cast("timestamp_ntz").alias("timeStamp"),
+                    F.col("record.ref").alias("ref"), "error")
 
 
 @register("enum_valid", """
@@ -804,9 +801,7 @@ FROM r
 def q_intake_dispatch(spark, sf_dir):
     """A-1 -> C-2 -> B-4 -> C-1 -> C-4 -> C-5 -> J-2: damaged webhook bodies
     to dispatch decisions per ref (three refs hold every request)."""
-    bodies = damaged_payloads(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
-    req = bodies.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("received_at"),
+    req = damaged_payloads(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("received_at"),
                         F.col("event_id").alias("seq"), "body")
     decisions, _dead = intake.intake(req, ref_patterns=INTAKE_PATTERNS)
     return decisions.select("id", "ref", "seq", "action", "dispatched_at")

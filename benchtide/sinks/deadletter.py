@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchtide.functions.records import decode_record
+from benchtide.functions.records import decode_records
 
 
 def split_dead_letters(df: DataFrame, reason: str, content: str, queue: str):
@@ -23,9 +23,10 @@ def decode_messages(df: DataFrame, text: str, record: str, queue: str):
     Returns ``(records, dead)``: the decoded struct's fields as columns, and
     the undecodable messages with their reason.
     """
-    parsed = df.select(F.col(text).alias("_content"), decode_record(F.col(text), record).alias("_d"))
-    good = parsed.filter(F.col("_d.error").isNull()).select("_d.record.*")
-    dead = parsed.filter(F.col("_d.error").isNotNull()).select(
+    parsed = decode_records(df.select(F.col(text).alias("_content")), "_content", record,
+                            "_record", "_error")
+    good = parsed.filter(F.col("_error").isNull()).select("_record.*")
+    dead = parsed.filter(F.col("_error").isNotNull()).select(
         F.lit(queue).alias("queue"), F.col("_content").alias("content"),
-        F.col("_d.error").alias("reason"))
+        F.col("_error").alias("reason"))
     return good, dead
