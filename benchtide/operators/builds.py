@@ -203,3 +203,12 @@ def inflight_snapshot(fold: DataFrame, keys: Sequence[str], ts: str = "ts",
     last = latest_per_key(fold.select(*keys, ts, seq, "state_after"), keys, ts, seq)
     return last.filter(F.col("state_after").isNotNull()).select(
         *keys, F.col("state_after").alias("state"))
+
+
+def attach_build_state(requests: DataFrame, fold: DataFrame, keys: Sequence[str],
+                       ts: str = "ts", seq: str = "seq", name: str = "build_state_now") -> DataFrame:
+    """D-2 (batch): each request row gets its build's current state (after
+    the build's last event; null when none is recorded).  The state side is
+    one row per build (a partial aggregate), joined on the build keys."""
+    now = latest_per_key(fold.select(*keys, ts, seq, "state_after"), keys, ts, seq)
+    return requests.join(now.select(*keys, F.col("state_after").alias(name)), list(keys), "left")

@@ -805,3 +805,41 @@ def q_intake_dispatch(spark, sf_dir):
                         F.col("event_id").alias("seq"), "body")
     decisions, _dead = intake.intake(req, ref_patterns=INTAKE_PATTERNS)
     return decisions.select("id", "ref", "seq", "action", "dispatched_at")
+
+
+@register("build_status", _FOLD_SQL + """
+, now AS (
+  SELECT user_id, state_after FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rk FROM traced)
+  WHERE rk = 1)
+SELECT e.event_id, e.user_id, n.state_after AS build_state_now
+FROM events e LEFT JOIN now n ON e.user_id = n.user_id
+WHERE e.event_type IN ('view', 'click', 'signup')
+""")
+def q_build_status(spark, sf_dir):
+    """D-2 batch form: request events joined with their build's current state."""
+    req = table(spark, sf_dir, "events").filter(F.col("event_type").isin(REQUEST_TYPES)).select(
+        "event_id", "user_id")
+    fold = _fold(spark, sf_dir)
+    return builds.attach_build_state(req, fold, ["user_id"], "ts", "event_id").select(
+        "event_id", "user_id", "build_state_now")
+
+
+@register("publish_outcomes", _FOLD_SQL + """
+, pub AS (SELECT t.event_id, e.value FROM traced t JOIN events e ON t.event_id = e.event_id WHERE t.publish)
+SELECT CASE WHEN value >= 5 THEN 'COMPLETE' ELSE 'OTHER' END AS outcome, count(*) AS n
+FROM pub GROUP BY 1
+""")
+def q_publish_outcomes(spark, sf_dir):
+    """J-3 -> B-3 -> C-8: publish requests carry build stats unless the
+    event's value is under 5; outcome COMPLETE / FAILED, counted per class."""
+    ev = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", "ts", "value",
+        _map_col("event_type", FOLD_STATES).alias("build_state"))
+    pubs = builds.publish_requests(builds.build_state_fold(ev, ["user_id"], "ts", "event_id"))
+    stats = F.when(F.col("value") >= 5, F.struct(
+        F.lit(-1).cast("bigint").alias("updateSourceTime"),
+        F.lit(-1).cast("bigint").alias("compilationTime"),
+        F.col("value").cast("bigint").alias("benchmarkTime")))
+    responses = results.publish_state(pubs.withColumn("buildStats", stats))
+    return states.publish_outcome_counts(responses)
