@@ -20,10 +20,18 @@ def write_queue(df: DataFrame, path: str, record: str) -> None:
     to_messages(df, record).write.mode("append").text(path)
 
 
-def write_results(rows: DataFrame, path: str) -> None:
+def write_queue_stream(df: DataFrame, path: str, record: str, checkpoint: str):
+    """B-1 (stream): messages to a JSON-lines queue folder through the file
+    sink (exactly-once via its commit log).  Returns the started query."""
+    return (to_messages(df, record).writeStream.format("text").option("path", path)
+            .option("checkpointLocation", checkpoint).start())
+
+
+def write_results(rows: DataFrame, path: str, mode: str = "append") -> None:
     """B-2: append results rows ``task,commit,date,time`` with a header and
-    CRLF line ends; each append adds part files to the history folder."""
+    CRLF line ends; each append adds part files to the history folder
+    (``mode="overwrite"`` for an idempotent per-batch folder)."""
     (rows.select("task", "commit", F.col("date").cast("timestamp").alias("date"),
                  F.col("time").cast("long").alias("time"))
-     .write.mode("append").option("header", True).option("lineSep", "\r\n")
+     .write.mode(mode).option("header", True).option("lineSep", "\r\n")
      .option("timestampFormat", CSV_DATE_FORMAT).csv(path))

@@ -34,8 +34,9 @@ def read_queue(spark: SparkSession, path: str, stream: bool = False,
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A-3: results history ``task,commit,date,time`` with a header line."""
-    return (spark.read.schema(BENCHMARK_RESULT).option("header", True)
-            .option("timestampFormat", CSV_DATE_FORMAT).csv(path))
+    df = (spark.read.schema(BENCHMARK_RESULT).option("header", True)
+          .option("timestampFormat", CSV_DATE_FORMAT).option("recursiveFileLookup", True).csv(path))
+    return df
 
 
 def read_chart_points(spark: SparkSession, path: str) -> DataFrame:
