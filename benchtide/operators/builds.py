@@ -120,14 +120,15 @@ _DISPATCH_TABLE = [
 
 def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_completion: Column,
              ts: str = "ts", seq: str = "seq", mode: str = "latest",
-             partitions: int | None = None) -> DataFrame:
+             partitions: int | None = None, persist_input: bool = False) -> DataFrame:
     """J-2: decide, per request row, whether and when its build is sent.
 
     ``mode="all"``: every request is sent on arrival.  ``mode="latest"``: a
     request is sent on arrival when its key is idle; while a build runs only
     the newest waiting request (latest ``ts``, earlier arrival on a tie) is
     kept and sent when the running build completes; the others are dropped;
-    one still waiting at the end stays in the backlog.
+    one still waiting at the end stays in the backlog.  ``persist_input``
+    keeps an expensive input plan between the scan's two passes.
 
     Returns the request rows with ``action`` in (dispatch, dispatch_backlog,
     drop, backlog) and ``dispatched_at``.
@@ -141,7 +142,8 @@ def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_comp
     code = F.when(is_request, F.lit(0)).when(is_completion, F.lit(1))
     scanned = keyed_scan(events.withColumn("_req", is_request).withColumn("_done", is_completion),
                          keys, [ts, seq], code=code, table=_DISPATCH_TABLE, flag=F.col("_done"),
-                         state_col="_busy", count_col="_seg", partitions=partitions)
+                         state_col="_busy", count_col="_seg", partitions=partitions,
+                         persist_input=persist_input)
     waiting = F.col("_req") & (F.col("_busy") != _IDLE)
     newest = F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"))
     segments = (scanned.filter(waiting | F.col("_done"))

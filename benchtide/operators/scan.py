@@ -254,7 +254,7 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                initial: int = 0, flag: Column | None = None,
                state_col: str | None = "state_before",
                count_col: str | None = "count_before",
-               partitions: int | None = None, persist_input: bool = True) -> DataFrame:
+               partitions: int | None = None, persist_input: bool = False) -> DataFrame:
     """Per key, in ascending ``order``: for every row the state of a finite-state
     machine *before* the row, and the number of earlier flagged rows.
 
@@ -262,7 +262,8 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     ``c``; a null code leaves the state unchanged.  Every key starts in
     ``initial``.  ``flag`` (boolean) selects the rows that are counted.
     ``persist_input`` keeps the input between the range-bound sampling job
-    and the scan (turn off when the input is a bare table scan).
+    and the scan; worth it only when the input plan is expensive (e.g. JSON
+    parsing) -- for a table scan re-reading is cheaper than caching.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)

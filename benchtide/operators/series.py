@@ -35,10 +35,15 @@ def index_day_filter(points: DataFrame, index_date, date: str = "date",
     """
     d = _as_ts(index_date)
     c = F.col(date)
+    dtype = points.schema[date].dataType
+    # half-open ranges on the raw column fold to literals, so the parquet
+    # scan gets them as pushed filters (row groups outside are skipped)
     if match == "day":
-        cond = F.to_date(c) == F.to_date(d)
+        day = F.to_date(d)
+        cond = (c >= day.cast(dtype)) & (c < F.date_add(day, 1).cast(dtype))
     elif match == "weekday":
-        cond = ((F.year(c) == F.year(d)) & (F.month(c) == F.month(d))
+        month = F.trunc(F.to_date(d), "month")
+        cond = ((c >= month.cast(dtype)) & (c < F.add_months(month, 1).cast(dtype))
                 & (F.dayofweek(c) == F.dayofweek(d)))
     else:
         raise ValueError(f"unknown match mode {match!r}")
@@ -53,9 +58,15 @@ def non_null_points(points: DataFrame, date: str = "date") -> DataFrame:
 def clamp_index_date(points: DataFrame, index_date, date: str = "date",
                      name: str = "index_date") -> DataFrame:
     """C-11: the index date clamped into the x-axis range (one row)."""
-    d = _as_ts(index_date)
+    return clamp_index_dates(points, {name: index_date}, date)
+
+
+def clamp_index_dates(points: DataFrame, dates: dict, date: str = "date") -> DataFrame:
+    """C-11 for several candidate dates from one extent aggregate (one row,
+    one column per name)."""
     ext = points.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-    return ext.select(F.greatest(F.least(d, F.col("_hi")), F.col("_lo")).alias(name))
+    return ext.select(*[F.greatest(F.least(_as_ts(d), F.col("_hi")), F.col("_lo")).alias(n)
+                        for n, d in dates.items()])
 
 
 def index_rows(points: DataFrame, index_date, task: str = "task", commit: str = "commit",

@@ -35,6 +35,7 @@ def intake(requests: DataFrame, body: str = "body", id_col: str = "id",
         "ref", "before", "after", "repository", "pusher", "sender")
     push = webhook.ref_filter(push, "ref", list(ref_patterns))
     req = webhook.push_to_request(push, carry=["seq"])
+    # the requests come out of JSON parsing: keep them for the scan's passes
     decisions = builds.dispatch(req, list(keys), F.lit(True), F.lit(False),
-                                ts="timeStamp", seq="seq", mode=mode)
+                                ts="timeStamp", seq="seq", mode=mode, persist_input=True)
     return decisions, dead

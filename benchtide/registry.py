@@ -87,9 +87,8 @@ FROM orders
 def q_index_clamp(spark, sf_dir):
     """C-11: the index date clamped to the x extent (in range, and past it)."""
     pts = order_points(spark, sf_dir)
-    a = series.clamp_index_date(pts, INDEX_DATE, name="index_date")
-    b = series.clamp_index_date(pts, dt.datetime(2030, 1, 1), name="late_index_date")
-    return a.crossJoin(b)
+    return series.clamp_index_dates(
+        pts, {"index_date": INDEX_DATE, "late_index_date": dt.datetime(2030, 1, 1)})
 
 
 @register("axis_extents", """
