@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from benchtide.session import checkpoint_dir
-from benchtide.streaming.processors import BuildFoldProcessor, DispatchProcessor
+from benchtide.streaming.processors import (BuildFoldProcessor, DispatchProcessor,
+                                             OrchestratorProcessor)
 
 FOLD_OUTPUT = [
     T.StructField("state_before", T.StringType()),
@@ -36,11 +37,14 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 
 def fold_stream(events: DataFrame, key_cols: Sequence[str], id_col: str, ts: str = "ts",
-                seq: str = "seq", state: str = "build_state", ttl_ms: int | None = None) -> DataFrame:
+                seq: str = "seq", state: str = "build_state",
+                keep_tombstones: bool = True) -> DataFrame:
     """J-1 on a stream: one trace row per event (same columns as the batch
-    ``build_state_fold``)."""
+    ``build_state_fold``).  ``keep_tombstones=False`` deletes finished builds
+    from state (bounded state; a repeated final event is then only flagged
+    ``out_of_order`` while its build is still recorded)."""
     schema = T.StructType(list(events.schema.fields) + FOLD_OUTPUT)
-    proc = BuildFoldProcessor(list(key_cols), id_col, ts, seq, state, ttl_ms)
+    proc = BuildFoldProcessor(list(key_cols), id_col, ts, seq, state, keep_tombstones)
     return events.groupBy(*key_cols).transformWithStateInPandas(
         statefulProcessor=proc, outputStructType=schema, outputMode="Append", timeMode="None")
 
@@ -57,6 +61,21 @@ def dispatch_stream(events: DataFrame, key_cols: Sequence[str], kind: str, ts: s
         timeMode="None")
 
 
+def orchestrate_stream(events: DataFrame, key_cols: Sequence[str], id_col: str, kind: str,
+                       ts: str = "ts", seq: str = "seq", state: str = "build_state",
+                       mode: str = "latest") -> DataFrame:
+    """J-1 + J-2 in one keyed processor (see ``OrchestratorProcessor``)."""
+    fields = [events.schema[k] for k in key_cols] + [
+        T.StructField(id_col, T.StringType()), T.StructField(ts, T.TimestampNTZType()),
+        T.StructField(seq, T.LongType()), T.StructField(kind, T.StringType()),
+        T.StructField(state, T.StringType()), T.StructField("action", T.StringType()),
+        T.StructField("dispatched_at", T.TimestampNTZType())] + FOLD_OUTPUT
+    proc = OrchestratorProcessor(list(key_cols), id_col, ts, seq, kind, state, mode)
+    return events.groupBy(*key_cols).transformWithStateInPandas(
+        statefulProcessor=proc, outputStructType=T.StructType(fields), outputMode="Append",
+        timeMode="None")
+
+
 def batch_folder_writer(path: str, fmt: str = "parquet", dedupe: Sequence[str] | None = None):
     """foreachBatch function: write each micro-batch to ``path/batch_id=N``
     (overwrite), optionally de-duplicated on ``dedupe`` within the batch."""

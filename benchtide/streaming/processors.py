@@ -33,17 +33,16 @@ class BuildFoldProcessor(StatefulProcessor):
     """J-1: apply state events to builds; emits one trace row per event.
 
     A build whose state returns to "none" is kept as a tombstone (state 0,
-    finals > 0) so a second final event is flagged ``out_of_order``; set
-    ``ttl_ms`` to expire idle entries.
+    finals > 0) so a second final event is flagged ``out_of_order``, as in
+    the batch fold; ``keep_tombstones=False`` deletes it instead.
     """
 
-    def __init__(self, key_cols, id_col, ts, seq, state, ttl_ms=None):
+    def __init__(self, key_cols, id_col, ts, seq, state, keep_tombstones=True):
         self.key_cols, self.id_col, self.ts, self.seq, self.state = key_cols, id_col, ts, seq, state
-        self.ttl_ms = ttl_ms
+        self.keep_tombstones = keep_tombstones
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.builds = handle.getMapState("builds", "id string", "state int, finals long",
-                                         self.ttl_ms)
+        self.builds = handle.getMapState("builds", "id string", "state int, finals long")
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.seq], kind="stable")
@@ -75,7 +74,7 @@ class BuildFoldProcessor(StatefulProcessor):
         for bid, val in cache.items():
             if val is None:
                 continue
-            if val[0] == 0 and val[1] == 0:
+            if val[0] == 0 and (val[1] == 0 or not self.keep_tombstones):
                 if self.builds.containsKey((bid,)):
                     self.builds.removeKey((bid,))
             else:
@@ -152,3 +151,112 @@ class DispatchProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class OrchestratorProcessor(StatefulProcessor):
+    """J-1 and J-2 together, per ref, as one keyed state machine.
+
+    Input rows have ``kind`` 'request' (a build request with its id) or
+    'state' (a build-state event for a build id).  State per ref: the
+    recorded builds (id -> state, finals), how many are live, and the one
+    waiting request.  A request is sent at once when no build of the ref is
+    live (mode 'all': always); otherwise only the newest waiting request is
+    kept.  After a final event, when the ref has become idle, the waiting
+    request is sent.  Sent requests are recorded as REQUESTED builds.
+
+    Emits one row per state event (fold trace) and one per request once its
+    fate is known (dispatch / dispatch_backlog / drop).
+    """
+
+    def __init__(self, key_cols, id_col, ts, seq, kind, state, mode="latest"):
+        self.key_cols = list(key_cols)
+        self.id_col, self.ts, self.seq, self.kind, self.state = id_col, ts, seq, kind, state
+        self.mode = mode
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.builds = handle.getMapState("builds", "id string", "state int, finals long")
+        self.live = handle.getValueState("live", "n long")
+        self.pending = handle.getValueState("pending", "id string, ts_us long, seq long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.seq], kind="stable")
+        table = fold_table()
+        requested = _idx("REQUESTED")
+        live = int(self.live.get()[0]) if self.live.exists() else 0
+        pend = tuple(self.pending.get()) if self.pending.exists() else None
+        cache = {}
+        out = []
+
+        def get(bid):
+            if bid not in cache:
+                v = self.builds.getValue((bid,)) if self.builds.containsKey((bid,)) else None
+                cache[bid] = (int(v[0]), int(v[1])) if v is not None else (0, 0)
+            return cache[bid]
+
+        def put(bid, new_state, finals):
+            nonlocal live
+            old = get(bid)[0]
+            live += int(new_state != 0) - int(old != 0)
+            cache[bid] = (new_state, finals)
+
+        def send(bid, ts_us, seq_v, action, at_us):
+            cur, finals = get(bid)
+            if cur in (0, _idx("REQUESTING")):
+                put(bid, requested, finals)
+            out.append((bid, ts_us, seq_v, "request", None, action, at_us,
+                        None, None, None, None, None))
+
+        for row in pdf.itertuples(index=False):
+            bid = str(getattr(row, self.id_col))
+            t = _ts_micros(getattr(row, self.ts))
+            sq = int(getattr(row, self.seq))
+            kind = getattr(row, self.kind)
+            if kind == "request":
+                if self.mode == "all" or live == 0:
+                    send(bid, t, sq, "dispatch", t)
+                elif pend is None or t > pend[1]:
+                    if pend is not None:
+                        out.append((pend[0], pend[1], pend[2], "request", None, "drop", None,
+                                    None, None, None, None, None))
+                    pend = (bid, t, sq)
+                else:
+                    out.append((bid, t, sq, "request", None, "drop", None,
+                                None, None, None, None, None))
+            elif kind == "state":
+                s = getattr(row, self.state)
+                before, finals = get(bid)
+                after = table[BUILD_STATES.index(s)][before] if s in BUILD_STATES else before
+                final = s in FINAL_STATES
+                prev = PREV_STATE.get(s) if s in BUILD_STATES else None
+                accepted = (s in UPDATE_SUCCESS_STATES or final) and (
+                    before == 0 or (prev is not None and before == _idx(prev)))
+                put(bid, after, finals + int(final))
+                out.append((bid, t, sq, "state", s, None, None, _NAMES[before], _NAMES[after],
+                            bool(accepted), bool(final), bool(final and finals > 0)))
+                if final and pend is not None and live == 0:
+                    send(pend[0], pend[1], pend[2], "dispatch_backlog", t)
+                    pend = None
+        for bid, (st, finals) in cache.items():
+            if st == 0 and finals == 0:
+                if self.builds.containsKey((bid,)):
+                    self.builds.removeKey((bid,))
+            else:
+                self.builds.updateValue((bid,), (int(st), int(finals)))
+        self.live.update((int(live),))
+        if pend is None:
+            self.pending.clear()
+        else:
+            self.pending.update(pend)
+        if out:
+            cols = [self.id_col, self.ts, self.seq, self.kind, self.state, "action", "dispatched_at",
+                    "state_before", "state_after", "accepted", "publish", "out_of_order"]
+            frame = pd.DataFrame(out, columns=cols)
+            frame[self.ts] = pd.to_datetime(frame[self.ts], unit="us")
+            frame["dispatched_at"] = pd.to_datetime(frame["dispatched_at"], unit="us")
+            frame[self.seq] = frame[self.seq].astype("int64")
+            for i, (k, v) in enumerate(zip(self.key_cols, key)):
+                frame.insert(i, k, v)
+            yield frame
+
+    def close(self) -> None:
+        pass

@@ -50,3 +50,36 @@ def test_response_queue_to_results_history(spark, tmp_path):
     plan.run_dead_letters(spark, queue, str(tmp_path / "dead"), str(tmp_path / "ck-dead"))
     dead = spark.read.json(str(tmp_path / "dead")).select("reason").collect()
     assert sorted(r.reason for r in dead) == ["invalid JSON", "missing field timeStamp"]
+
+
+def test_orchestrator_latest_wins(spark, tmp_path):
+    from benchtide.streaming import jobs
+
+    def at(s):
+        return T0 + dt.timedelta(seconds=s)
+    script = [("request", "A", None), ("state", "A", "UPDATING_SOURCE"),
+              ("request", "B", None), ("request", "C", None),
+              ("state", "A", "UPDATING_SOURCE_COMPLETE"), ("state", "A", "BUILDING"),
+              ("state", "A", "BUILDING_FAILED"),
+              ("request", "D", None), ("state", "C", "UPDATING_SOURCE"),
+              ("state", "C", "UPDATING_SOURCE_FAILED"), ("request", "E", None)]
+    rows = [("main", bid, at(i), i, kind, st) for i, (kind, bid, st) in enumerate(script)]
+    schema = "ref string, id string, ts timestamp_ntz, seq long, kind string, build_state string"
+    src = tmp_path / "src"
+    spark.createDataFrame(rows[:6], schema).coalesce(1).write.parquet(str(src / "p1"))
+    spark.createDataFrame(rows[6:], schema).coalesce(1).write.parquet(str(src / "p2"))
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", True)
+              .option("maxFilesPerTrigger", 1).parquet(str(src)))
+    out = jobs.orchestrate_stream(stream, ["ref"], "id", "kind")
+    jobs.run_available_now(out, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = jobs.read_batches(spark, str(tmp_path / "out")).toPandas()
+    req = {r.id: (r.action, r.dispatched_at) for r in got[got.kind == "request"].itertuples()}
+    # D is live (REQUESTED) when E arrives, so E is still waiting: no row yet
+    assert set(req) == {"A", "B", "C", "D"}
+    assert req["A"] == ("dispatch", at(0)) and req["B"][0] == "drop"
+    assert req["C"] == ("dispatch_backlog", at(6)) and req["D"] == ("dispatch_backlog", at(9))
+    fold = got[got.kind == "state"].sort_values("seq")
+    # C was recorded as REQUESTED when sent, so its first update is accepted
+    c_first = fold[(fold.id == "C")].iloc[0]
+    assert c_first.state_before == "REQUESTED" and bool(c_first.accepted)
+    assert list(fold.publish) == [False, False, False, True, False, True]
