@@ -301,12 +301,11 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     summary = (scanned.filter(F.col(_KIND) != 0)
                .select(*keys, _PID, _KIND, _HEAD, _ST, _COMP, _CNT)
                .withColumn("_bt_one", F.lit(1)))
-    # O(partitions) rows; materialised once so every consumer of the result
-    # reads it instead of re-running the resolution
+    # O(partitions) rows computed from the written scan table, so every
+    # consumer that re-evaluates it gets the same answer
     resolved = summary.groupBy("_bt_one").applyInPandas(
         _resolver(keys, initial),
         schema=f"{_PID} int, {_START} int, {_OFF} long")
-    resolved = _materialise(resolved)
     rows = scanned.filter(F.col(_KIND) == 0).join(F.broadcast(resolved), _PID, "left")
     head = F.col(_HEAD)
     result = rows
