@@ -842,3 +842,60 @@ def q_publish_outcomes(spark, sf_dir):
         F.col("value").cast("bigint").alias("benchmarkTime")))
     responses = results.publish_state(pubs.withColumn("buildStats", stats))
     return states.publish_outcome_counts(responses)
+
+
+# ---------------------------------------------------------------- sources and sinks round trips
+
+import uuid  # noqa: E402
+
+from benchtide.session import checkpoint_dir  # noqa: E402
+from benchtide.sinks import files as file_sinks  # noqa: E402
+from benchtide.sinks.deadletter import decode_messages  # noqa: E402
+from benchtide.sources import files as file_sources  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/roundtrip/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("results_roundtrip", """
+SELECT task, commit, date, CAST(time AS BIGINT) AS time FROM (
+  SELECT 'Update Source' AS task, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS commit,
+         l_shipdate AS date, l_quantity AS time FROM lineitem
+  UNION ALL
+  SELECT 'Compile Source', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), l_shipdate,
+         round(l_extendedprice * 100) FROM lineitem
+  UNION ALL
+  SELECT 'Benchmark 1', CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), l_shipdate,
+         round(l_discount * 100) FROM lineitem)
+""")
+def q_results_roundtrip(spark, sf_dir):
+    """E-3 -> B-2 -> A-3: lineitem timings (ms) unpivoted, appended to a
+    results-history CSV folder (header, CRLF, +0000 dates) and read back."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("commit"),
+        F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("updateSourceTime"),
+        F.round(F.col("l_extendedprice") * 100).alias("compilationTime"),
+        F.round(F.col("l_discount") * 100).alias("benchmarkTime"))
+    rows = results.unpivot_timings(li, ["commit", "date"])
+    path = _scratch(spark, "results")
+    file_sinks.write_results(rows, path)
+    back = file_sources.read_results(spark, path)
+    return back.select("task", "commit", F.col("date").cast("timestamp_ntz").alias("date"), "time")
+
+
+@register("queue_roundtrip", """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS "timeStamp", 'org/' || o_orderstatus AS repository,
+       'refs/heads/' || o_orderpriority AS ref, lpad(CAST(o_orderkey AS VARCHAR), 40, '0') AS commit,
+       'cust-' || CAST(o_custkey AS VARCHAR) AS author
+FROM orders
+""")
+def q_queue_roundtrip(spark, sf_dir):
+    """C-5 -> B-1 -> A-2 -> F-2: build requests written to a JSON-lines queue
+    folder and decoded back (no message is dead-lettered)."""
+    path = _scratch(spark, "queue")
+    file_sinks.write_queue(order_requests(spark, sf_dir), path, "build_request")
+    good, _dead = decode_messages(file_sources.read_queue(spark, path), "value",
+                                  "build_request", "build-requests")
+    return good.select("id", F.col("timeStamp").cast("timestamp_ntz").alias("timeStamp"),
+                       "repository", "ref", "commit", "author")
