@@ -77,3 +77,10 @@ def decode_detail(text, compression: Column | str, encoding: Column | str) -> Co
     enc = F.lit(encoding) if isinstance(encoding, str) else encoding
     packed = F.when(enc == "BASE64", b64_decode(text)).otherwise(_c(text).cast("binary"))
     return F.when(comp == "ZSTD", zstd_decompress(packed)).otherwise(packed)
+
+
+def byte_slice(data, offset, length) -> Column:
+    """A ``(data, offset, length)`` byte slice as binary (0-based offset)."""
+    off = F.lit(offset) if isinstance(offset, int) else _c(offset)
+    ln = F.lit(length) if isinstance(length, int) else _c(length)
+    return F.substr(_c(data).cast("binary"), off + 1, ln)

@@ -27,6 +27,15 @@ def write_queue_stream(df: DataFrame, path: str, record: str, checkpoint: str):
             .option("checkpointLocation", checkpoint).start())
 
 
+def write_kafka_queue_stream(df: DataFrame, bootstrap_servers: str, topic: str, record: str,
+                             checkpoint: str):
+    """B-1 on Kafka: messages as record values (at-least-once; consumers
+    de-duplicate on the message id).  Needs the Spark Kafka connector."""
+    return (to_messages(df, record).writeStream.format("kafka")
+            .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic)
+            .option("checkpointLocation", checkpoint).start())
+
+
 def write_results(rows: DataFrame, path: str, mode: str = "append") -> None:
     """B-2: append results rows ``task,commit,date,time`` with a header and
     CRLF line ends; each append adds part files to the history folder

@@ -32,6 +32,17 @@ def read_queue(spark: SparkSession, path: str, stream: bool = False,
     return reader.text(path).filter(F.length("value") > 0)
 
 
+def read_kafka_queue(spark: SparkSession, bootstrap_servers: str, topic: str,
+                     stream: bool = True, starting_offsets: str = "earliest") -> DataFrame:
+    """A-2 on Kafka: one message per record as ``value`` text, with the
+    topic partition and offset as arrival order.  Needs the Spark Kafka
+    connector on the cluster's classpath."""
+    reader = spark.readStream if stream else spark.read
+    df = (reader.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
+          .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
+    return df.select(F.col("value").cast("string").alias("value"), "partition", "offset")
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A-3: results history ``task,commit,date,time`` with a header line."""
     df = (spark.read.schema(BENCHMARK_RESULT).option("header", True)

@@ -119,3 +119,8 @@ def test_decode_enum_check(spark):
     df = spark.createDataFrame([(msg,)], "value string")
     _, dead = decode_messages(df, "value", "publish_response", "publish-responses")
     assert dead.collect()[0].reason == "unknown publishState MAYBE"
+
+
+def test_byte_slice(spark):
+    df = spark.createDataFrame([(b"0123456789",)], "b binary")
+    assert df.select(codec.byte_slice("b", 2, 3)).collect()[0][0] == b"234"
