@@ -421,8 +421,8 @@ SELECT event_id, 'refs/heads/' || event_type AS ref, lpad(CAST(event_id AS VARCH
 FROM events
 """)
 def q_json_extract(spark, sf_dir):
-    """C-1 (+F-2 path read): the six push fields from nested payload JSON,
-    and ``$.k`` from props."""
+    """C-1: the six push fields (string values only) from nested payload
+    JSON, and ``$.k`` from props."""
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props",
                                                _payload_struct().alias("body"))
     out = webhook.extract_push_fields(ev, "body")
@@ -436,7 +436,7 @@ SELECT event_id, {_VERDICT_BY_DAMAGE} AS verdict,
 FROM events
 """)
 def q_payload_verdict(spark, sf_dir):
-    """C-2 (+B-4 reason): verdict of every damaged or intact payload."""
+    """C-2: verdict of every damaged or intact payload, and its ref when OK."""
     df = webhook.classify_payloads(damaged_payloads(spark, sf_dir), "body")
     return df.select("event_id", "verdict",
                      F.when(F.col("verdict") == "OK", F.col("ref")).alias("ref"))
@@ -545,8 +545,9 @@ SELECT o_orderkey,
 FROM orders
 """)
 def q_record_decode(spark, sf_dir):
-    """F-2 (+F-8, B-4): decode build-request messages, some damaged
-    (o_orderkey % 5: 1 no ref, 2 cut short, 3 wrapped in an array)."""
+    """F-2 (+F-8): decode build-request messages, some damaged
+    (o_orderkey % 5: 1 no ref, 2 cut short, 3 wrapped in an array); ``error``
+    is the reason a message would be dead-lettered."""
     req = order_requests(spark, sf_dir).withColumn("o_orderkey", F.col("id").cast("bigint"))
     msg = records.record_json("build_request")
     m = F.col("o_orderkey") % 5
@@ -798,7 +799,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, ref, event_id AS seq,
 FROM r
 """)
 def q_intake_dispatch(spark, sf_dir):
-    """A-1 -> C-2 -> B-4 -> C-1 -> C-4 -> C-5 -> J-2: damaged webhook bodies
+    """C-2 (bad bodies split off) -> C-1 -> C-4 -> C-5 -> J-2: damaged webhook bodies
     to dispatch decisions per ref (three refs hold every request)."""
     req = damaged_payloads(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("received_at"),
                         F.col("event_id").alias("seq"), "body")
