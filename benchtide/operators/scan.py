@@ -208,30 +208,30 @@ def _resolver(key_names, initial: int):
         return True
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([_PID, _KIND])
-        out_pid, out_start, out_off = [], [], []
-        prev_key = None
+        # one pass over partitions in order; 2 summary rows per partition
+        firsts = pdf[pdf[_KIND] == 1].sort_values(_PID).reset_index(drop=True)
+        lasts = pdf[pdf[_KIND] == 2].sort_values(_PID).reset_index(drop=True)
+        pids = firsts[_PID].to_numpy()
+        first_keys = list(zip(*[firsts[k].tolist() for k in key_names]))
+        last_keys = list(zip(*[lasts[k].tolist() for k in key_names]))
+        comps, head_cnts = firsts[_COMP].tolist(), firsts[_CNT].to_numpy()
+        single, last_st, last_cnt = (lasts[_HEAD].to_numpy(), lasts[_ST].tolist(),
+                                     lasts[_CNT].to_numpy())
+        n = len(pids)
+        out_start = np.full(n, initial, dtype=np.int32)
+        out_off = np.zeros(n, dtype=np.int64)
         end_state, end_cnt = initial, 0
-        for pid, grp in pdf.groupby(_PID, sort=True):
-            first = grp[grp[_KIND] == 1].iloc[0]
-            last = grp[grp[_KIND] == 2].iloc[0]
-            fkey = tuple(first[k] for k in key_names)
-            if prev_key is not None and same(fkey, prev_key):
-                start, off = end_state, end_cnt
-            else:
-                start, off = initial, 0
-            out_pid.append(pid)
-            out_start.append(start)
-            out_off.append(off)
-            if bool(last[_HEAD]):
-                comp = first[_COMP]
+        for i in range(n):
+            if i > 0 and same(first_keys[i], last_keys[i - 1]):
+                out_start[i], out_off[i] = end_state, end_cnt
+            start, off = int(out_start[i]), int(out_off[i])
+            if bool(single[i]):
+                comp = comps[i]
                 end_state = int(comp[start]) if comp is not None and len(comp) else initial
-                end_cnt = off + int(first[_CNT])
+                end_cnt = off + int(head_cnts[i])
             else:
-                end_state = int(last[_ST])
-                end_cnt = int(last[_CNT])
-            prev_key = tuple(last[k] for k in key_names)
-        return pd.DataFrame({_PID: pd.Series(out_pid, dtype="int32"),
+                end_state, end_cnt = int(last_st[i]), int(last_cnt[i])
+        return pd.DataFrame({_PID: pd.Series(pids, dtype="int32"),
                              _START: pd.Series(out_start, dtype="int32"),
                              _OFF: pd.Series(out_off, dtype="int64")})
 
