@@ -60,3 +60,24 @@ def test_scan_keeps_every_row_and_column(spark):
     out = keyed_scan(df, ["k"], ["ts"], flag=F.lit(True), state_col=None)
     assert sorted(out.columns) == ["count_before", "k", "ts", "v"]
     assert sorted((r.v, r.count_before) for r in out.collect()) == [("x", 0), ("y", 1), ("z", 0)]
+
+
+def test_hot_key_is_spread_over_partitions(spark, monkeypatch):
+    import benchtide.operators.scan as S
+
+    seen = []
+    real = S._materialise
+
+    def capture(df):
+        out = real(df)
+        seen.append(out)
+        return out
+
+    monkeypatch.setattr(S, "_materialise", capture)
+    df = spark.range(20000).select(F.lit("hot").alias("k"), F.col("id").alias("seq"))
+    out = keyed_row_number(df, ["k"], ["seq"], partitions=8)
+    assert out.agg(F.max("row_number")).collect()[0][0] == 20000
+    data = seen[0].filter(F.col(S._KIND) == 0)
+    shares = [r["count"] / 20000 for r in data.groupBy(S._PID).count().collect()]
+    # the single key is cut into several similar ranges, not one task
+    assert len(shares) >= 6 and max(shares) < 0.3
