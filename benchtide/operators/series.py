@@ -64,8 +64,9 @@ def clamp_index_date(points: DataFrame, index_date, date: str = "date",
 def clamp_index_dates(points: DataFrame, dates: dict, date: str = "date") -> DataFrame:
     """C-11 for several candidate dates from one extent aggregate (one row,
     one column per name)."""
+    dtype = points.schema[date].dataType
     ext = points.agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
-    return ext.select(*[F.greatest(F.least(_as_ts(d), F.col("_hi")), F.col("_lo")).alias(n)
+    return ext.select(*[F.greatest(F.least(_as_ts(d).cast(dtype), F.col("_hi")), F.col("_lo")).alias(n)
                         for n, d in dates.items()])
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.operators import builds, webhook
+from benchtide.operators.fence import computed_once
 from benchtide.sinks.deadletter import split_dead_letters
 
 
@@ -27,6 +28,8 @@ def intake(requests: DataFrame, body: str = "body", id_col: str = "id",
     bodies with their verdict.
     """
     checked = webhook.classify_payloads(requests, body, "_verdict")
+    # the dead-letter split and the ref filter read these: compute them once
+    checked = computed_once(checked, ["_verdict", *webhook.PAYLOAD_FIELDS])
     reason = F.when(F.col("_verdict") != webhook.OK, F.col("_verdict"))
     good, dead = split_dead_letters(checked.withColumn("_reason", reason).drop("_verdict"),
                                     "_reason", body, "webhook")

@@ -395,16 +395,19 @@ def _payload_struct(ref=None, after=True, pusher=None):
 def damaged_payloads(spark, sf_dir) -> DataFrame:
     """events as webhook bodies, one kind of damage per event_id % 7:
     0 cut short, 1 empty, 2 no ``after``, 3 numeric ``ref``, 4 wrapped in an
-    array, 5 empty pusher name, 6 intact."""
-    ev = table(spark, sf_dir, "events")
-    good = _payload_struct()
+    array, 5 empty pusher name, 6 intact.  The intact JSON is built once and
+    the damaged forms are text edits of it."""
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", "event_type", "props", _payload_struct().alias("_good"))
+    good = F.col("_good")
     m = F.col("event_id") % 7
     body = (F.when(m == 0, F.substring(good, 1, 60))
             .when(m == 1, F.lit(""))
-            .when(m == 2, _payload_struct(after=False))
-            .when(m == 3, _payload_struct(ref=F.col("event_id")))
+            .when(m == 2, F.regexp_replace(good, r',"after":"[^"]*"', ""))
+            .when(m == 3, F.regexp_replace(good, r'^\{"ref":"[^"]*"',
+                                           F.concat(F.lit('{"ref":'), F.col("event_id").cast("string"))))
             .when(m == 4, F.concat(F.lit("["), good, F.lit("]")))
-            .when(m == 5, _payload_struct(pusher=F.lit("")))
+            .when(m == 5, F.regexp_replace(good, r'"pusher":\{"name":"[^"]*"\}', '"pusher":{"name":""}'))
             .otherwise(good))
     return ev.select("event_id", "ts", "user_id", "event_type", "props", body.alias("body"))
 

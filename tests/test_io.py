@@ -82,3 +82,16 @@ def test_changed_assets(spark):
     current = spark.createDataFrame([("a.html", "A1"), ("b.js", "B")], "name string, content string")
     got = sorted((r.name, r.change) for r in changed_assets(shipped, current).collect())
     assert got == [("a.html", "changed"), ("c.css", "new")]
+
+
+def test_payload_source_stream(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"ref": "refs/heads/main"}')
+    (src / "b.json").write_text("[1,\n2]")
+    stream = sources.read_payloads(spark, str(src), stream=True)
+    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(r.body for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == ['[1,\n2]', '{"ref": "refs/heads/main"}']

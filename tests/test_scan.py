@@ -81,3 +81,34 @@ def test_hot_key_is_spread_over_partitions(spark, monkeypatch):
     shares = [r["count"] / 20000 for r in data.groupBy(S._PID).count().collect()]
     # the single key is cut into several similar ranges, not one task
     assert len(shares) >= 6 and max(shares) < 0.3
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@st.composite
+def fsm_cases(draw):
+    k = draw(st.integers(2, 6))
+    n_codes = draw(st.integers(1, 4))
+    table = [[draw(st.integers(0, k - 1)) for _ in range(k)] for _ in range(n_codes)]
+    n = draw(st.integers(1, 300))
+    keys = draw(st.lists(st.sampled_from(["a", "b", "c", None]), min_size=n, max_size=n))
+    ts = draw(st.lists(st.integers(0, 20), min_size=n, max_size=n))
+    codes = draw(st.lists(st.one_of(st.none(), st.integers(0, n_codes - 1)), min_size=n, max_size=n))
+    flags = draw(st.lists(st.booleans(), min_size=n, max_size=n))
+    parts = draw(st.integers(1, 12))
+    initial = draw(st.integers(0, k - 1))
+    rows = [(keys[i], 0, ts[i], i, codes[i], flags[i]) for i in range(n)]
+    return table, rows, parts, initial
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(case=fsm_cases())
+def test_scan_property(spark, case):
+    table, rows, parts, initial = case
+    df = spark.createDataFrame(rows, "k1 string, k2 int, ts int, seq int, code int, fl boolean")
+    out = keyed_scan(df, ["k1", "k2"], ["ts", "seq"], code=F.col("code"), table=table,
+                     initial=initial, flag=F.col("fl"), partitions=parts)
+    got = {r.seq: (r.state_before, r.count_before) for r in out.collect()}
+    assert got == simulate(rows, table, initial)
