@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchtide.functions.records import decode_records
+from benchtide.operators.fence import computed_once
 from benchtide.operators.results import publish_state, results_rows
 from benchtide.sinks.files import write_results
 from benchtide.sources.files import read_queue
@@ -22,7 +23,8 @@ def decoded_responses(spark: SparkSession, queue: str, stream: bool = True,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Build-response messages with ``record`` / ``error`` columns."""
     raw = read_queue(spark, queue, stream=stream, max_files_per_trigger=max_files_per_trigger)
-    return decode_records(raw, "value", "build_response")
+    # callers filter on the error: decode once
+    return computed_once(decode_records(raw, "value", "build_response"), ["record", "error"])
 
 
 def state_events(decoded: DataFrame) -> DataFrame:
