@@ -83,3 +83,35 @@ def test_orchestrator_latest_wins(spark, tmp_path):
     c_first = fold[(fold.id == "C")].iloc[0]
     assert c_first.state_before == "REQUESTED" and bool(c_first.accepted)
     assert list(fold.publish) == [False, False, False, True, False, True]
+
+
+def test_intake_stream(spark, tmp_path):
+    import json as _json
+    import os
+    import time
+
+    from benchtide.plans.intake import run_intake_stream
+    from benchtide.streaming import jobs
+
+    src = tmp_path / "bodies"
+    src.mkdir()
+
+    def payload(ref, after):
+        return _json.dumps({"ref": ref, "before": "b" * 40, "after": after,
+                            "repository": {"full_name": "org/repo"}, "pusher": {"name": "p"},
+                            "sender": {"login": "s"}})
+    bodies = [("1.json", payload("refs/heads/main", "c1")), ("2.json", payload("refs/heads/main", "c2")),
+              ("3.json", "<not-json/>"), ("4.json", payload("refs/tags/v1", "c3")),
+              ("5.json", payload("refs/heads/dev", "c4"))]
+    for i, (name, text) in enumerate(bodies):
+        path = src / name
+        path.write_text(text)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    run_intake_stream(spark, str(src), str(tmp_path / "dec"), str(tmp_path / "dead"),
+                      str(tmp_path / "ck"), ref_patterns=["refs/heads/.*"])
+    dec = jobs.read_batches(spark, str(tmp_path / "dec")).collect()
+    got = sorted((r.ref, r.id.rsplit("/", 1)[-1], r.action) for r in dec)
+    # main: the first request is sent, the second waits (no row yet); dev: sent
+    assert got == [("refs/heads/dev", "5.json", "dispatch"), ("refs/heads/main", "1.json", "dispatch")]
+    dead = spark.read.json(str(tmp_path / "dead")).collect()
+    assert [(r.queue, r.reason) for r in dead] == [("webhook", "INVALID_JSON")]
