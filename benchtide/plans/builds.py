@@ -56,9 +56,10 @@ def run_results_history(spark: SparkSession, queue: str, history: str, publish_o
                               ["ref"], "build_id", "ts", "seq", "build_state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # a re-delivered response message must not publish twice
         pubs = batch.filter(F.col("publish")).select(
             "ref", "build_id", "response_id", "commit", F.col("ts").alias("date"),
-            "buildStats", "out_of_order")
+            "buildStats", "out_of_order").dropDuplicates(["response_id"])
         pubs = pubs.persist()
         write_results(results_rows(pubs), f"{history.rstrip('/')}/batch_id={batch_id}",
                       mode="overwrite")
