@@ -151,7 +151,12 @@ def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_comp
                 .agg(F.max(F.when(waiting, newest)).alias("_win"),
                      F.max(F.when(F.col("_done"), F.col(ts))).alias("_closed_at")))
     requests = scanned.filter(F.col("_req"))
-    joined = requests.join(segments, [*keys, "_seg"], "left")
+    # null keys form a group in the scan, so match them null-safely here too
+    seg = segments.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                          F.col("_seg").alias("_sseg"), "_win", "_closed_at")
+    cond = [requests[k].eqNullSafe(seg[f"_sk{i}"]) for i, k in enumerate(keys)]
+    joined = requests.join(seg, cond + [requests["_seg"] == seg["_sseg"]], "left").drop(
+        *[f"_sk{i}" for i in range(len(keys))], "_sseg")
     winner = ((F.col("_win.t") == F.col(ts)) & (F.col("_win.s") == -F.col(seq)))
     action = (F.when(F.col("_busy") == _IDLE, "dispatch")
               .when(winner & F.col("_closed_at").isNotNull(), "dispatch_backlog")

@@ -178,3 +178,10 @@ def test_stream_fold_matches_batch_and_survives_restart(spark, tmp_path):
     b = stream[cols].sort_values("seq").reset_index(drop=True)
     pd.testing.assert_frame_equal(a.astype(object).where(a.notna(), None),
                                   b.astype(object).where(b.notna(), None), check_dtype=False)
+
+
+def test_dispatch_null_key_is_a_group(spark):
+    rows = [(None, T0 + dt.timedelta(seconds=i), i, k) for i, k in enumerate("RRRC")]
+    df = spark.createDataFrame(rows, "ref string, ts timestamp, seq long, kind string")
+    out = builds.dispatch(df, ["ref"], F.col("kind") == "R", F.col("kind") == "C", "ts", "seq")
+    assert {r.seq: r.action for r in out.collect()} == {0: "dispatch", 1: "drop", 2: "dispatch_backlog"}
