@@ -217,5 +217,9 @@ def attach_build_state(requests: DataFrame, fold: DataFrame, keys: Sequence[str]
     """D-2 (batch): each request row gets its build's current state (after
     the build's last event; null when none is recorded).  The state side is
     one row per build (a partial aggregate), joined on the build keys."""
+    keys = list(keys)
     now = latest_per_key(fold.select(*keys, ts, seq, "state_after"), keys, ts, seq)
-    return requests.join(now.select(*keys, F.col("state_after").alias(name)), list(keys), "left")
+    now = now.select(*[F.col(k).alias(f"_nk{i}") for i, k in enumerate(keys)],
+                     F.col("state_after").alias(name))
+    cond = [requests[k].eqNullSafe(now[f"_nk{i}"]) for i, k in enumerate(keys)]
+    return requests.join(now, cond, "left").drop(*[f"_nk{i}" for i in range(len(keys))])
