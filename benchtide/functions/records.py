@@ -76,25 +76,45 @@ def is_json_object_text(text) -> Column:
     return c.rlike(r"^\s*\{")
 
 
+def _kind_matches(kind: Column, dtype: T.DataType) -> Column:
+    """Does a VARIANT kind (``schema_of_variant`` text) fit a field type?"""
+    if isinstance(dtype, (T.StringType, *_TS_TYPES)):
+        return kind == "STRING"
+    if isinstance(dtype, (T.LongType, T.IntegerType)):
+        return (kind == "BIGINT") | kind.startswith("DECIMAL(") & kind.endswith(",0)")
+    if isinstance(dtype, T.StructType):
+        return kind.startswith("OBJECT")
+    if isinstance(dtype, T.ArrayType):
+        return kind.startswith("ARRAY")
+    return F.lit(True)
+
+
 def decode_records(df: DataFrame, text: str, record: str, out: str = "record",
                    error: str = "error") -> DataFrame:
     """F-2 (+F-7, F-8): add ``out`` (the typed record) and ``error`` for a
     column of JSON text messages.
 
     ``error`` is null for a good message; otherwise the first problem found:
-    invalid JSON, not a JSON object, a missing required field, a bad
-    timestamp, or an unknown enum name.  ``out`` is null whenever ``error``
+    invalid JSON, not a JSON object, a missing required field, a field of
+    the wrong JSON kind, a bad timestamp, or an unknown enum name.  ``out`` is null whenever ``error``
     is set.  The JSON is parsed once in its own projection; the checks then
     read plain columns, so no branch of the check chain parses it again.
     """
     schema, required = RECORDS[record]
-    raw, is_json, typed = "_bt_raw", "_bt_json", "_bt_typed"
+    raw, var, typed = "_bt_raw", "_bt_var", "_bt_typed"
     staged = df.withColumn(raw, F.from_json(F.col(text), _text_schema(schema))).withColumn(
-        is_json, F.try_parse_json(F.col(text)).isNotNull())
+        var, F.try_parse_json(F.col(text)))
     staged = staged.withColumn(typed, _typed(F.col(raw), schema))
-    r, t = F.col(raw), F.col(typed)
-    checks = [(~F.coalesce(F.col(is_json), F.lit(False)), F.lit("invalid JSON")),
+    r, t, v = F.col(raw), F.col(typed), F.col(var)
+    checks = [(v.isNull(), F.lit("invalid JSON")),
               (~is_json_object_text(text), F.lit("not a JSON object"))]
+    # from_json turns a number or an object into text (and a string into a
+    # null number); the record wants the JSON kind its field declares
+    for f in schema.fields:
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$.{f.name}", "variant"))
+        present = kind.isNotNull() & (kind != "VOID")
+        checks.append((present & ~_kind_matches(kind, f.dataType),
+                       F.lit(f"wrong kind for {f.name}")))
     for name in required:
         checks.append((r[name].isNull(), F.lit(f"missing field {name}")))
     for f in schema.fields:
@@ -108,4 +128,4 @@ def decode_records(df: DataFrame, text: str, record: str, out: str = "record",
         err = F.when(cond, reason) if err is None else err.when(cond, reason)
     return (staged.withColumn(error, err)
             .withColumn(out, F.when(F.col(error).isNull(), t))
-            .drop(raw, is_json, typed))
+            .drop(raw, var, typed))

@@ -124,3 +124,19 @@ def test_decode_enum_check(spark):
 def test_byte_slice(spark):
     df = spark.createDataFrame([(b"0123456789",)], "b binary")
     assert df.select(codec.byte_slice("b", 2, 3)).collect()[0][0] == b"234"
+
+
+def test_decode_rejects_wrong_kinds(spark):
+    base = {"id": "r1", "timeStamp": "2021-06-01T10:00Z[UTC]", "repository": "repo",
+            "ref": "refs/heads/main", "commit": "abc", "author": "me"}
+    texts = [json.dumps(dict(base, ref={"x": 1})), json.dumps(dict(base, commit=5)),
+             json.dumps(dict(base, author=None)), json.dumps(base)]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    ok, dead = decode_messages(df, "value", "build_request", "q")
+    assert sorted(r.reason for r in dead.collect()) == [
+        "missing field author", "wrong kind for commit", "wrong kind for ref"]
+    assert ok.count() == 1
+    stats = spark.createDataFrame([('{"updateSourceTime": 1, "compilationTime": 2, "benchmarkTime": "3"}',)],
+                                  "value string")
+    _, dead = decode_messages(stats, "value", "build_stats", "q")
+    assert [r.reason for r in dead.collect()] == ["wrong kind for benchmarkTime"]
