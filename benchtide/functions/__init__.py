@@ -1,0 +1 @@
+"""Column functions: message records, timestamps, codecs, list/map/enum text."""

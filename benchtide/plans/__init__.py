@@ -1,0 +1 @@
+"""End-to-end chains built from the operators (batch and streaming)."""

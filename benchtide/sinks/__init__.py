@@ -1,0 +1 @@
+"""Sinks: queue messages, results history CSV, dead letters, changed assets."""

@@ -1,0 +1 @@
+"""Keyed stateful stream processors and availableNow jobs with idempotent sinks."""

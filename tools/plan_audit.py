@@ -21,8 +21,8 @@ def summary(plan: str) -> str:
     single = len(re.findall(r"Exchange SinglePartition", plan))
     bc = len(re.findall(r"BroadcastExchange", plan))
     py = len(re.findall(r"MapInArrow|ArrowEvalPython|FlatMapGroupsInPandas|BatchEvalPython|PythonMapInArrow", plan))
-    scans = re.findall(r"ReadSchema: (struct<[^\n]*>)", plan)
-    pushed = [p for p in re.findall(r"PushedFilters: (\[[^\n]*\])", plan) if p != "[]"]
+    scans = re.findall(r"ReadSchema: (struct<[^,\]]*(?:,[^,\]]*)*>)", plan)
+    pushed = [p for p in re.findall(r"PushedFilters: (\[[^\]]*\])", plan) if p != "[]"]
     return (f"exchanges={ex} single_partition={single} broadcasts={bc} python_ops={py} "
             f"scans={[s[:90] for s in scans]} pushed={pushed}")
 
