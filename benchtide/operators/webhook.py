@@ -6,6 +6,7 @@ All are column expressions over a text column; the JSON is parsed in the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -133,18 +134,39 @@ def validate_patterns(spark, patterns: Sequence[str]) -> None:
         spark.range(1).select(*[F.lit("").rlike(p) for p in patterns]).collect()
 
 
+# a literal prefix followed by ".*": matches exactly the values that start
+# with the prefix and hold no line terminator after it (Java "." excludes them)
+_PREFIX_PATTERN = re.compile(r"^([A-Za-z0-9_/\-]*)\.\*$")
+_LINE_TERMINATORS = "[\n\r\u0085\u2028\u2029]"
+
+
+def _one_pattern(r: Column, pattern: str) -> Column:
+    m = _PREFIX_PATTERN.match(pattern)
+    if m:
+        # startswith reaches the parquet scan as a pushed filter
+        return r.startswith(m.group(1)) & ~r.rlike(_LINE_TERMINATORS)
+    return r.rlike(r"\A(?:" + pattern + r")\z")
+
+
 def ref_matches(ref, patterns: Sequence[str]) -> Column:
     """C-4: true when no patterns are given or any pattern matches all of ``ref``."""
     if not patterns:
         return F.lit(True)
     r = _c(ref)
-    return reduce(lambda a, b: a | b, [r.rlike(r"\A(?:" + p + r")\z") for p in patterns])
+    cond = reduce(lambda a, b: a | b, [_one_pattern(r, p) for p in patterns])
+    prefixes = [_PREFIX_PATTERN.match(p) for p in patterns]
+    if all(prefixes):
+        # implied by cond, and on its own convertible to a parquet filter
+        cond = reduce(lambda a, b: a | b, [r.startswith(m.group(1)) for m in prefixes]) & cond
+    return cond
 
 
 def ref_filter(df: DataFrame, ref: str, patterns: Sequence[str]) -> DataFrame:
     """C-4 as a filter (patterns are checked first)."""
     validate_patterns(df.sparkSession, patterns)
-    return df.filter(F.coalesce(ref_matches(ref, patterns), F.lit(False)))
+    # a null match drops the row, as false would; no coalesce, so prefix
+    # patterns can still reach the scan
+    return df.filter(ref_matches(ref, patterns))
 
 
 def push_to_request(push: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

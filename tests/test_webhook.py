@@ -96,3 +96,10 @@ def test_push_to_request(spark):
                                " repository string, pusher string, sender string")
     r = webhook.push_to_request(df).collect()[0]
     assert (r.repository, r.ref, r.commit, r.author) == ("repo", "r", "a", "s")
+
+
+def test_prefix_pattern_is_exact(spark):
+    df = spark.createDataFrame([("refs/heads/a",), ("refs/heads/a\nb",), ("refs/tags/x",), ("refs/heads/",)],
+                               "ref string")
+    keep = sorted(r.ref for r in webhook.ref_filter(df, "ref", ["refs/heads/.*"]).collect())
+    assert keep == ["refs/heads/", "refs/heads/a"]
