@@ -278,12 +278,17 @@ def keyed_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         code_col = F.lit(0)
     flag_col = F.coalesce(flag.cast("long"), F.lit(0)) if flag is not None else F.lit(0)
     work = df.withColumn(_CODE, code_col.cast("int")).withColumn(_FLAG, flag_col.cast("long"))
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if persist_input:
         # range partitioning samples its input in a first job; keep the input
         # so that pass does not recompute an expensive upstream plan
         work = work.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = work.repartitionByRange(n_parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    if partitions:
+        ranged = work.repartitionByRange(partitions, *keys, *order)
+    else:
+        # spark.sql.shuffle.partitions ranges; AQE may merge adjacent small
+        # ones (order is kept), while a big hot key stays cut into many
+        ranged = work.repartitionByRange(*keys, *order)
+    ranged = ranged.sortWithinPartitions(*keys, *order)
     # summary rows carry nulls in every non-key column, so all are nullable
     out_schema = T.StructType([T.StructField(f.name, f.dataType, True)
                                for f in work.schema.fields] + [
