@@ -140,3 +140,18 @@ def test_decode_rejects_wrong_kinds(spark):
                                   "value string")
     _, dead = decode_messages(stats, "value", "build_stats", "q")
     assert [r.reason for r in dead.collect()] == ["wrong kind for benchmarkTime"]
+
+
+def test_decode_rejects_wrong_nested_kinds(spark):
+    req = {"id": "r", "timeStamp": "2021-06-01T10:00Z[UTC]", "repository": "a", "ref": "b",
+           "commit": "c", "author": "d"}
+    base = {"id": "x", "timeStamp": "2021-06-01T10:00Z[UTC]", "buildState": "BUILDING",
+            "buildRequest": req}
+    texts = [json.dumps(base), json.dumps(dict(base, buildRequest="r")),
+             json.dumps(dict(base, buildDetails={"type": "STDOUT_LOG"})),
+             json.dumps(dict(base, buildStats=[1, 2, 3])), json.dumps(dict(base, buildStats=None))]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    ok, dead = decode_messages(df, "value", "build_response", "q")
+    assert sorted(r.reason for r in dead.collect()) == [
+        "wrong kind for buildDetails", "wrong kind for buildRequest", "wrong kind for buildStats"]
+    assert ok.count() == 2
