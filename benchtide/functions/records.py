@@ -61,15 +61,6 @@ def _typed(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-def json_kind(text, path: str = "$") -> Column:
-    """Kind of the JSON value at ``path``: OBJECT, ARRAY, STRING, BIGINT, ...
-    (null when the text is not JSON or the path is absent)."""
-    c = F.col(text) if isinstance(text, str) else text
-    v = F.try_parse_json(c)
-    node = v if path == "$" else F.try_variant_get(v, path, "variant")
-    return F.regexp_extract(F.schema_of_variant(node), r"^([A-Z_]+)", 1)
-
-
 def is_json_object_text(text) -> Column:
     """Cheap test that (valid) JSON text holds an object at the top."""
     c = F.col(text) if isinstance(text, str) else text

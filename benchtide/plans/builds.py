@@ -57,7 +57,7 @@ def run_results_history(spark: SparkSession, queue: str, history: str, publish_o
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a re-delivered response message must not publish twice
-        pubs = batch.filter(F.col("publish")).select(
+        pubs = jobs.publish_stream(batch).select(
             "ref", "build_id", "response_id", "commit", F.col("ts").alias("date"),
             "buildStats", "out_of_order").dropDuplicates(["response_id"])
         pubs = pubs.persist()

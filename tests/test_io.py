@@ -95,3 +95,24 @@ def test_payload_source_stream(spark, tmp_path):
     q.awaitTermination()
     got = sorted(r.body for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == ['[1,\n2]', '{"ref": "refs/heads/main"}']
+
+
+def test_queue_sink_stream_and_outcome_split(spark, tmp_path):
+    from benchtide.operators.states import publish_outcome_counts, split_publish_outcomes
+
+    schema = "id string, timeStamp timestamp_ntz, repository string, ref string, commit string, author string"
+    spark.createDataFrame([("r1", T, "repo", "refs/heads/main", "abc", "me"),
+                           ("r2", T, "repo", "refs/heads/dev", "def", "me")], schema) \
+        .write.parquet(str(tmp_path / "src"))
+    q = sinks.write_queue_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "src")),
+                                 str(tmp_path / "q"), "build_request", str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    ok, dead = decode_messages(sources.read_queue(spark, str(tmp_path / "q")), "value",
+                               "build_request", "q")
+    assert sorted(r.id for r in ok.collect()) == ["r1", "r2"] and dead.count() == 0
+    resp = spark.createDataFrame([("a", "COMPLETE"), ("b", "FAILED"), ("c", None)],
+                                 "id string, publishState string")
+    done, other = split_publish_outcomes(resp)
+    assert (done.count(), other.count()) == (1, 2)
+    assert {r.outcome: r.n for r in publish_outcome_counts(resp).collect()} == {"COMPLETE": 1, "OTHER": 2}
