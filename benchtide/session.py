@@ -6,7 +6,10 @@ is a convenience for tests, benchmarks and local runs.
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,10 +37,40 @@ STATE_STORE_PROVIDER = (
 )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``benchtide`` importable in the Python workers: zip the package
+    once per application and add it with ``addPyFile`` (the same as
+    ``--py-files``), since UDFs and processors refer to its functions."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="benchtide-pyfiles-"), "benchtide.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, dirs, files in os.walk(pkg_dir):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    # the transformWithState Python runner does not see addPyFile includes:
+    # send the package's functions and processor classes by value as well
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules["benchtide"])
+    _SHIPPED.add(sc.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL options the library depends on."""
+    """Apply the runtime SQL options the library depends on and ship the
+    package to the Python workers."""
     for key, value in SQL_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
