@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import langid, quality, repetition
+from benchtide.llm import langid, packing, quality, repetition
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,11 @@ def q_language(spark, sf_dir):
 def q_rules(spark, sf_dir):
     """Repetition rules over every document."""
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
+
+
+@register("op9_pack")
+def q_pack(spark, sf_dir):
+    """Packs the pieces of every document into sequences of at most 4096 tokens."""
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"))
+    return packing.pack(pieces).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
