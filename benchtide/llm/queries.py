@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import langid, packing, quality, repetition
+from benchtide.llm import langid, packing, quality, repetition, shards
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,11 @@ def q_pack(spark, sf_dir):
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"))
     return packing.pack(pieces).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@register("op6_token_shards")
+def q_shards(spark, sf_dir):
+    """Writes every document's tokens as shards in training order and reads them back."""
+    rows = shards.materialise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("slot", "shard", "at", "n_tokens", "ids_crc32",
+                       F.col("docs.doc_id").alias("doc_ids"))
