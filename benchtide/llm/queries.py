@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import langid, packing, quality, repetition, shards
+from benchtide.llm import langid, packing, quality, repetition, secrets, shards
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +65,10 @@ def q_shards(spark, sf_dir):
     rows = shards.materialise(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("slot", "shard", "at", "n_tokens", "ids_crc32",
                        F.col("docs.doc_id").alias("doc_ids"))
+
+
+@register("op5_secret_scan")
+def q_secrets(spark, sf_dir):
+    """Rule and network spans of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.train(docs))
