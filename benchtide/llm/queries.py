@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import langid, packing, quality, repetition, secrets, shards
+from benchtide.llm import decontaminate, langid, packing, quality, repetition, secrets, shards
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,9 @@ def q_secrets(spark, sf_dir):
     """Rule and network spans of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.scan(docs, secrets.train(docs))
+
+
+@register("op1_decontaminate")
+def q_decontaminate(spark, sf_dir):
+    """Overlaps of every document with every benchmark item."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
