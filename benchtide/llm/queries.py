@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import decontaminate, langid, packing, quality, repetition, secrets, shards
+from benchtide.llm import decontaminate, langid, minhash, packing, quality, repetition, secrets, shards
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +78,9 @@ def q_secrets(spark, sf_dir):
 def q_decontaminate(spark, sf_dir):
     """Overlaps of every document with every benchmark item."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_minhash_dedup")
+def q_near(spark, sf_dir):
+    """Near-duplicate group of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("d1", "d2")
