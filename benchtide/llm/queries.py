@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import decontaminate, langid, minhash, packing, quality, repetition, secrets, shards
+from benchtide.llm import decontaminate, langid, minhash, packing, quality, repetition, secrets, shards, suffixes
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,9 @@ def q_decontaminate(spark, sf_dir):
 def q_near(spark, sf_dir):
     """Near-duplicate group of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("d1", "d2")
+
+
+@register("op4_suffix_dedup")
+def q_suffixes(spark, sf_dir):
+    """Repeated 100-byte strings removed from every document."""
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
