@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import decontaminate, langid, minhash, packing, quality, repetition, secrets, shards, suffixes
+from benchtide.llm import decontaminate, langid, minhash, packing, pii, quality, repetition, secrets, shards, suffixes
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,9 @@ def q_near(spark, sf_dir):
 def q_suffixes(spark, sf_dir):
     """Repeated 100-byte strings removed from every document."""
     return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
+@register("op7_pii")
+def q_pii(spark, sf_dir):
+    """Personal data and disclosing words of every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
