@@ -215,11 +215,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, and the
-    digest (d1, d2) of its shingle set."""
+    """One row per document: doc_id, n_shingles, component_id, kept, a hash of
+    the text (_th) and a number of its group (_root, null without words)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    signed = stage(texts.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*"), "near-signed")
+    signed = stage(texts.select("doc_id", F.xxhash64("text").alias("_th"), signature("text").alias("s"))
+                   .select("doc_id", "_th", "s.*"), "near-signed")
     some = signed.where("n_shingles > 0")
     order = F.coalesce("doc_id", F.lit(NO_ID))
     first = some.groupBy("d1", "d2").agg(F.min(order).alias("id"))
@@ -284,23 +285,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owner = classes.select("d1", "d2", "cid", "id").join(
         roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = owner.groupBy("root").agg(F.min("id").alias("component"))
-    by_class = owner.join(smallest, "root").select("d1", "d2", "component")
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
+    by_class = owner.join(smallest, "root").select("d1", "d2", "component", F.col("root").alias("_root"))
+    out = signed.select("doc_id", "_th", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left")
     component = F.when(F.col("component").isNull(), F.col("doc_id")).when(
         F.col("component") != NO_ID, F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"), "d1", "d2")
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "_th", "_root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one of the smallest id, with its
-    columns unchanged; all documents without words stay."""
+    """One document of each group, the one of the smallest id (and hash, if it
+    is there twice), columns unchanged; all documents without words stay."""
     groups = near_duplicates(docs, id_col, text_col)
-    kept = groups.where("kept and n_shingles > 0").select(
-        F.col("doc_id").alias("_kept_id"), "d1", "d2").dropDuplicates()
-    keyed = docs.withColumn("_digest", signature_digest(text_of(text_col)))
-    empty = keyed.where(~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    chosen = (keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id"))
-                         & (F.col("_digest.d1") == F.col("d1")) & (F.col("_digest.d2") == F.col("d2")))
-              .dropDuplicates(["_kept_id", "d1", "d2"]))
-    return chosen.select(docs.columns).unionByName(empty.select(docs.columns))
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
+    first = (groups.where("kept and _root is not null").groupBy("_root")
+             .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_th")).alias("k"))
+             .select(F.col("k.id").alias("_id"), F.col("k._th").alias("_th")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_id"),
+                       F.xxhash64(text_of(text_col)).alias("_th"),
+                       text_of(text_col).rlike(r"[^\x20\x09-\x0D]").alias("_some"))
+    chosen = rows.where("_some").join(first, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+    return chosen.select("_row.*").unionByName(rows.where("not _some").select("_row.*"))

@@ -83,7 +83,7 @@ def q_decontaminate(spark, sf_dir):
 @register("op3_minhash_dedup")
 def q_near(spark, sf_dir):
     """Near-duplicate group of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("d1", "d2")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_th", "_root")
 
 
 @register("op4_suffix_dedup")
