@@ -12,8 +12,9 @@ that share a band key are candidates:
    block; nothing is left out, however large the bucket.
 
 In both, pairs whose collision-corrected similarity can't reach the limit go
-(``KEEP_SIGMAS`` standard errors below it), and the rest are confirmed on the
-full shingle sets.  Confirmed links give components.
+(``KEEP_SIGMAS`` standard errors below it), in the second also those that the
+known distances to the pivot rule out; the rest are confirmed on the full
+shingle sets.  Confirmed links give components.
 
 With 42 bands of 6 minima a pair of similarity 0.85 misses all bands with
 probability 2e-9.
@@ -42,7 +43,7 @@ from benchtide.llm.components import components
 SHINGLE = 5
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
-BITS = 2
+BITS = 4
 SIMILARITY = 85  # per cent
 KEEP_SIGMAS = 4.5
 # members of a bucket that one task compares with as many others
@@ -182,36 +183,49 @@ def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 _PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+# a distance to the pivot that isn't known
+UNKNOWN = -1.0
 
 
 @F.arrow_udf(from_arrow_type(_PAIRS))
-def block_pairs(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Pairs of one block of a bucket that may link and aren't connected yet;
-    both sides are lists of (cid, root, bits)."""
+def block_pairs(bucket: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+    """Pairs of one block of a bucket that may link and aren't connected yet.
+    Both sides are lists of (cid, root, out, far, bits, bands).  A pair is left
+    to the first bucket it shares; and as Jaccard distance is a metric, a pair
+    whose distances to the pivot differ by more than the limit can't link."""
     def unpack(x):
         own = x.values
         bits = np.frombuffer(b"".join(own.field("bits").to_pylist()), np.uint64).reshape(len(own), -1)
-        return own.field("cid").to_numpy(), own.field("root").to_numpy(), bits
+        bands = own.field("bands").flatten().to_numpy().reshape(len(own), BANDS)
+        return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "out", "far")), bits, bands)
 
-    out, least = [], least_agreeing()
-    for a, b in zip(left, right):
+    out, least, limit = [], least_agreeing(), 1 - SIMILARITY / 100 + 1e-9
+    for h, a, b in zip(bucket.to_pylist(), left, right):
         pairs = []
-        if a.is_valid and b.is_valid:
-            (ids, roots, bits), (ids2, roots2, bits2) = unpack(a), unpack(b)
-            for i, root, row in zip(ids, roots, bits):
-                for j in ids2[(roots2 != root) & (agreeing(bits2, row) >= least)]:
-                    pairs.append({"a": min(i, j), "b": max(i, j)})
+        ids, roots, _, far, bits, bands = unpack(a)
+        ids2, roots2, out2, far2, bits2, bands2 = unpack(b)
+        for k in range(len(ids)):
+            may = (roots2 != roots[k]) & (~out2 | (ids2 > ids[k]))
+            if far[k] != UNKNOWN:
+                may &= (far2 == UNKNOWN) | (np.abs(far2 - far[k]) <= limit)
+            near = np.flatnonzero(may)
+            near = near[agreeing(bits2[near], bits[k]) >= least]
+            common = bands2[near] == bands[k]
+            near = near[bands[k][common.argmax(axis=1)] == h] if len(near) else near
+            pairs += [{"a": min(i, ids[k]), "b": max(i, ids[k])} for i in ids2[near]]
         out.append(pairs)
     return pa.array(out, _PAIRS)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets' intersection and union."""
     a, b = (sets.select(F.col("cid").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
-    size = F.size("set_a") + F.size("set_b")
     return (pairs.join(a, "a").join(b, "b")
-            .where(100 * both >= SIMILARITY * (size - both)).select("a", "b"))
+            .select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either")))
+
+
+_LINKED = f"100 * both >= {SIMILARITY} * either"
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .where("d.d1 = e1 and d.d2 = e2").dropDuplicates(["cid"])
                  .select("cid", shingles("text").alias("set")), "near-sets")
     release(spark)
-    links = stage(_confirmed(stars, sets), "near-links")
+    stars = stage(_compared(stars, sets), "near-stars")
+    links = stars.where(_LINKED).select("a", "b")
     roots = components(links)
     rooted = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "h", "cid", "members", F.coalesce("root", "cid").alias("root"))
@@ -264,20 +279,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where("lo <> hi and members > 2").select("h"))
     pivot_root = pivots.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")),
                              "pivot", "left").select("h", "pivot", F.coalesce("pivot_root", "pivot").alias("pivot_root"))
+    far = stars.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
     members = (rooted.join(open_, "h", "left_semi").join(pivot_root, "h").where("cid <> pivot")
-               .join(bits, "cid")
+               .withColumns({"a": F.least("cid", "pivot"), "b": F.greatest("cid", "pivot")})
+               .join(far, ["a", "b"], "left").join(classes.select("cid", "bits", "bands"), "cid")
                .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-               .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")))
+               .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+               .withColumn("entry", F.struct("cid", "root", (F.col("root") != F.col("pivot_root")).alias("out"),
+                                             F.coalesce("far", F.lit(UNKNOWN)).alias("far"), "bits", "bands")))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    entry = F.struct("cid", "root", "bits")
-    left = (members.where("root <> pivot_root").select("h", F.col("own").alias("l"), others.alias("r"),
-                                                       entry.alias("x"), F.lit(None).alias("y")))
-    right = members.select("h", others.alias("l"), F.col("own").alias("r"), F.lit(None).alias("x"), entry.alias("y"))
+    left = members.where("entry.out").select("h", F.col("own").alias("l"), others.alias("r"),
+                                             F.col("entry").alias("x"), F.lit(None).alias("y"))
+    right = members.select("h", others.alias("l"), F.col("own").alias("r"), F.lit(None).alias("x"),
+                           F.col("entry").alias("y"))
     grouped = left.unionByName(right).groupBy("h", "l", "r").agg(
         F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
     more = (grouped.where("size(x) > 0 and size(y) > 0")
-            .select(F.explode(block_pairs("x", "y")).alias("p")).select("p.*").distinct())
-    extra = stage(_confirmed(more, sets), "near-links")
+            .select(F.explode(block_pairs("h", "x", "y")).alias("p")).select("p.*").distinct())
+    extra = stage(_compared(more, sets).where(_LINKED).select("a", "b"), "near-links")
     if not extra.isEmpty():
         roots = components(links.union(extra))
     unstage(sets)
