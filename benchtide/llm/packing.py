@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.llm.common import release, stage, text_of
-from benchtide.llm.tokens import WordTokenizer, default_path
+from benchtide.llm.tokens import WordTokenizer, default_path, merged
 
 CAPACITY = 4096
 BLOCK = 1024
@@ -46,7 +46,7 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
 
     def cut(batches):
         tokenizer = WordTokenizer(path)
-        for batch in batches:
+        for batch in merged(batches):
             rows, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(tokenizer.documents(batch.column(1))):
                 for k, at in enumerate(range(0, len(ids), capacity)):

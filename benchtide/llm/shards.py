@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from benchtide.llm.common import mix, release, stage, text_of
-from benchtide.llm.tokens import WordTokenizer, default_path
+from benchtide.llm.tokens import WordTokenizer, default_path, merged
 from benchtide.session import checkpoint_dir
 
 SEQUENCE = 512
@@ -76,7 +76,7 @@ def sequences(docs: DataFrame, length: int = SEQUENCE, tokenizer_path: str | Non
     def cut(batches):
         tokenizer = WordTokenizer(path)
         held, held_docs, id_type = np.empty(0, np.uint16), [], pa.int64()
-        for batch in batches:
+        for batch in merged(batches):
             got = tokenizer.documents(batch.column(1))
             names, id_type = batch.column(0).to_pylist(), batch.schema.field(0).type
             flat = np.concatenate([held, *[g.astype(np.uint16) for g in got]])

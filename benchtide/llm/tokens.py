@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_OF_DOCUMENT = 1
+# batches are encoded together up to this many bytes
+MERGE_BYTES = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
 # ids of distinct words kept per task: at most this many ids
 CACHE_IDS = 4_000_000
@@ -39,6 +41,42 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
+class _Store:
+    """Rows of ids, found by a text."""
+
+    def __init__(self):
+        self.row: dict[str, int] = {}
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def missing(self, texts: list[str]) -> list[str]:
+        row = self.row
+        return [t for t in texts if t not in row]
+
+    def add(self, texts: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
+        rows = len(self.row) + np.arange(len(texts))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while len(rows) and rows[-1] >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.size = np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.start[rows], self.size[rows] = bounds[:-1] + self.used, np.diff(bounds)
+        self.used += len(ids)
+        self.row.update(zip(texts, rows.tolist()))
+
+    def rows(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, texts), np.int64, len(texts))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after the other, and where each begins."""
+        size = self.size[rows]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start[rows] - bounds[:-1], size) + np.arange(bounds[-1])
+        return self.ids[at], bounds
+
+
 class WordTokenizer:
     """Encodes Arrow batches of texts."""
 
@@ -52,52 +90,35 @@ class WordTokenizer:
         vocabulary = self._whole.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._letters = dict(enumerate(byte_letters()))
-        self._forget()
-
-    def _forget(self) -> None:
-        self._ids = np.empty(1 << 16, np.uint32)
-        self._start, self._size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._row: dict[str, int] = {}
-        self._used = 0
+        self._letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
+        self._words, self._pieces = _Store(), _Store()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not seen before in one call."""
-        pieces = [_PIECES.findall(w) for w in words]
-        flat = [p for own in pieces for p in own]
-        text = " ".join(flat).encode("utf-8").decode("latin-1")
-        letters = {b: c for b, c in self._letters.items() if b != 32}
-        ids = np.asarray(self._bare.encode(text.translate(letters)).ids, np.uint32)
-        stops = np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1])
-        last = np.cumsum([len(own) for own in pieces])
-        bounds = stops[np.concatenate([[0], last])] + self._used
-        rows = len(self._row) + np.arange(len(words))
-        while self._used + len(ids) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.empty_like(self._ids)])
-        while rows[-1] >= len(self._start):
-            self._start = np.concatenate([self._start, np.zeros_like(self._start)])
-            self._size = np.concatenate([self._size, np.zeros_like(self._size)])
-        self._ids[self._used:self._used + len(ids)] = ids
-        self._used += len(ids)
-        self._start[rows], self._size[rows] = bounds[:-1], np.diff(bounds)
-        self._row.update(zip(words, rows.tolist()))
+        """Encode words not seen before, their new pieces in one call."""
+        own = [_PIECES.findall(w) for w in words]
+        flat = [p for pieces in own for p in pieces]
+        new = self._pieces.missing(list(dict.fromkeys(flat)))
+        if new:
+            text = " ".join(new).encode("utf-8").decode("latin-1").translate(self._letters)
+            ids = np.asarray(self._bare.encode_batch_fast([text])[0].ids, np.uint32)
+            self._pieces.add(new, ids, np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1]))
+        ids, bounds = self._pieces.gather(self._pieces.rows(flat))
+        last = np.cumsum([0] + [len(pieces) for pieces in own])
+        self._words.add(words, ids, bounds[last])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self._used > CACHE_IDS:
-            self._forget()
-        new = [w for w in words if w not in self._row]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self._words.used > CACHE_IDS:
+            self._words, self._pieces = _Store(), _Store()
+        new = self._words.missing(words)
         if new:
             self._learn(new)
-        rows = np.fromiter(map(self._row.__getitem__, words), np.int64, len(words))
-        word = rows[coded.indices.to_numpy()] if len(words) else rows
-        size = self._size[word]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self._start[word] - ends[:-1], size) + np.arange(ends[-1])
+        rows = self._words.rows(words)
+        ids, bounds = self._words.gather(rows[coded.indices.to_numpy()] if len(words) else rows)
         offsets = lists.offsets.to_numpy()
-        return self._ids[at], ends[offsets - offsets[0]]
+        return ids, bounds[offsets - offsets[0]]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text (no nulls), without the end mark."""
@@ -118,3 +139,20 @@ class WordTokenizer:
         """Ids of every document: those of its text, then the end mark."""
         return [np.append(ids, np.uint32(END_OF_DOCUMENT)).astype("<u4")
                 for ids in self.encode(texts)]
+
+
+def merged(batches):
+    """Record batches put together up to ``MERGE_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= MERGE_BYTES:
+            yield _one(held)
+            held, size = [], 0
+    if held:
+        yield _one(held)
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
