@@ -28,28 +28,48 @@ def zstd_compress(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else cctx.compress(bytes(b)))
 
 
-@F.pandas_udf(T.BinaryType())
-def zstd_decompress(data: pd.Series) -> pd.Series:
-    """F-4: original bytes of each zstd frame (frames without a content size
-    are streamed; undecodable input gives null)."""
+_DECODED = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
+
+
+def _all_frames(data: bytes) -> bytes:
+    """The content of every zstd frame of ``data``, up to its last byte."""
     import zstandard
 
-    dctx = zstandard.ZstdDecompressor()
+    out = []
+    while data:
+        frame = zstandard.ZstdDecompressor().decompressobj()
+        out.append(frame.decompress(data))
+        if not frame.eof:
+            raise ValueError("truncated zstd frame")
+        data = frame.unused_data
+    return b"".join(out)
+
 
-    def one(b):
+@F.pandas_udf(_DECODED)
+def zstd_decode(data: pd.Series) -> pd.DataFrame:
+    """F-4: ``content`` of all zstd frames of each value; where they can't be
+    read to the end, ``content`` is null and ``error`` says why."""
+    import zstandard
+
+    rows = []
+    for b in data:
         if b is None:
-            return None
-        b = bytes(b)
+            rows.append((None, None))
+            continue
         try:
-            return dctx.decompress(b)
+            if not len(b):
+                raise ValueError("empty zstd data")
+            rows.append((_all_frames(bytes(b)), None))
+        except ValueError as e:
+            rows.append((None, str(e)))
         except zstandard.ZstdError:
-            pass
-        try:
-            return dctx.decompressobj().decompress(b)
-        except zstandard.ZstdError:
-            return None     # not a zstd frame: undecodable
+            rows.append((None, "not zstd data"))
+    return pd.DataFrame(rows, columns=["content", "error"], dtype=object)
+
 
-    return data.map(one)
+def zstd_decompress(data) -> Column:
+    """F-4: original bytes of zstd data (null where it can't be read)."""
+    return zstd_decode(_c(data))["content"]
 
 
 def b64_encode(data) -> Column:
@@ -71,12 +91,20 @@ def encode_detail(data, compression: Column | str, encoding: Column | str) -> Co
     return F.when(enc == "BASE64", b64_encode(packed)).otherwise(packed.cast("string"))
 
 
-def decode_detail(text, compression: Column | str, encoding: Column | str) -> Column:
-    """Detail text -> bytes: base64 or plain, then optional zstd."""
+def decoded_detail(text, compression: Column | str, encoding: Column | str) -> Column:
+    """Detail text -> struct of ``content`` (base64 or plain, then optional
+    zstd) and ``error`` (null unless a layer can't be read)."""
     comp = F.lit(compression) if isinstance(compression, str) else compression
     enc = F.lit(encoding) if isinstance(encoding, str) else encoding
     packed = F.when(enc == "BASE64", b64_decode(text)).otherwise(_c(text).cast("binary"))
-    return F.when(comp == "ZSTD", zstd_decompress(packed)).otherwise(packed)
+    bad = F.when((enc == "BASE64") & _c(text).isNotNull() & packed.isNull(), F.lit("bad base64"))
+    plain = F.struct(packed.alias("content"), bad.alias("error"))
+    return F.when((comp == "ZSTD") & packed.isNotNull(), zstd_decode(packed)).otherwise(plain)
+
+
+def decode_detail(text, compression: Column | str, encoding: Column | str) -> Column:
+    """Detail text -> bytes (null where they can't be read)."""
+    return decoded_detail(text, compression, encoding)["content"]
 
 
 def byte_slice(data, offset, length) -> Column:

@@ -39,13 +39,19 @@ def zoned_text(ts) -> Column:
     return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm"), sec_part, F.lit("Z[UTC]"))
 
 
+# date, T, time and offset are demanded; a zone may follow
+ZONED_PATTERN = (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?"
+                 r"(Z|[+-]\d{2}:\d{2}(:\d{2})?)(\[[^\[\]]+\])?$")
+
+
 def parse_zoned(text) -> Column:
     """F-8: parse ISO date-time text with optional seconds, fraction (up to 9
-    digits, kept to microseconds), offset or ``Z``, and a ``[Zone]`` suffix.
-    Unparseable text gives null."""
-    s = F.regexp_replace(_c(text), r"\[[^\]]*\]$", "")
+    digits, kept to microseconds), an offset or ``Z``, and an optional
+    ``[Zone]`` suffix.  Any other text gives null."""
+    c = _c(text)
+    s = F.regexp_replace(c, r"\[[^\]]*\]$", "")
     s = F.regexp_replace(s, r"T(\d{2}):(\d{2})(?=$|Z|[+-])", "T$1:$2:00")
-    return s.try_cast("timestamp")
+    return F.when(c.rlike(ZONED_PATTERN), s.try_cast("timestamp"))
 
 
 def csv_date_text(ts) -> Column:

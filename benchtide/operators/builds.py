@@ -192,16 +192,32 @@ PHASES = {
 
 def phase_durations(events: DataFrame, keys: Sequence[str], ts: str = "ts",
                     state: str = "build_state", finished: str | None = None) -> DataFrame:
-    """D-6: elapsed ms per phase from the state log; -1 when a phase never
-    both started and ended.  Start/end are the latest such events.
-    ``finished`` names an extra column with the build's last event time."""
-    aggs = [F.max(ts).alias(finished)] if finished else []
-    for name, (start, ends) in PHASES.items():
-        when = F.col(ts).cast("timestamp")   # also accepts TIMESTAMP_NTZ
-        t0 = F.max(F.when(F.col(state) == start, when))
-        t1 = F.max(F.when(F.col(state).isin(ends), when))
-        aggs.append(F.coalesce(F.unix_millis(t1) - F.unix_millis(t0), F.lit(-1)).alias(name))
-    return events.groupBy(*keys).agg(*aggs)
+    """D-6: elapsed ms per phase from the state log: from the last start that
+    is not after the phase's latest end to that end; -1 when there is no such
+    start or no end.  ``finished`` names an extra column with the build's last
+    event time.  Both steps are partial aggregates, so no build's events meet
+    in one place; null keys form a group."""
+    keys = list(keys)
+    when = F.col(ts).cast("timestamp")   # also accepts TIMESTAMP_NTZ
+    ends = [F.max(F.when(F.col(state).isin(done), when)).alias(f"_end_{name}")
+            for name, (_, done) in PHASES.items()]
+    if finished:
+        ends.append(F.max(ts).alias(finished))
+    per_build = events.groupBy(*keys).agg(*ends)
+    side = per_build.select(*[F.col(k).alias(f"_bk{i}") for i, k in enumerate(keys)],
+                            *[f"_end_{name}" for name in PHASES])
+    started = events.where(F.col(state).isin([start for start, _ in PHASES.values()]))
+    joined = started.join(side, [started[k].eqNullSafe(side[f"_bk{i}"]) for i, k in enumerate(keys)])
+    starts = joined.groupBy(*keys).agg(*[
+        F.max(F.when((F.col(state) == start) & (when <= F.col(f"_end_{name}")), when)).alias(f"_start_{name}")
+        for name, (start, _) in PHASES.items()])
+    starts = starts.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
+                           *[f"_start_{name}" for name in PHASES])
+    both = per_build.join(starts, [per_build[k].eqNullSafe(starts[f"_sk{i}"]) for i, k in enumerate(keys)], "left")
+    return both.select(
+        *keys, *([finished] if finished else []),
+        *[F.coalesce(F.unix_millis(F.col(f"_end_{name}")) - F.unix_millis(F.col(f"_start_{name}")),
+                     F.lit(-1)).alias(name) for name in PHASES])
 
 
 def inflight_snapshot(fold: DataFrame, keys: Sequence[str], ts: str = "ts",

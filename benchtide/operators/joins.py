@@ -1,36 +1,21 @@
-"""Lookup join whose broadcast is guarded by a measured size."""
+"""Lookup join."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Largest lookup side (rows) that is broadcast to every executor.
-MAX_BROADCAST_ROWS = 2_000_000
-# Copies of the lookup side when it is too large to broadcast.
-SALT_BUCKETS = 64
 
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a (de-duplicated) lookup side onto ``left``.
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
-                max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-                salt_buckets: int = SALT_BUCKETS) -> DataFrame:
-    """Join a (small, already de-duplicated) lookup side onto ``left``.
-
-    The lookup side is counted first.  Within ``max_broadcast_rows`` it is
-    broadcast, so a key holding most of ``left`` never lands on one reducer.
-    Beyond it the join is salted: each left row picks one of
-    ``salt_buckets`` copies of its key by a hash of the row, and the lookup
-    side is replicated once per bucket, so a hot key spreads over that many
-    tasks while every row still meets exactly one copy of its match.
+    The plan is Spark's: it broadcasts the lookup side when its measured size
+    in bytes is below ``spark.sql.autoBroadcastJoinThreshold``, and otherwise
+    splits the shuffled partitions of a hot key of ``left`` at run time
+    (``spark.sql.adaptive.skewJoin``).  Only joins that keep each left row's
+    place are offered.
     """
-    keys = list(keys)
-    if right.count() <= max_broadcast_rows:
-        return left.join(F.broadcast(right), keys, how)
-    salt = "_bt_salt"
-    salted_left = left.withColumn(
-        salt, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)))
-    salted_right = right.withColumn(
-        salt, F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)).cast("array<bigint>")))
-    return salted_left.join(salted_right, keys + [salt], how).drop(salt)
+    if how not in ("left", "inner"):
+        raise ValueError(f"a lookup join is 'left' or 'inner', not {how!r}")
+    return left.join(right, list(keys), how)

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchtide.functions.codec import decode_detail, encode_detail
+from benchtide.functions.codec import decoded_detail, encode_detail
+from benchtide.operators.fence import computed_once
 
 # <build id>.<build|benchmark>.<stdout|stderr>.<yyyyMMddHHmmss>.log
 LOG_NAME_PATTERN = r"([^/]+)\.(build|benchmark)\.(stdout|stderr)\.(\d{14})\.log$"
@@ -25,12 +26,26 @@ def log_detail(data, detail_type: str = "STDOUT_LOG") -> Column:
 
 
 def decode_details(df: DataFrame, details: str = "buildDetails") -> DataFrame:
-    """One row per detail with its decoded bytes (``content``) and position."""
+    """One row per detail with its decoded bytes (``content``), its position,
+    and ``error`` (why the content can't be read, else null)."""
     exploded = df.select("*", F.posexplode_outer(details).alias("detail_no", "_d")).drop(details)
     return exploded.withColumn(
-        "content", decode_detail(F.col("_d.detail"), F.col("_d.detailCompression"),
-                                 F.col("_d.detailEncoding"))
-    ).withColumn("type", F.col("_d.type")).drop("_d")
+        "_c", decoded_detail(F.col("_d.detail"), F.col("_d.detailCompression"), F.col("_d.detailEncoding"))
+    ).withColumns({"content": F.col("_c.content"), "type": F.col("_d.type"), "error": F.col("_c.error")}
+                  ).drop("_d", "_c")
+
+
+def split_details(df: DataFrame, details: str = "buildDetails", queue: str = "build-details"):
+    """``(good, dead)``: decoded details, and those that can't be read with
+    the queue name, the stored text and the reason (B-4)."""
+    exploded = df.select("*", F.posexplode_outer(details).alias("detail_no", "_d")).drop(details)
+    decoded = computed_once(exploded.withColumn(
+        "_c", decoded_detail(F.col("_d.detail"), F.col("_d.detailCompression"), F.col("_d.detailEncoding"))), ["_c"])
+    good = decoded.where(F.col("_c.error").isNull()).withColumns(
+        {"content": F.col("_c.content"), "type": F.col("_d.type")}).drop("_d", "_c")
+    dead = decoded.where(F.col("_c.error").isNotNull()).select(
+        F.lit(queue).alias("queue"), F.col("_d.detail").alias("content"), F.col("_c.error").alias("reason"))
+    return good, dead
 
 
 def log_lines(df: DataFrame, content: str = "content") -> DataFrame:
@@ -41,11 +56,12 @@ def log_lines(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def parse_log_name(path) -> dict[str, Column]:
-    """A-5: build id, phase, stream and start stamp from a log file path."""
+    """A-5: build id, phase, stream and start stamp from a log file path; all
+    null where the name isn't of that form."""
     p = F.col(path) if isinstance(path, str) else path
-    return {
-        "build_id": F.regexp_extract(p, LOG_NAME_PATTERN, 1),
-        "phase": F.regexp_extract(p, LOG_NAME_PATTERN, 2),
-        "stream": F.regexp_extract(p, LOG_NAME_PATTERN, 3),
-        "started": F.to_timestamp(F.regexp_extract(p, LOG_NAME_PATTERN, 4), "yyyyMMddHHmmss"),
-    }
+
+    def part(i: int) -> Column:
+        return F.nullif(F.regexp_extract(p, LOG_NAME_PATTERN, i), F.lit(""))
+
+    return {"build_id": part(1), "phase": part(2), "stream": part(3),
+            "started": F.try_to_timestamp(part(4), F.lit("yyyyMMddHHmmss"))}

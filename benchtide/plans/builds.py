@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from benchtide.functions.records import decode_records
 from benchtide.operators.fence import computed_once
+from benchtide.operators.states import state_index
 from benchtide.operators.results import publish_state, results_rows
 from benchtide.sinks.files import write_results
 from benchtide.sources.files import read_queue
@@ -29,12 +30,15 @@ def decoded_responses(spark: SparkSession, queue: str, stream: bool = True,
 
 def state_events(decoded: DataFrame) -> DataFrame:
     """Good responses flattened for the fold: ref, build id, time, state,
-    plus what a publish request needs (commit, stats)."""
+    plus what a publish request needs (commit, stats).  Events of one time
+    are ordered by state, then by a hash of the message id."""
     r = F.col("record")
+    rank = state_index(r["buildState"]).cast("bigint")
+    seq = F.shiftleft(rank, 58).bitwiseOR(F.xxhash64(r["id"]).bitwiseAND(F.lit((1 << 58) - 1)))
     return decoded.filter(F.col("error").isNull()).select(
         r["buildRequest"]["ref"].alias("ref"), r["buildRequest"]["id"].alias("build_id"),
         r["timeStamp"].cast("timestamp_ntz").alias("ts"),
-        F.xxhash64(r["id"]).alias("seq"), r["buildState"].alias("build_state"),
+        seq.alias("seq"), r["buildState"].alias("build_state"),
         r["id"].alias("response_id"), r["buildRequest"]["commit"].alias("commit"),
         r["buildStats"].alias("buildStats"))
 
@@ -56,10 +60,15 @@ def run_results_history(spark: SparkSession, queue: str, history: str, publish_o
                               ["ref"], "build_id", "ts", "seq", "build_state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # a re-delivered response message must not publish twice
+        # a re-delivered response message must not publish twice, neither in
+        # this batch nor after an earlier one
         pubs = jobs.publish_stream(batch).select(
             "ref", "build_id", "response_id", "commit", F.col("ts").alias("date"),
             "buildStats", "out_of_order").dropDuplicates(["response_id"])
+        if batch_id:
+            sent = (batch.sparkSession.read.schema("response_id string, batch_id bigint")
+                    .parquet(publish_out).where(F.col("batch_id") < batch_id).select("response_id"))
+            pubs = pubs.join(sent, "response_id", "left_anti")
         pubs = pubs.persist()
         write_results(results_rows(pubs), f"{history.rstrip('/')}/batch_id={batch_id}",
                       mode="overwrite")

@@ -346,17 +346,32 @@ def q_dispatch_latest(spark, sf_dir):
         "user_id", "event_id", "ts", "action", "dispatched_at")
 
 
-@register("phase_durations", f"""
--- timings are differences of millisecond-truncated timestamps
-WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events)
-SELECT user_id, day,
-  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED'))) // 1000
-           - epoch_us(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')) // 1000, -1) AS updateSourceTime,
-  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED'))) // 1000
-           - epoch_us(max(ts) FILTER (WHERE s = 'BUILDING')) // 1000, -1) AS compilationTime,
-  coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED'))) // 1000
-           - epoch_us(max(ts) FILTER (WHERE s = 'BENCHMARKING')) // 1000, -1) AS benchmarkTime
-FROM ev GROUP BY user_id, day
+# per-phase window: the running last start up to each end, at the latest end
+def _phase_sql(name: str, start: str, ends: str) -> str:
+    return f"""
+{name} AS (
+  SELECT user_id, day, epoch_us(ts) // 1000 - epoch_us(begun) // 1000 AS t FROM (
+    SELECT user_id, day, ts, s, last_value(CASE WHEN s = '{start}' THEN ts END IGNORE NULLS) OVER w AS begun,
+           row_number() OVER (PARTITION BY user_id, day, s IN ({ends}) ORDER BY ts DESC) AS rk
+    FROM ev WINDOW w AS (PARTITION BY user_id, day ORDER BY ts
+                         RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WHERE s IN ({ends}) AND rk = 1 AND begun IS NOT NULL)"""
+
+
+_PHASES_SQL = f"""
+WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events),
+{_phase_sql('pu', 'UPDATING_SOURCE', "'UPDATING_SOURCE_COMPLETE', 'UPDATING_SOURCE_FAILED'")},
+{_phase_sql('pc', 'BUILDING', "'BUILDING_COMPLETE', 'BUILDING_FAILED'")},
+{_phase_sql('pk', 'BENCHMARKING', "'BENCHMARKING_COMPLETE', 'BENCHMARKING_FAILED'")},
+timed AS (
+  SELECT e.user_id, e.day, e.date, coalesce(pu.t, -1) AS u, coalesce(pc.t, -1) AS c, coalesce(pk.t, -1) AS k
+  FROM (SELECT user_id, day, max(ts) AS date FROM ev GROUP BY user_id, day) e
+  LEFT JOIN pu USING (user_id, day) LEFT JOIN pc USING (user_id, day) LEFT JOIN pk USING (user_id, day))
+"""
+
+
+@register("phase_durations", _PHASES_SQL + """
+SELECT user_id, day, u AS updateSourceTime, c AS compilationTime, k AS benchmarkTime FROM timed
 """)
 def q_phase_durations(spark, sf_dir):
     """D-6: per (user, day) build, elapsed ms of each phase, -1 if not run."""
@@ -565,6 +580,57 @@ def q_record_decode(spark, sf_dir):
                     F.col("record.ref").alias("ref"), "error")
 
 
+@register("response_decode", """
+WITH m AS (SELECT o_orderkey, o_orderkey % 8 AS d FROM orders)
+SELECT o_orderkey,
+  CASE d WHEN 1 THEN 'missing field buildRequest.ref' WHEN 2 THEN 'wrong kind for buildRequest.commit'
+         WHEN 3 THEN 'bad timestamp buildRequest.timeStamp' WHEN 4 THEN 'unknown buildState DREAMING'
+         WHEN 5 THEN 'unknown buildDetails.type NOISE' WHEN 6 THEN 'wrong kind for buildStats.benchmarkTime'
+  END AS error,
+  CASE WHEN d IN (0, 7) THEN 'refs/heads/' || o_orderpriority END AS ref
+FROM m JOIN orders USING (o_orderkey)
+""")
+def q_response_decode(spark, sf_dir):
+    """F-2 through nested records: build responses over orders, six of eight
+    with one damaged field in the request, stats or details inside."""
+    req = order_requests(spark, sf_dir).withColumn("o_orderkey", F.col("id").cast("bigint"))
+    detail = ('"buildDetails":[{"type":"EXCEPTION_MESSAGE","detailCompression":"NONE",'
+              '"detailEncoding":"NONE","detail":"x"}]')
+    stats = '"buildStats":{"updateSourceTime":1,"compilationTime":2,"benchmarkTime":3}'
+    inner = records.record_json("build_request")
+    m = F.col("o_orderkey") % 8
+    inner = (F.when(m == 1, F.regexp_replace(inner, r'"ref":"[^"]*",', ""))
+             .when(m == 2, F.regexp_replace(inner, r'"commit":"[^"]*"', '"commit":5'))
+             .when(m == 3, F.regexp_replace(inner, r'"timeStamp":"[^"]*"', '"timeStamp":"zzz"'))
+             .otherwise(inner))
+    message = F.concat(
+        F.lit('{"id":"'), F.col("id"), F.lit('","timeStamp":"2021-06-01T10:00Z[UTC]","buildState":"'),
+        F.when(m == 4, "DREAMING").otherwise("BUILDING"), F.lit('","buildRequest":'), inner, F.lit(","),
+        F.when(m == 6, stats.replace("3", '"3"')).otherwise(stats), F.lit(","),
+        F.when(m == 5, detail.replace("EXCEPTION_MESSAGE", "NOISE")).otherwise(detail), F.lit("}"))
+    d = records.decode_records(req.select("o_orderkey", message.alias("message")), "message", "build_response")
+    return d.select("o_orderkey", "error", F.col("record.buildRequest.ref").alias("ref"))
+
+
+@register("details_decode", """
+SELECT doc_id,
+  CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || text END AS content,
+  CASE doc_id % 4 WHEN 2 THEN 'truncated zstd frame' WHEN 3 THEN 'not zstd data' END AS error
+FROM documents
+""")
+def q_details_decode(spark, sf_dir):
+    """F-4 over document texts stored as zstd+base64 details: whole, as two
+    frames, cut short, and not zstd at all."""
+    docs = table(spark, sf_dir, "documents").withColumn("_z", codec.zstd_compress(F.col("text").cast("binary")))
+    m = F.col("doc_id") % 4
+    data = (F.when(m == 0, F.col("_z")).when(m == 1, F.concat("_z", "_z"))
+            .when(m == 2, F.substring("_z", 1, 12)).otherwise(F.encode(F.lit("junk"), "UTF-8")))
+    packed = docs.select("doc_id", F.array(F.struct(
+        F.lit("STDOUT_LOG").alias("type"), F.lit("ZSTD").alias("detailCompression"),
+        F.lit("BASE64").alias("detailEncoding"), codec.b64_encode(data).alias("detail"))).alias("buildDetails"))
+    return logs.decode_details(packed).select("doc_id", F.col("content").cast("string").alias("content"), "error")
+
+
 @register("enum_valid", """
 SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'signup') THEN event_type END AS value,
        CASE WHEN event_type NOT IN ('view', 'click', 'signup') THEN 'No enum constant RequestType.' || event_type END AS error
@@ -592,21 +658,28 @@ def q_ts_format(spark, sf_dir):
 
 
 @register("ts_parse", """
-SELECT event_id, CASE event_id % 4 WHEN 1 THEN date_trunc('minute', ts)
-                                   WHEN 3 THEN date_trunc('millisecond', ts) ELSE ts END AS parsed
+SELECT event_id, CASE event_id % 8 WHEN 1 THEN date_trunc('minute', ts)
+                                   WHEN 3 THEN date_trunc('millisecond', ts)
+                                   WHEN 0 THEN ts WHEN 2 THEN ts END AS parsed
 FROM events
 """)
 def q_ts_parse(spark, sf_dir):
     """F-8: event times written in four ISO forms (zone id, no seconds,
-    offset, nanoseconds) parsed back to instants."""
+    offset, nanoseconds) parsed back to instants, and in four others (no
+    offset, a blank for the T, the date alone, the time alone) that are
+    rejected."""
     ev = table(spark, sf_dir, "events")
     t = F.col("ts").cast("timestamp")
-    m = F.col("event_id") % 4
+    m = F.col("event_id") % 8
     iso = (F.when(m == 0, F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z[UTC]")))
            .when(m == 1, F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm"), F.lit("Z[UTC]")))
            .when(m == 2, F.concat(F.date_format(t + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
                                   F.lit("+01:00[Europe/Paris]")))
-           .otherwise(F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("000Z"))))
+           .when(m == 3, F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("000Z")))
+           .when(m == 4, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+           .when(m == 5, F.date_format(t, "yyyy-MM-dd HH:mm:ss'Z'"))
+           .when(m == 6, F.date_format(t, "yyyy-MM-dd"))
+           .otherwise(F.date_format(t, "'T'HH:mm'Z'")))
     return ev.select("event_id", times.parse_zoned(iso).cast("timestamp_ntz").alias("parsed"))
 
 
@@ -752,17 +825,8 @@ from benchtide.plans import chart, intake  # noqa: E402
 EVENT_INDEX_DATE = dt.datetime(2024, 1, 15)
 
 
-@register("build_results_series", f"""
-WITH ev AS (SELECT user_id, CAST(ts AS DATE) AS day, ts, {_case_sql('event_type', FOLD_STATES)} AS s FROM events),
-b AS (
-  SELECT CAST(user_id AS VARCHAR) || '@' || strftime(day, '%Y-%m-%d') AS commit, max(ts) AS date,
-    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('UPDATING_SOURCE_COMPLETE','UPDATING_SOURCE_FAILED'))) // 1000
-             - epoch_us(max(ts) FILTER (WHERE s = 'UPDATING_SOURCE')) // 1000, -1) AS u,
-    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BUILDING_COMPLETE','BUILDING_FAILED'))) // 1000
-             - epoch_us(max(ts) FILTER (WHERE s = 'BUILDING')) // 1000, -1) AS c,
-    coalesce(epoch_us(max(ts) FILTER (WHERE s IN ('BENCHMARKING_COMPLETE','BENCHMARKING_FAILED'))) // 1000
-             - epoch_us(max(ts) FILTER (WHERE s = 'BENCHMARKING')) // 1000, -1) AS k
-  FROM ev GROUP BY user_id, day),
+@register("build_results_series", _PHASES_SQL + """,
+b AS (SELECT CAST(user_id AS VARCHAR) || '@' || strftime(day, '%Y-%m-%d') AS commit, date, u, c, k FROM timed),
 pts AS (
   SELECT 'Update Source' AS task, commit, date, u AS time FROM b
   UNION ALL SELECT 'Compile Source', commit, date, c FROM b

@@ -51,10 +51,11 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chart_points(spark: SparkSession, path: str) -> DataFrame:
-    """A-4: chart points JSON; ``time`` as a number and ``date`` parsed."""
+    """A-4: chart points JSON; ``time`` as a number and ``date`` parsed (null
+    where it can't be: C-10 drops such points)."""
     df = spark.read.schema(CHART_POINT).option("multiLine", True).json(path)
     return df.select("task", "commit",
-                     F.to_timestamp("date", CHART_DATE_FORMAT).alias("date"),
+                     F.try_to_timestamp("date", F.lit(CHART_DATE_FORMAT)).alias("date"),
                      F.col("time").cast("double").alias("time"))
 
 

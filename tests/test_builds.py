@@ -153,6 +153,15 @@ def test_phase_durations_default_minus_one(spark):
     assert (r.updateSourceTime, r.compilationTime, r.benchmarkTime) == (2000, 1000, -1)
 
 
+def test_phase_durations_pair_each_end_with_the_start_before_it(spark):
+    rows = [("b", at(0), "BUILDING"), ("b", at(4), "BUILDING_FAILED"), ("b", at(9), "BUILDING"),
+            ("c", at(5), "BUILDING"), ("c", at(3), "BUILDING_COMPLETE"), (None, at(1), "BUILDING"),
+            (None, at(2), "BUILDING_COMPLETE")]
+    df = spark.createDataFrame(rows, "id string, ts timestamp, build_state string")
+    got = {r.id: r.compilationTime for r in builds.phase_durations(df, ["id"]).collect()}
+    assert got == {"b": 4000, "c": -1, None: 1000}
+
+
 def test_stream_fold_matches_batch_and_survives_restart(spark, tmp_path):
     rnd = random.Random(3)
     states = OK_SEQ + ["BUILDING_FAILED", "UPDATING_SOURCE_FAILED", "REQUESTED"]

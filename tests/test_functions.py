@@ -155,3 +155,55 @@ def test_decode_rejects_wrong_nested_kinds(spark):
     assert sorted(r.reason for r in dead.collect()) == [
         "wrong kind for buildDetails", "wrong kind for buildRequest", "wrong kind for buildStats"]
     assert ok.count() == 2
+
+
+def test_decode_rejects_nested_problems_with_their_path(spark):
+    stamp = "2021-06-01T10:00Z[UTC]"
+    req = {"id": "r", "timeStamp": stamp, "repository": "a", "ref": "b", "commit": "c", "author": "d"}
+    detail = {"type": "STDOUT_LOG", "detailCompression": "NONE", "detailEncoding": "NONE", "detail": "x"}
+    base = {"id": "x", "timeStamp": stamp, "buildState": "BUILDING", "buildRequest": req, "buildDetails": [detail]}
+    texts = [dict(base, buildRequest={"id": "q"}), dict(base, buildRequest=dict(req, ref=5)),
+             dict(base, buildRequest=dict(req, timeStamp="zzz")),
+             dict(base, buildDetails=[detail, dict(detail, detailEncoding="ROT13")]),
+             dict(base, buildDetails=[detail, 5]), base]
+    df = spark.createDataFrame([(json.dumps(t),) for t in texts], "value string")
+    ok, dead = decode_messages(df, "value", "build_response", "q")
+    assert sorted(r.reason for r in dead.collect()) == sorted([
+        "missing field buildRequest.timeStamp", "wrong kind for buildRequest.ref",
+        "bad timestamp buildRequest.timeStamp", "unknown buildDetails.detailEncoding ROT13",
+        "wrong kind for buildDetails"])
+    assert ok.count() == 1
+    outer = {"id": "p", "timeStamp": stamp, "buildResponse": dict(base, buildRequest=dict(req, author=None))}
+    _, dead = decode_messages(spark.createDataFrame([(json.dumps(outer),)], "value string"), "value",
+                              "publish_request", "q")
+    assert dead.collect()[0].reason == "missing field buildResponse.buildRequest.author"
+
+
+def test_zstd_all_frames_or_an_error(spark):
+    import zstandard
+
+    z = zstandard.ZstdCompressor().compress
+    big = z(bytes(range(256)) * 2000)
+    cases = [z(b"one\n") + z(b"two\n"), big[:-5], b"junk", z(b"ok") + b"junk"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, b binary")
+    got = [tuple(r.d) for r in df.select("i", codec.zstd_decode("b").alias("d")).orderBy("i").collect()]
+    assert got[0] == (b"one\ntwo\n", None) and got[1] == (None, "truncated zstd frame")
+    assert got[2] == (None, "not zstd data") and got[3][0] is None and got[3][1]
+
+
+def test_unreadable_details_are_dead_letters(spark):
+    schema = ("id int, buildDetails array<struct<type:string,detailCompression:string,"
+              "detailEncoding:string,detail:string>>")
+    df = spark.createDataFrame([(1, [("STDOUT_LOG", "ZSTD", "BASE64", "anVuaw=="),
+                                     ("EXCEPTION_MESSAGE", "NONE", "NONE", "boom")])], schema)
+    good, dead = logs.split_details(df)
+    assert [bytes(r.content) for r in good.collect()] == [b"boom"]
+    assert [(r.content, r.reason) for r in dead.collect()] == [("anVuaw==", "not zstd data")]
+
+
+def test_odd_log_name_and_date_are_null(spark):
+    df = spark.createDataFrame([("x/b1.build.stdout.20210601100000.log",), ("x/notes.log",),
+                                ("x/b1.build.stdout.99999999999999.log",)], "path string")
+    rows = df.select(*[c.alias(n) for n, c in logs.parse_log_name("path").items()]).collect()
+    assert rows[0].build_id == "b1" and rows[0].started is not None
+    assert tuple(rows[1]) == (None, None, None, None) and rows[2].started is None

@@ -115,3 +115,42 @@ def test_intake_stream(spark, tmp_path):
     assert got == [("refs/heads/dev", "5.json", "dispatch"), ("refs/heads/main", "1.json", "dispatch")]
     dead = spark.read.json(str(tmp_path / "dead")).collect()
     assert [(r.queue, r.reason) for r in dead] == [("webhook", "INVALID_JSON")]
+
+
+def test_intake_stream_frees_a_ref_when_its_build_ends(spark, tmp_path):
+    """The second push of a ref is sent once the first build has ended."""
+    import json as _json
+    import os
+
+    from benchtide.plans.intake import run_intake_stream
+    from benchtide.streaming import jobs
+
+    src, queue = tmp_path / "bodies", tmp_path / "responses"
+    src.mkdir()
+    queue.mkdir()
+
+    def push(name, second):
+        path = src / name
+        path.write_text(_json.dumps({
+            "ref": "refs/heads/main", "before": "b" * 40, "after": name, "repository": {"full_name": "org/repo"},
+            "pusher": {"name": "p"}, "sender": {"login": "s"}}))
+        os.utime(path, (1_700_000_000 + second, 1_700_000_000 + second))
+
+    push("1.json", 0)
+    push("2.json", 1)
+
+    def run():
+        run_intake_stream(spark, str(src), str(tmp_path / "dec"), str(tmp_path / "dead"), str(tmp_path / "ck"),
+                          responses=str(queue))
+        rows = jobs.read_batches(spark, str(tmp_path / "dec")).where("kind = 'request'").collect()
+        return sorted((r.id.rsplit("/", 1)[-1], r.action, r.id) for r in rows)
+
+    ((name, action, first),) = run()
+    assert (name, action) == ("1.json", "dispatch")
+    states = ["UPDATING_SOURCE", "UPDATING_SOURCE_FAILED"]
+    request = {"id": first, "timeStamp": "2023-11-14T22:13:20Z[UTC]", "repository": "org/repo",
+               "ref": "refs/heads/main", "commit": "c", "author": "p"}
+    (queue / "a.jsonl").write_text("".join(_json.dumps(
+        {"id": f"m{i}", "timeStamp": f"2023-11-14T22:14:0{i}Z[UTC]", "buildState": s, "buildRequest": request}) + "\n"
+        for i, s in enumerate(states)))
+    assert [r[:2] for r in run()] == [("1.json", "dispatch"), ("2.json", "dispatch_backlog")]
