@@ -224,8 +224,9 @@ def _spread(buckets: int):
             for lo, hi in zip(los, his):
                 parts.append((doc, tie, lo, raw[lo:hi + LENGTH]))
         out = []
-        for i in range(0, len(parts), 2048):
-            group = parts[i:i + 2048]
+        step = max(1, SEGMENT // (2 * LENGTH))
+        for i in range(0, len(parts), step):
+            group = parts[i:i + step]
             raw = np.frombuffer(b"".join(p for *_, p in group), np.uint8)
             size = np.array([len(p) for *_, p in group])
             first = np.cumsum(size) - size
@@ -280,6 +281,8 @@ def sort_suffixes(batches):
     # a repeated row lists its suffixes again: they are no earlier ones
     own = (doc[order] == doc[head]) & (tie[order] == tie[head]) & (at[order] == at[head])
     gone = order[~own]
+    if not len(gone):
+        return
     doc, tie, at = doc[gone], tie[gone], at[gone]
     order = np.lexsort((at, tie, doc))
     doc, tie, at = doc[order], tie[order], at[order]
