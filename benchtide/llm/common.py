@@ -46,16 +46,13 @@ def _clear_staged() -> None:
             return
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and
     read it back: cuts the lineage and survives lost executors.  The table is
     removed by ``unstage`` or when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.parquet(path, compression=codec)
     _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path

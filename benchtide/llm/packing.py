@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.llm.common import release, stage, text_of
-from benchtide.llm.tokens import WordTokenizer, default_path, merged
+from benchtide.llm.tokens import default_path, merged, tokenizer
 
 CAPACITY = 4096
 BLOCK = 1024
@@ -45,10 +45,10 @@ def cut_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
     path = tokenizer_path or default_path()
 
     def cut(batches):
-        tokenizer = WordTokenizer(path)
+        encoder = tokenizer(path)
         for batch in merged(batches):
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(tokenizer.documents(batch.column(1))):
+            for i, ids in enumerate(encoder.documents(batch.column(1))):
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     rows.append(i)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from benchtide.llm.common import mix, release, stage, text_of
-from benchtide.llm.tokens import WordTokenizer, default_path, merged
+from benchtide.llm.tokens import default_path, merged, tokenizer
 from benchtide.session import checkpoint_dir
 
 SEQUENCE = 512
@@ -74,10 +74,10 @@ def sequences(docs: DataFrame, length: int = SEQUENCE, tokenizer_path: str | Non
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
-        tokenizer = WordTokenizer(path)
+        encoder = tokenizer(path)
         held, held_docs, id_type = np.empty(0, np.uint16), [], pa.int64()
         for batch in merged(batches):
-            got = tokenizer.documents(batch.column(1))
+            got = encoder.documents(batch.column(1))
             names, id_type = batch.column(0).to_pylist(), batch.schema.field(0).type
             flat = np.concatenate([held, *[g.astype(np.uint16) for g in got]])
             spans = held_docs + [(d, 0, len(g)) for d, g in zip(names, got)]
@@ -119,7 +119,7 @@ def number(seqs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     """``seqs`` written once, each row with its slot; and their number.  Rows
     are numbered by the written table's partitions: one count per partition
     comes to the driver."""
-    rows = stage(seqs.withColumn("uid", F.monotonically_increasing_id()), "shards-sequences")
+    rows = stage(seqs.withColumn("uid", F.monotonically_increasing_id()), "shards-sequences", codec="zstd")
     part = F.shiftright("uid", 33)
     sizes = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part"))
                    .agg((F.max("uid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n")).collect())

@@ -10,6 +10,7 @@ to the tokenizer whole.  Both give the tokenizer's own ids; tests compare them.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ END_OF_DOCUMENT = 1
 # batches are encoded together up to this many bytes
 MERGE_BYTES = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
-# ids of distinct words kept per task: at most this many ids
-CACHE_IDS = 4_000_000
+# ids of distinct words kept per Python worker: about this many at most
+CACHE_IDS = 1_500_000
 # characters whose lower case, normal form or class needs the tokenizer itself
 _ODD = "[^\x00-\x7fÀ-ÿ]|<\\|(?:startof|endof)text\\|>"
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)"
@@ -141,6 +142,12 @@ class WordTokenizer:
                 for ids in self.encode(texts)]
 
 
+@lru_cache(1)
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of a Python worker, with what it has learned so far."""
+    return WordTokenizer(path)
+
+
 def merged(batches):
     """Record batches put together up to ``MERGE_BYTES``."""
     held, size = [], 0
