@@ -68,10 +68,14 @@ def unstage(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of finished steps."""
+    """Let Spark's context cleaner drop the shuffle files of finished steps:
+    the driver's Python must let go of their plans first, which its gateway
+    does about once a second."""
     import gc
+    import time
 
     gc.collect()
+    time.sleep(1.2)
     spark.sparkContext._jvm.System.gc()
 
 
