@@ -36,7 +36,7 @@ SEQUENCE = 512
 PER_SHARD = 4096
 KEY = 20240613
 FEISTEL_ROUNDS = 4
-WRITE_ROUNDS = 2
+WRITE_ROUNDS = 3
 
 
 def stride(sequence: int) -> int:
