@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 
 END_OF_DOCUMENT = 1
 # batches are encoded together up to this many bytes
-MERGE_BYTES = 4_000_000
+MERGE_BYTES = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 # ids of distinct words kept per Python worker: about this many at most
-CACHE_IDS = 1_500_000
+CACHE_IDS = 200_000
 # characters whose lower case, normal form or class needs the tokenizer itself
 _ODD = "[^\x00-\x7fÀ-ÿ]|<\\|(?:startof|endof)text\\|>"
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)"
