@@ -1,7 +1,7 @@
 """Webhook intake: payload fields (C-1), payload verdict (C-2), request
 admission status (C-3), ref filter (C-4) and push event -> build request (C-5).
 
-All are column expressions over a text column; the JSON is parsed in the JVM.
+All work on a text column; the JSON is parsed in the JVM.
 """
 
 from __future__ import annotations
@@ -35,85 +35,59 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _variant_kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+# text that only the lenient JSON reader would take is not JSON here
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+_NESTED = sorted({path.split(".")[1] for path in PAYLOAD_FIELDS.values() if path.count(".") == 2})
+_NESTED_SCHEMA = "struct<" + ",".join(f"{name}:map<string,variant>" for name in _NESTED) + ">"
 
 
-def payload_fields(text) -> dict[str, Column]:
-    """C-1: the six summary values; only JSON *string* values count (a number
-    or object at that path gives null), and the first duplicate key wins."""
-    c = _c(text)
-    v = F.try_parse_json(c)
-    out = {}
-    for name, path in PAYLOAD_FIELDS.items():
-        out[name] = F.when(_variant_kind(v, path) == "STRING", F.get_json_object(c, path))
-    return out
-
-
-def _object_text(c: Column) -> Column:
-    return c.rlike(r"^\s*\{")
+def _first_string(entries: Column, key: str) -> Column:
+    """Value of the first entry of that key holding a JSON string."""
+    held = F.filter(entries, lambda e: (e["key"] == key) & (F.schema_of_variant(e["value"]) == "STRING"))
+    return F.try_variant_get(F.get(held, F.lit(0))["value"], "$", "string")
 
 
 def extract_push_fields(df: DataFrame, text: str) -> DataFrame:
-    """C-1: add the six payload columns (the JSON is parsed once, in its own
-    projection, and every field reads that parsed value)."""
-    v = "_bt_variant"
-    staged = df.withColumn(v, F.try_parse_json(F.col(text)))
-    fields = [F.when(_variant_kind(F.col(v), path) == "STRING", F.get_json_object(F.col(text), path))
-              .alias(name) for name, path in PAYLOAD_FIELDS.items()]
-    return staged.select("*", *fields).drop(v)
+    """C-1: add the six summary columns.  Only JSON *string* values count (a
+    number or object in that place is passed over), and of several the first.
+    The text is read once as a map of all top-level entries, which tells value
+    and kind of each repeated key, and once for the entries of the objects
+    inside; of a repeated object the last counts."""
+    return _push_fields(df, text).drop("_bt_top")
+
+
+def _push_fields(df: DataFrame, text: str) -> DataFrame:
+    staged = df.withColumns({
+        "_bt_top": F.map_entries(F.from_json(F.col(text), "map<string,variant>", _STRICT)),
+        "_bt_sub": F.from_json(F.col(text), _NESTED_SCHEMA, _STRICT)})
+    fields = []
+    for name, path in PAYLOAD_FIELDS.items():
+        *outer, key = path.split(".")[1:]
+        entries = F.map_entries(F.col("_bt_sub")[outer[0]]) if outer else F.col("_bt_top")
+        fields.append(_first_string(entries, key).alias(name))
+    return staged.select("*", *fields).drop("_bt_sub")
 
 
 def classify_payloads(df: DataFrame, text: str, verdict: str = "verdict",
                       keep_fields: bool = True) -> DataFrame:
-    """C-1 + C-2 as staged projections: the six fields, then ``verdict``
-    from those columns (no branch re-parses the JSON)."""
-    staged = extract_push_fields(df.withColumn("_bt_ok_json", F.try_parse_json(F.col(text)).isNotNull()),
-                                 text)
-    c = F.col(text)
+    """C-1 + C-2: the six fields, then ``verdict``: OK, INVALID_JSON (null,
+    empty or unparseable text) or INVALID_PAYLOAD (not an object, or a field
+    missing, not a string, or empty).  Text that is no object is parsed once
+    more, to tell the two apart."""
+    c, top = F.col(text), F.col("_bt_top")
     complete = reduce(lambda a, b: a & b,
                       [F.coalesce(F.col(n) != "", F.lit(False)) for n in PAYLOAD_FIELDS])
-    value = (F.when(c.isNull() | (F.trim(c) == "") | ~F.col("_bt_ok_json"), F.lit(INVALID_JSON))
-             .when(~_object_text(c), F.lit(INVALID_PAYLOAD))
-             .when(~complete, F.lit(INVALID_PAYLOAD))
-             .otherwise(F.lit(OK)))
-    out = staged.withColumn(verdict, value).drop("_bt_ok_json")
+    value = (F.when(top.isNotNull(), F.when(complete, F.lit(OK)).otherwise(F.lit(INVALID_PAYLOAD)))
+             .when(c.isNull() | (F.trim(c) == "") | F.try_parse_json(c).isNull(), F.lit(INVALID_JSON))
+             .otherwise(F.lit(INVALID_PAYLOAD)))
+    out = _push_fields(df, text).withColumn(verdict, value).drop("_bt_top")
     return out if keep_fields else out.drop(*PAYLOAD_FIELDS)
 
 
-def payload_verdict(text) -> Column:
-    """C-2: OK, INVALID_JSON (null, empty or unparseable text) or
-    INVALID_PAYLOAD (not an object, or a field missing, not a string, empty)."""
-    c = _c(text)
-    v = F.try_parse_json(c)
-    fields = payload_fields(c)
-    complete = reduce(lambda a, b: a & b,
-                      [F.coalesce(col != "", F.lit(False)) for col in fields.values()])
-    return (F.when(c.isNull() | (F.trim(c) == "") | v.isNull(), F.lit(INVALID_JSON))
-            .when(~_object_text(c), F.lit(INVALID_PAYLOAD))
-            .when(~complete, F.lit(INVALID_PAYLOAD))
-            .otherwise(F.lit(OK)))
-
-
-def admission_status(method, uri, content_type, body, downstream_ok) -> Column:
-    """C-3: HTTP status of a webhook request; the first failing rule wins."""
-    verdict = payload_verdict(body)
-    b = _c(body)
-    return (F.when(F.coalesce(_c(method) != "POST", F.lit(True)), STATUS_METHOD_NOT_ALLOWED)
-            .when(F.coalesce(_c(uri) != WEBHOOK_PATH, F.lit(True)), STATUS_NOT_FOUND)
-            .when(F.coalesce(_c(content_type) != JSON_CONTENT_TYPE, F.lit(True)),
-                  STATUS_UNSUPPORTED_MEDIA_TYPE)
-            .when(b.isNull() | (b == ""), STATUS_BAD_REQUEST)
-            .when(verdict == INVALID_JSON, STATUS_BAD_REQUEST)
-            .when(verdict == INVALID_PAYLOAD, STATUS_UNPROCESSABLE)
-            .when(~F.coalesce(_c(downstream_ok), F.lit(False)), STATUS_UNAVAILABLE)
-            .otherwise(STATUS_ACCEPTED))
-
-
 def admit_requests(df: DataFrame, method: str = "method", uri: str = "uri",
                    content_type: str = "content_type", body: str = "body",
                    downstream_ok: str = "downstream_ok", status: str = "status") -> DataFrame:
-    """C-3 over a request log: adds ``status`` (verdict computed once)."""
+    """C-3 over a request log: adds the HTTP ``status``; the first failing rule wins."""
     staged = classify_payloads(df, body, "_bt_verdict", keep_fields=False)
     verdict, b = F.col("_bt_verdict"), F.col(body)
     value = (F.when(F.coalesce(F.col(method) != "POST", F.lit(True)), STATUS_METHOD_NOT_ALLOWED)

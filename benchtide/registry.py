@@ -967,3 +967,100 @@ def q_queue_roundtrip(spark, sf_dir):
                                   "build_request", "build-requests")
     return good.select("id", F.col("timeStamp").cast("timestamp_ntz").alias("timeStamp"),
                        "repository", "ref", "commit", "author")
+
+
+@register("payload_files", """
+WITH b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 1 THEN '{"ref":' ELSE '' END ||
+    '{"ref":"' || s_name || '",' || chr(10) || '"before":"b","after":"a","repository":{"full_name":"' || s_suppkey ||
+    CASE WHEN s_suppkey % 4 = 2 THEN '"},"pusher":{"name":7}' ELSE '"},"pusher":{"name":"p"}' END ||
+    ',"sender":{"login":"s"}}' AS body FROM supplier)
+SELECT s_suppkey, length(body) AS n_chars,
+       CASE WHEN NOT json_valid(body) THEN 'INVALID_JSON'
+            WHEN json_type(body, '$.pusher.name') <> 'VARCHAR' THEN 'INVALID_PAYLOAD' ELSE 'OK' END AS verdict,
+       CASE WHEN json_valid(body) THEN json_extract_string(body, '$.ref') END AS ref
+FROM b
+""")
+def q_payload_files(spark, sf_dir):
+    """A-1 -> C-1, C-2: one request body (of two lines) per supplier, each
+    written to a file of its own and read back whole."""
+    path, k = _scratch(spark, "payloads"), F.col("s_suppkey")
+    body = F.concat(F.when(k % 4 == 1, '{"ref":').otherwise(""), F.lit('{"ref":"'), F.col("s_name"),
+                    F.lit('",\n"before":"b","after":"a","repository":{"full_name":"'), k.cast("string"),
+                    F.when(k % 4 == 2, '"},"pusher":{"name":7}').otherwise('"},"pusher":{"name":"p"}'),
+                    F.lit(',"sender":{"login":"s"}}'))
+    rows = table(spark, sf_dir, "supplier").select(body.alias("value"), k.alias("file"))
+    rows.write.partitionBy("file").text(path)
+    bodies = file_sources.read_payloads(spark, path).select(
+        F.regexp_extract("source", "/file=([0-9]+)/", 1).cast("bigint").alias("s_suppkey"),
+        F.regexp_replace("body", r"\n$", "").alias("body"))
+    out = webhook.classify_payloads(bodies, "body")
+    return out.select("s_suppkey", F.char_length("body").cast("bigint").alias("n_chars"), "verdict", "ref")
+
+
+@register("chart_points", """
+SELECT o_orderpriority AS task, CAST(o_orderkey AS VARCHAR) AS commit,
+       CASE WHEN o_orderkey % 5 <> 1 THEN o_orderdate END AS date, o_totalprice AS time
+FROM orders
+""")
+def q_chart_points(spark, sf_dir):
+    """A-4: orders written as chart files, JSON arrays of the points of 1,000
+    order keys each, and read back; every fifth key has a date that can't be
+    read and comes back without one."""
+    path, key = _scratch(spark, "points"), F.col("o_orderkey")
+    date = F.when(key % 5 == 1, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    point = F.struct(F.col("o_orderpriority").alias("task"), key.cast("string").alias("commit"),
+                     date.alias("date"), F.col("o_totalprice").alias("time"))
+    files = (table(spark, sf_dir, "orders").groupBy(F.floor(key / 1000).alias("part"))
+             .agg(F.to_json(F.collect_list(point)).alias("value")))
+    files.select("value", "part").write.partitionBy("part").text(path)
+    return file_sources.read_chart_points(spark, path).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@register("dead_letters", f"""
+WITH m AS (SELECT o_orderkey AS k, json_object('id', CAST(o_orderkey AS VARCHAR),
+    'timeStamp', {_ZONED_SQL.format(d='o_orderdate')},
+    'repository', 'org/' || o_orderstatus, 'ref', 'refs/heads/' || o_orderpriority,
+    'commit', lpad(CAST(o_orderkey AS VARCHAR), 40, '0'), 'author', 'cust-' || CAST(o_custkey AS VARCHAR)
+  )::VARCHAR AS message FROM orders),
+d AS (SELECT CASE k % 5 WHEN 1 THEN regexp_replace(message, '"ref":"[^"]*",', '')
+    WHEN 2 THEN substr(message, 1, 20) WHEN 3 THEN '[' || message || ']' ELSE message END AS content FROM m),
+r AS (SELECT content, CASE WHEN NOT json_valid(content) THEN 'invalid JSON'
+    WHEN json_type(content) <> 'OBJECT' THEN 'not a JSON object'
+    WHEN json_extract_string(content, '$.ref') IS NULL THEN 'missing field ref' END AS reason FROM d)
+SELECT 'build-requests' AS queue, content, reason FROM r WHERE reason IS NOT NULL
+""")
+def q_dead_letters(spark, sf_dir):
+    """B-4: messages of a queue that can't be decoded, with queue and reason
+    (o_orderkey % 5: 1 no ref, 2 cut short, 3 wrapped in an array)."""
+    req = order_requests(spark, sf_dir)
+    msg, m = records.record_json("build_request"), F.col("id").cast("bigint") % 5
+    damaged = (F.when(m == 1, F.regexp_replace(msg, r'"ref":"[^"]*",', ""))
+               .when(m == 2, F.substring(msg, 1, 20))
+               .when(m == 3, F.concat(F.lit("["), msg, F.lit("]"))).otherwise(msg))
+    _good, dead = decode_messages(req.select(damaged.alias("message")), "message", "build_request",
+                                  "build-requests")
+    return dead
+
+
+@register("log_names", r"""
+WITH p AS (SELECT event_id, '/var/log/b-' || event_id || CASE WHEN event_id % 3 = 1 THEN '.build' ELSE '.benchmark' END
+    || CASE WHEN event_id % 7 = 2 THEN '.out' ELSE '.stderr' END || '.' ||
+    CASE WHEN event_id % 11 = 3 THEN '20211399000000' ELSE strftime(ts, '%Y%m%d%H%M%S') END || '.log' AS path FROM events),
+x AS (SELECT *, regexp_extract(path, '([^/]+)\.(build|benchmark)\.(stdout|stderr)\.([0-9]{14})\.log$',
+      ['id', 'phase', 'stream', 'stamp']) AS r FROM p)
+SELECT event_id, nullif(r.id, '') AS build_id, nullif(r.phase, '') AS phase, nullif(r.stream, '') AS stream,
+       try_strptime(nullif(r.stamp, ''), '%Y%m%d%H%M%S') AS started
+FROM x
+""")
+def q_log_names(spark, sf_dir):
+    """A-5 naming: build id, phase, stream and start stamp from log paths over
+    events, some with another stream name or a stamp that is no date."""
+    e = F.col("event_id")
+    path = F.concat(F.lit("/var/log/b-"), e.cast("string"), F.when(e % 3 == 1, ".build").otherwise(".benchmark"),
+                    F.when(e % 7 == 2, ".out").otherwise(".stderr"), F.lit("."),
+                    F.when(e % 11 == 3, "20211399000000").otherwise(F.date_format("ts", "yyyyMMddHHmmss")),
+                    F.lit(".log"))
+    df = table(spark, sf_dir, "events").select("event_id", path.alias("path"))
+    cols = logs.parse_log_name("path")
+    return df.select("event_id", *[c.alias(n) for n, c in cols.items()]).withColumn(
+        "started", F.col("started").cast("timestamp_ntz"))

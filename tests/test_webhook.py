@@ -19,7 +19,7 @@ MIN_PAYLOAD = {
 
 def verdicts(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "body string")
-    return [r[0] for r in df.select(webhook.payload_verdict("body")).collect()]
+    return [r[0] for r in webhook.classify_payloads(df, "body").select("verdict").collect()]
 
 
 def test_invalid_json(spark):
@@ -40,7 +40,7 @@ def test_invalid_payload(spark):
 def test_complete_payload_fields(spark):
     text = json.dumps(MIN_PAYLOAD, indent=2)
     df = spark.createDataFrame([(text,)], "body string")
-    out = webhook.extract_push_fields(df, "body").withColumn("v", webhook.payload_verdict("body"))
+    out = webhook.classify_payloads(df, "body", "v")
     r = out.collect()[0]
     assert r.v == "OK"
     assert (r.ref, r.before, r.after, r.repository, r.pusher, r.sender) == (
@@ -55,6 +55,24 @@ def test_first_duplicate_wins(spark):
     assert webhook.extract_push_fields(df, "body").collect()[0].ref == "first"
 
 
+@pytest.mark.parametrize("ref,repository", [
+    ('"ref":7,"ref":"r"', '{"full_name":1,"full_name":"x"}'),
+    ('"ref":"r","ref":7', '{"full_name":"x","full_name":{"a":1}}'),
+    ('"ref":null,"ref":"r","ref":"s"', '{"full_name":"x","full_name":"y"}'),
+])
+def test_kind_and_value_from_the_same_occurrence(spark, ref, repository):
+    text = "{" + ref + ',"before":"b","after":"a","repository":' + repository + \
+           ',"pusher":{"name":"p"},"sender":{"login":"s"}}'
+    df = spark.createDataFrame([(text,)], "body string")
+    got = webhook.classify_payloads(df, "body").collect()[0]
+    assert (got.ref, got.repository, got.verdict) == ("r", "x", "OK")
+
+
+def test_lenient_json_is_no_json(spark):
+    assert verdicts(spark, ["{'ref':'r'}", '{"ref":NaN}', '{"repository":"x"}', '"s"']) == [
+        "INVALID_JSON", "INVALID_JSON", "INVALID_PAYLOAD", "INVALID_PAYLOAD"]
+
+
 @pytest.mark.parametrize("method,uri,ctype,body,ok,status", [
     ("GET", "/cb", "application/json", "{}", True, 405),
     ("HEAD", "/cb", "application/json", "{}", True, 405),
@@ -72,7 +90,7 @@ def test_first_duplicate_wins(spark):
 def test_admission(spark, method, uri, ctype, body, ok, status):
     df = spark.createDataFrame([(method, uri, ctype, body, ok)],
                                "method string, uri string, content_type string, body string, ok boolean")
-    got = df.select(webhook.admission_status("method", "uri", "content_type", "body", "ok")).collect()[0][0]
+    got = webhook.admit_requests(df, "method", "uri", "content_type", "body", "ok").select("status").collect()[0][0]
     assert got == status
 
 
