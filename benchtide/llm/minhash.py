@@ -17,7 +17,7 @@ known distances to the pivot rule out; the rest are confirmed on the full
 shingle sets.  Confirmed links give components.
 
 With 42 bands of 6 minima a pair of similarity 0.85 misses all bands with
-probability 2e-9.
+probability 2e-9, one of similarity 0.8 with 3e-6.
 
 Defined cases: a null or empty text, or one without words, has no shingles,
 is linked with nothing and is kept; fewer words than a shingle make one
@@ -44,7 +44,7 @@ SHINGLE = 5
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
 BITS = 4
-SIMILARITY = 85  # per cent
+SIMILARITY = 85  # per cent, where the caller gives no other limit
 KEEP_SIGMAS = 4.5
 # members of a bucket that one task compares with as many others
 BLOCK = 1024
@@ -123,10 +123,10 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return HASHES - np.bitwise_count(some).sum(axis=-1, dtype=np.int64)
 
 
-def least_agreeing() -> int:
+def least_agreeing(similarity: int = SIMILARITY) -> int:
     """Agreeing minima that a pair at the limit has, less the sampling error."""
     chance = 2.0 ** -BITS
-    p = chance + (1 - chance) * SIMILARITY / 100
+    p = chance + (1 - chance) * similarity / 100
     return int(np.floor(HASHES * p - KEEP_SIGMAS * np.sqrt(HASHES * p * (1 - p))))
 
 
@@ -174,12 +174,17 @@ def shingles(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
 
-@F.arrow_udf(from_arrow_type(pa.bool_()))
-def may_link(a: pa.Array, b: pa.Array) -> pa.Array:
+def may_link(similarity: int):
     """Whether two classes' packed bits allow the wanted similarity."""
-    def rows(x):
-        return np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1)
-    return pa.array(agreeing(rows(a), rows(b)) >= least_agreeing()) if len(a) else pa.array([], pa.bool_())
+    least = least_agreeing(similarity)
+
+    @F.arrow_udf(from_arrow_type(pa.bool_()))
+    def allowed(a: pa.Array, b: pa.Array) -> pa.Array:
+        def rows(x):
+            return np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1)
+        return pa.array(agreeing(rows(a), rows(b)) >= least) if len(a) else pa.array([], pa.bool_())
+
+    return allowed
 
 
 _PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -187,34 +192,39 @@ _PAIRS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 UNKNOWN = -1.0
 
 
-@F.arrow_udf(from_arrow_type(_PAIRS))
-def block_pairs(bucket: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+def block_pairs(similarity: int):
     """Pairs of one block of a bucket that may link and aren't connected yet.
     Both sides are lists of (cid, root, out, far, bits, bands).  A pair is left
     to the first bucket it shares; and as Jaccard distance is a metric, a pair
     whose distances to the pivot differ by more than the limit can't link."""
-    def unpack(x):
-        own = x.values
-        bits = np.frombuffer(b"".join(own.field("bits").to_pylist()), np.uint64).reshape(len(own), -1)
-        bands = own.field("bands").flatten().to_numpy().reshape(len(own), BANDS)
-        return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "out", "far")), bits, bands)
-
-    out, least, limit = [], least_agreeing(), 1 - SIMILARITY / 100 + 1e-9
-    for h, a, b in zip(bucket.to_pylist(), left, right):
-        pairs = []
-        ids, roots, _, far, bits, bands = unpack(a)
-        ids2, roots2, out2, far2, bits2, bands2 = unpack(b)
-        for k in range(len(ids)):
-            may = (roots2 != roots[k]) & (~out2 | (ids2 > ids[k]))
-            if far[k] != UNKNOWN:
-                may &= (far2 == UNKNOWN) | (np.abs(far2 - far[k]) <= limit)
-            near = np.flatnonzero(may)
-            near = near[agreeing(bits2[near], bits[k]) >= least]
-            common = bands2[near] == bands[k]
-            near = near[bands[k][common.argmax(axis=1)] == h] if len(near) else near
-            pairs += [{"a": min(i, ids[k]), "b": max(i, ids[k])} for i in ids2[near]]
-        out.append(pairs)
-    return pa.array(out, _PAIRS)
+    least, limit = least_agreeing(similarity), 1 - similarity / 100 + 1e-9
+
+    @F.arrow_udf(from_arrow_type(_PAIRS))
+    def pairs_of(bucket: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        def unpack(x):
+            own = x.values
+            bits = np.frombuffer(b"".join(own.field("bits").to_pylist()), np.uint64).reshape(len(own), -1)
+            bands = own.field("bands").flatten().to_numpy().reshape(len(own), BANDS)
+            return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "out", "far")), bits, bands)
+
+        out = []
+        for h, a, b in zip(bucket.to_pylist(), left, right):
+            pairs = []
+            ids, roots, _, far, bits, bands = unpack(a)
+            ids2, roots2, out2, far2, bits2, bands2 = unpack(b)
+            for k in range(len(ids)):
+                may = (roots2 != roots[k]) & (~out2 | (ids2 > ids[k]))
+                if far[k] != UNKNOWN:
+                    may &= (far2 == UNKNOWN) | (np.abs(far2 - far[k]) <= limit)
+                near = np.flatnonzero(may)
+                near = near[agreeing(bits2[near], bits[k]) >= least]
+                common = bands2[near] == bands[k]
+                near = near[bands[k][common.argmax(axis=1)] == h] if len(near) else near
+                pairs += [{"a": min(i, ids[k]), "b": max(i, ids[k])} for i in ids2[near]]
+            out.append(pairs)
+        return pa.array(out, _PAIRS)
+
+    return pairs_of
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,13 +235,13 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select("a", "b", both.alias("both"), (F.size("set_a") + F.size("set_b") - both).alias("either")))
 
 
-_LINKED = f"100 * both >= {SIMILARITY} * either"
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, a hash of
-    the text (_th) and a number of its group (_root, null without words)."""
+    the text (_th) and a number of its group (_root, null without words).
+    Texts of at least ``similarity`` per cent are linked."""
     spark = docs.sparkSession
+    linked = f"100 * both >= {similarity} * either"
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     signed = stage(texts.select("doc_id", F.xxhash64("text").alias("_th"), signature("text").alias("s"))
                    .select("doc_id", "_th", "s.*"), "near-signed")
@@ -257,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
     stars = (stars.join(bits.select(F.col("cid").alias("a"), F.col("bits").alias("x")), "a")
              .join(bits.select(F.col("cid").alias("b"), F.col("bits").alias("y")), "b")
-             .where(may_link("x", "y")).select("a", "b"))
+             .where(may_link(similarity)("x", "y")).select("a", "b"))
 
     # full sets of the classes in such buckets
     wanted = classes.join(spread, "cid", "left_semi").select("id", "d1", "d2", "cid")
@@ -268,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .select("cid", shingles("text").alias("set")), "near-sets")
     release(spark)
     stars = stage(_compared(stars, sets), "near-stars")
-    links = stars.where(_LINKED).select("a", "b")
+    links = stars.where(linked).select("a", "b")
     roots = components(links)
     rooted = rows.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "h", "cid", "members", F.coalesce("root", "cid").alias("root"))
@@ -295,8 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = left.unionByName(right).groupBy("h", "l", "r").agg(
         F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
     more = (grouped.where("size(x) > 0 and size(y) > 0")
-            .select(F.explode(block_pairs("h", "x", "y")).alias("p")).select("p.*").distinct())
-    extra = stage(_compared(more, sets).where(_LINKED).select("a", "b"), "near-links")
+            .select(F.explode(block_pairs(similarity)("h", "x", "y")).alias("p")).select("p.*").distinct())
+    extra = stage(_compared(more, sets).where(linked).select("a", "b"), "near-links")
     if not extra.isEmpty():
         roots = components(links.union(extra))
     unstage(sets)
@@ -312,10 +322,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "_th", "_root")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         similarity: int = SIMILARITY) -> DataFrame:
     """One document of each group, the one of the smallest id (and hash, if it
     is there twice), columns unchanged; all documents without words stay."""
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_duplicates(docs, id_col, text_col, similarity)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     first = (groups.where("kept and _root is not null").groupBy("_root")
              .agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "_th")).alias("k"))

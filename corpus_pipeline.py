@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from benchtide.llm import decontaminate, minhash, packing, pii, repetition
 from benchtide.llm.common import prepare, stage, table, unstage
 
+# per cent; the general rule for near copies (op3 has a limit of its own)
+NEAR_SIMILARITY = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the repetition rules reject."""
@@ -22,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates."""
     prepare(spark)
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, similarity=NEAR_SIMILARITY)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

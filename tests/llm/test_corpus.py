@@ -108,6 +108,32 @@ def test_near_duplicates_on_odd_rows(docs):
     assert minhash.drop_near_duplicates(clash).columns == clash.columns
 
 
+def test_the_stage_links_pairs_below_the_limit_of_op3(spark, docs):
+    rnd = random.Random(16)
+    base = prose(rnd, 300, 10 ** 6)
+    copy, other = list(base), list(base)
+    for k in range(6):
+        copy[20 + 50 * k] = f"x{k}"
+    for k in range(9):
+        other[10 + 33 * k] = f"y{k}"
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(other)), (4, " ".join(prose(rnd, 50)))]
+    sets = [shingle_sets(t) for _, t in rows]
+    share = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    assert 0.8 <= share[1] < 0.85 and share[2] < 0.8
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(rows), "").collect()} == {1, 3, 4}
+    assert all(r.kept for r in minhash.near_duplicates(docs(rows)).collect())
+    # the blocks of a bucket, too
+    rows = near_rows(7)
+    sets = [shingle_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), similarity=80).collect()}
+    assert got == dict(enumerate(root))
+
+
 # ------------------------------------------------------------------ suffixes
 
 def plain_removal(rows):
