@@ -7,8 +7,10 @@ which ``n(e, t)`` lie near entity ``e``, seeing ``t`` leaves
 ``-log2(n(e, t) / n(t))`` bits of doubt about ``e`` (that is the entity's
 information content less its pointwise mutual information with ``t``).  Words
 leaving at most ``REMOVE_BITS`` are removed, those leaving at most
-``GENERALISE_BITS`` are generalised, both where they stand near that entity
-and if seen so in at least ``CONTEXTS`` different surroundings.
+``GENERALISE_BITS`` are generalised, both where they stand near that entity.
+All rows count.  ``n(e, t)`` is lowered by ``DISCOUNT`` (absolute discounting),
+as a word may be rare by chance: seen once it stays, always seen near the
+entity it is generalised from two times on and removed from three times on.
 
 Only DataFrame and SQL functions are used.  Spans of equal texts are equal, so
 they are joined by two hashes of the text.
@@ -42,7 +44,7 @@ IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 WORD = r"\p{L}{3,}+"
 NEAR = 48  # code points on each side of an entity
-CONTEXTS = 2
+DISCOUNT = 0.75
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.5
 # cells of the bounded filter that thins out words before they are counted
@@ -112,7 +114,7 @@ def _key(text: Column) -> dict[str, Column]:
 
 
 def _near_words(found: DataFrame) -> DataFrame:
-    """Words near each entity: _k1, _k2, entity, word, start, end, around."""
+    """Words near each entity: _k1, _k2, entity, word, start, end."""
     one = found.select("_k1", "_k2", "text", "base", F.explode("base").alias("e"))
     entity = F.concat_ws(":", "e.kind", F.when(F.col("e.kind") == "email", F.lower("e.value")).otherwise(
         F.regexp_replace("e.value", r"[^0-9.]", "")))
@@ -133,7 +135,7 @@ def _near_words(found: DataFrame) -> DataFrame:
         & ~(F.col("cut_right") & (F.col("w.end") == F.char_length("part")))
         & ~F.exists("base", lambda s: (s["start"] < end) & (start < s["end"])))
     return words.select("_k1", "_k2", "entity", F.lower("w.value").alias("word"), start.alias("start"),
-                        end.alias("end"), F.xxhash64("part").alias("around")).dropDuplicates(
+                        end.alias("end")).dropDuplicates(
         ["_k1", "_k2", "entity", "word", "start", "end"])
 
 
@@ -160,11 +162,9 @@ def _word_counts(docs: DataFrame, text: Column, near: DataFrame) -> DataFrame:
 
 def disclosing_words(docs: DataFrame, text: Column, near: DataFrame) -> DataFrame:
     """(entity, word, kind): words to remove (``term``) or generalise (``hint``)."""
-    copies = near.groupBy("entity", "word", "around").agg(F.sum("copies").alias("n"))
-    pairs = copies.groupBy("entity", "word").agg(F.sum("n").alias("n_near"), F.count("*").alias("contexts"))
-    pairs = pairs.where(F.col("contexts") >= CONTEXTS)
+    pairs = near.groupBy("entity", "word").agg(F.sum("copies").alias("n_near"))
     counts = _word_counts(docs, text, near)
-    doubt = -F.log2(F.least(F.col("n_near") / F.col("n"), F.lit(1.0)))
+    doubt = -F.log2(F.least((F.col("n_near") - DISCOUNT) / F.col("n"), F.lit(1.0)))
     return (pairs.join(counts, "word").withColumn("doubt", doubt)
             .where(F.col("doubt") <= GENERALISE_BITS)
             .select("entity", "word", F.when(F.col("doubt") <= REMOVE_BITS, "term").otherwise("hint").alias("kind")))

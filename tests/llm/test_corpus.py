@@ -235,6 +235,21 @@ def test_disclosing_words_go_and_common_ones_stay(docs):
     assert clean[0].n_chars == len(clean[0].text) and clean[10].text == rows[3][1]
 
 
+def spans_of(row, text):
+    return {text[int(a):int(b)]: k for k, a, b in (s.split(":") for s in row.spans.split(",") if s)}
+
+
+def test_fixed_signatures_and_copies_count(docs):
+    sign = "with the kindest regards of Marmaduke Featherstonehaugh ok mm@b.org or ask the office on the second floor here"
+    rows = [(i, f"row{i} {w} {sign}") for i, w in enumerate(["alpha", "beta", "gamma", "delta"])]
+    rows += [(10 + i, "write to Xanthippe at x@y.org") for i in range(3)] + [(20, "write to Balthazar at z@y.org")]
+    rows += [(30 + i, "write to someone at noon") for i in range(8)]
+    got = {r.doc_id: r for r in pii.report(docs(rows)).collect()}
+    assert spans_of(got[0], rows[0][1])["Featherstonehaugh"] == "term"
+    assert all(spans_of(got[10 + i], rows[4][1])["Xanthippe"] == "term" for i in range(3))
+    assert spans_of(got[20], rows[7][1]) == {"z@y.org": "email"}
+
+
 def test_pii_on_odd_rows(docs):
     got = pii.report(docs(ODD)).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
