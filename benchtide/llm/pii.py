@@ -1,16 +1,17 @@
 """Personal data removal with information-theoretic sanitisation (operator 7).
 
 Fixed rules find e-mail addresses, IP addresses, payment cards and phone
-numbers.  Each value found is a protected entity.  The words near it are
-counted over the whole corpus: with ``n(t)`` occurrences of word ``t``, of
-which ``n(e, t)`` lie near entity ``e``, seeing ``t`` leaves
-``-log2(n(e, t) / n(t))`` bits of doubt about ``e`` (that is the entity's
-information content less its pointwise mutual information with ``t``).  Words
-leaving at most ``REMOVE_BITS`` are removed, those leaving at most
-``GENERALISE_BITS`` are generalised, both where they stand near that entity.
-All rows count.  ``n(e, t)`` is lowered by ``DISCOUNT`` (absolute discounting),
-as a word may be rare by chance: seen once it stays, always seen near the
-entity it is generalised from two times on and removed from three times on.
+numbers.  Each value found is a protected entity.  Words are counted over the
+whole corpus, in whole texts, once a row and outside the spans of the rules:
+with ``n(t)`` rows that hold word ``t``, of which ``n(e, t)`` hold entity ``e``
+too, seeing ``t`` leaves ``-log2(n(e, t) / n(t))`` bits of doubt about ``e``
+(that is the entity's information content less its pointwise mutual
+information with ``t``).  Words leaving at most ``REMOVE_BITS`` are removed,
+those leaving at most ``GENERALISE_BITS`` are generalised, both wherever they
+stand, in texts without the entity too.  ``n(e, t)`` is lowered by
+``DISCOUNT`` (absolute discounting), as a word may be rare by chance: seen in
+one row it stays, always seen with the entity it is generalised from two rows
+on and removed from three on.
 
 Only DataFrame and SQL functions are used.  Spans of equal texts are equal, so
 they are joined by two hashes of the text.
@@ -43,19 +44,20 @@ _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
 WORD = r"\p{L}{3,}+"
-NEAR = 48  # code points on each side of an entity
 DISCOUNT = 0.75
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.5
 # cells of the bounded filter that thins out words before they are counted
 FILTER_BITS = 1 << 20
+# parts that the rows of one word or entity are dealt to in a join
+SALTS = 16
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str, kind: str, rank: int) -> Column:
+def located(text: Column, pattern: str, kind: str, rank: int, keep=None) -> Column:
     """Matches of a pattern with their places: what lies between the matches
-    tells where they are."""
+    tells where they are.  ``keep`` chooses matches by their values."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(
@@ -66,7 +68,10 @@ def located(text: Column, pattern: str, kind: str, rank: int) -> Column:
         end = start + x["size"]
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
                         F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        out = F.concat(acc["out"], F.array(span))
+        if keep is not None:
+            out = F.when(keep(x["value"]), out).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
     placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), place,
                          lambda acc: acc["out"])
@@ -113,83 +118,120 @@ def _key(text: Column) -> dict[str, Column]:
     return {"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit("second"), text)}
 
 
-def _near_words(found: DataFrame) -> DataFrame:
-    """Words near each entity: _k1, _k2, entity, word, start, end."""
-    one = found.select("_k1", "_k2", "text", "base", F.explode("base").alias("e"))
-    entity = F.concat_ws(":", "e.kind", F.when(F.col("e.kind") == "email", F.lower("e.value")).otherwise(
-        F.regexp_replace("e.value", r"[^0-9.]", "")))
-    begin = F.greatest(F.col("e.start") - NEAR, F.lit(0))
-    one = one.select(
-        "_k1", "_k2", "base", entity.alias("entity"),
-        F.explode(F.array(
-            F.struct(F.substr("text", begin + 1, F.col("e.start") - begin).alias("part"), begin.alias("at"),
-                     (begin > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-            F.struct(F.substr("text", F.col("e.end") + 1, F.lit(NEAR)).alias("part"), F.col("e.end").alias("at"),
-                     F.lit(False).alias("cut_left"),
-                     (F.char_length("text") > F.col("e.end") + NEAR).alias("cut_right")))).alias("c"))
-    words = one.select("_k1", "_k2", "base", "entity", "c.*",
-                       F.explode(located(F.col("c.part"), WORD, "word", 0)).alias("w"))
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    words = words.where(
-        ~(F.col("cut_left") & (F.col("w.start") == 0))
-        & ~(F.col("cut_right") & (F.col("w.end") == F.char_length("part")))
-        & ~F.exists("base", lambda s: (s["start"] < end) & (start < s["end"])))
-    return words.select("_k1", "_k2", "entity", F.lower("w.value").alias("word"), start.alias("start"),
-                        end.alias("end")).dropDuplicates(
-        ["_k1", "_k2", "entity", "word", "start", "end"])
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.when(span["kind"] == "email", F.lower(span["value"])).otherwise(
+        F.regexp_replace(span["value"], r"[^0-9.]", "")))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in the places of the spans."""
+    def step(acc, s):
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        out = F.concat(acc["out"], F.substr(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    filled = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                         lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, filled).otherwise(text)
+
+
+def _words(plain: Column) -> Column:
+    """The different words of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def _cell(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS))
 
 
-def _word_counts(docs: DataFrame, text: Column, near: DataFrame) -> DataFrame:
-    """(word, n) over all texts, for the words of ``near``.  A bit map of their
-    hashes (``FILTER_BITS`` bits, whatever the corpus) drops most other words
-    before the count; the join after it drops the rest."""
+def _bit_map(words: DataFrame):
+    """A test of words against a bit map of the hashes of ``words``
+    (``FILTER_BITS`` bits, whatever the corpus): true for those, and for a few
+    others, which a join has to drop."""
     cell = _cell(F.col("word"))
-    cells = near.groupBy(F.floor(cell / 64).cast("int").alias("i")).agg(
+    cells = words.groupBy(F.floor(cell / 64).cast("int").alias("i")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))).alias("bits")).collect()
     bits = [0] * (FILTER_BITS // 64)
     for row in cells:
         bits[row["i"]] = row["bits"]
     table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
-    held = F.get(table, F.floor(cell / 64).cast("int"))
-    words = words.where(F.bit_get(held, (cell % 64).cast("int")) == 1)
-    return words.groupBy("word").agg(F.count("*").alias("n"))
 
-
-def disclosing_words(docs: DataFrame, text: Column, near: DataFrame) -> DataFrame:
-    """(entity, word, kind): words to remove (``term``) or generalise (``hint``)."""
-    pairs = near.groupBy("entity", "word").agg(F.sum("copies").alias("n_near"))
-    counts = _word_counts(docs, text, near)
-    doubt = -F.log2(F.least((F.col("n_near") - DISCOUNT) / F.col("n"), F.lit(1.0)))
-    return (pairs.join(counts, "word").withColumn("doubt", doubt)
-            .where(F.col("doubt") <= GENERALISE_BITS)
-            .select("entity", "word", F.when(F.col("doubt") <= REMOVE_BITS, "term").otherwise("hint").alias("kind")))
+    def held(word: Column) -> Column:
+        cell = _cell(word)
+        return F.bit_get(F.get(table, F.floor(cell / 64).cast("int")), (cell % 64).cast("int")) == 1
+
+    return held
+
+
+def _dealt_join(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the one row of ``by`` for their key; the rows of a frequent
+    key are dealt to ``SALTS`` parts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("_k1", "_k2"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(by.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
+
+
+def _plain(docs: DataFrame, text: Column) -> DataFrame:
+    """_k1, _k2, plain: every text without the spans of the rules."""
+    rows = docs.select(text.alias("text"), base_spans(text).alias("base"))
+    return rows.select(*[v.alias(k) for k, v in _key(F.col("text")).items()],
+                       blanked(F.col("text"), F.col("base")).alias("plain"))
+
+
+def disclosing_words(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
+    """(word, kind): words to remove (``term``) or generalise (``hint``)."""
+    # pairs seen in one row are never flagged: entities and words of one row go
+    values = found.select("_k1", "_k2", "copies", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    repeated = values.groupBy("entity").agg(F.sum("copies").alias("n_entity")).where("n_entity > 1")
+    values = stage(_dealt_join(values, repeated, "entity").select("_k1", "_k2", "entity", "n_entity"), "pii-entities")
+    most = values.groupBy("_k1", "_k2").agg(F.max("n_entity").alias("most"))
+    words = stage(found.join(most, ["_k1", "_k2"]).select(
+        "_k1", "_k2", "copies", "most", F.explode(_words(blanked(F.col("text"), F.col("base")))).alias("word")), "pii-near")
+    held = _bit_map(words)
+    counts = (_plain(docs, text).select(F.explode(F.filter(_words(F.col("plain")), held)).alias("word"))
+              .groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+
+    def may(n_both: str) -> Column:
+        return F.col("n") <= (F.col(n_both) - DISCOUNT) * 2 ** GENERALISE_BITS
+
+    # n(e, t) is at most the entity's rows: words too frequent for them go first
+    pairs = (_dealt_join(words, counts, "word").where(may("most")).join(values, ["_k1", "_k2"]).where(may("n_entity"))
+             .groupBy("entity", "word").agg(F.sum("copies").alias("n_both"), F.max("n").alias("n")))
+    doubt = -F.log2((F.col("n_both") - DISCOUNT) / F.col("n"))
+    return (pairs.withColumn("doubt", doubt).where(F.col("doubt") <= GENERALISE_BITS)
+            .groupBy("word").agg(F.max(F.when(F.col("doubt") <= REMOVE_BITS, "term").otherwise("hint")).alias("kind")))
+
+
+def _disclosed(docs: DataFrame, text: Column, flagged: DataFrame) -> DataFrame:
+    """_k1, _k2, more: the places of flagged words in every different text."""
+    held = _bit_map(flagged)
+    places = located(F.col("plain"), WORD, "word", 0, lambda w: held(F.lower(w)))
+    rows = (_plain(docs, text).select("_k1", "_k2", places.alias("words")).where(F.size("words") > 0)
+            .dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.explode("words").alias("w"))
+            .select("_k1", "_k2", "w.start", "w.end", F.lower("w.value").alias("word")))
+    term = F.col("kind") == "term"
+    return (_dealt_join(rows, flagged, "word")
+            .select("_k1", "_k2", F.struct(
+                "start", F.when(term, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
+                "end", "kind", F.lit("").alias("value")).alias("s"))
+            .groupBy("_k1", "_k2").agg(F.collect_list("s").alias("more")))
 
 
 def spans_by_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """_k1, _k2, base, spans: for every different text with personal data, the
-    spans of the rules, and all spans."""
+    """_k1, _k2, base, spans: for every different text with personal data or
+    words that disclose it, the spans of the rules, and all spans."""
     text = text_of(text_col)
     found = docs.select(text.alias("text"), base_spans(text).alias("base"), *[
         v.alias(k) for k, v in _key(text).items()]).where(F.size("base") > 0)
     copies = found.groupBy("_k1", "_k2").agg(F.count("*").alias("copies"))
     found = stage(found.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"]), "pii-found")
-    near = stage(_near_words(found).join(found.select("_k1", "_k2", "copies"), ["_k1", "_k2"]), "pii-near")
-    flagged = stage(disclosing_words(docs, text, near), "pii-words")
+    flagged = stage(disclosing_words(docs, text, found), "pii-words")
     release(docs.sparkSession)
-    extra = (near.join(flagged, ["entity", "word"])
-             .groupBy("_k1", "_k2", "start", "end").agg(F.max("kind").alias("kind"))
-             .select("_k1", "_k2", F.struct(
-                 "start", F.when(F.col("kind") == "term", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
-                 "end", "kind", F.lit("").alias("value")).alias("s"))
-             .groupBy("_k1", "_k2").agg(F.collect_list("s").alias("more")))
-    more = F.coalesce(F.col("more"), F.array().cast(_SPAN))
-    return found.join(extra, ["_k1", "_k2"], "left").select(
-        "_k1", "_k2", "base", F.array_sort(F.concat("base", more.cast(_SPAN))).alias("spans"))
+    extra = _disclosed(docs, text, flagged)
+    none = F.array().cast(_SPAN)
+    base, more = F.coalesce(F.col("base"), none), F.coalesce(F.col("more").cast(_SPAN), none)
+    return found.select("_k1", "_k2", "base").join(extra, ["_k1", "_k2"], "full").select(
+        "_k1", "_k2", base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -250,6 +250,17 @@ def test_fixed_signatures_and_copies_count(docs):
     assert spans_of(got[20], rows[7][1]) == {"z@y.org": "email"}
 
 
+def test_disclosing_words_go_wherever_they_stand(docs):
+    far = "and then the usual things of the day were told over and over again until late "
+    rows = [(i, f"mm@b.org {far}Marmaduke {far}Marmaduke w{i}") for i in range(6)]
+    rows += [(10, f"of no one: MARMADUKE {far}"), (11, far), (12, far)] + [(20 + i, far) for i in range(10)]
+    got = {r.doc_id: r for r in pii.report(docs(rows)).collect()}
+    assert got[0].spans.count("term:") == 2 and got[10].spans.startswith("term:11:20")
+    assert got[11].spans == "" and spans_of(got[10], rows[6][1]).keys() == {"MARMADUKE"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(rows)).collect()}
+    assert not any("marmaduke" in t.lower() for t in clean.values()) and clean[11] == far
+
+
 def test_pii_on_odd_rows(docs):
     got = pii.report(docs(ODD)).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
