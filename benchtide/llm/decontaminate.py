@@ -1,8 +1,13 @@
-"""Benchmark decontamination (operator 1): spaced-seed hashing.
+"""Benchmark decontamination (operator 1): seeds that miss no overlap.
+
+A seed is a mask over consecutive words.  The windows of the test items are
+hashed under the mask; training windows that hash alike are hits, and where a
+diagonal (the place in the text less the place in the item) has enough of them,
+it is verified.  ``SEEDS`` reach every overlap that the verification accepts:
+an overlap of 26 words or more can be cut into two of ``MIN_WORDS`` or more,
+one of which has the same share of equal words or a higher one, and the shorter
+ones are enumerated in the tests.
 
-A seed is a mask over consecutive words; masked-out positions are ignored, so
-a window still matches after substitutions there.  The windows of the test
-items are hashed under every mask; training windows that hash alike are hits.
 Around a hit both texts are compared word by word without gaps, and the best
 segment (a match counts 1, a mismatch ``-PENALTY``) is an overlap if it has at
 least ``MIN_WORDS`` words (or the whole item, if shorter, from ``SHORTEST``
@@ -29,8 +34,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 from benchtide.llm.common import mix, text_of
 
 WORDS = re.compile(r"[^\W_]+")
-# seeds of weight 7 (fixed values; three shapes of span 11, 11 and 10)
-MASKS = ("11101001101", "11010110011", "1111000111")
+# (least and most words of an item, mask, least hits on a diagonal)
+SEEDS = ((13, None, "111", 2), (8, 12, "11", 3))
 MIN_WORDS = 13
 SHORTEST = 8
 MIN_SHARE = 0.75
@@ -77,36 +82,33 @@ class TestSide:
                 self.names.append(name)
                 self.ids.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words]))
         self.index = []
-        for mask in MASKS:
-            parts = [(masked_hashes(ids, mask), i) for i, ids in enumerate(self.ids)]
+        for least, most, mask, hits in SEEDS:
+            parts = [(masked_hashes(ids, mask), i) for i, ids in enumerate(self.ids)
+                     if least <= len(ids) <= (most or len(ids))]
             hashes = np.concatenate([h for h, _ in parts] or [np.empty(0, np.uint64)])
             item = np.concatenate([np.full(len(h), i) for h, i in parts] or [np.empty(0, np.int64)])
             place = np.concatenate([np.arange(len(h)) for h, _ in parts] or [np.empty(0, np.int64)])
             order = np.argsort(hashes, kind="stable")
-            self.index.append((hashes[order], item[order], place[order]))
-        # items shorter than a mask's span are found by their first words
-        self.short = [i for i, ids in enumerate(self.ids) if len(ids) < max(map(len, MASKS))]
+            self.index.append((mask, hits, hashes[order], item[order], place[order]))
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
-        """Distinct (item, diagonal) pairs with a common masked window; the
+        """Distinct (item, diagonal) pairs with enough common windows; the
         diagonal is the place in the text minus the place in the item."""
         found = []
-        for mask, (hashes, item, place) in zip(MASKS, self.index):
+        for mask, least, hashes, item, place in self.index:
             h = masked_hashes(ids, mask)
-            if not len(hashes) or not len(h):
-                continue
             at = np.flatnonzero(h)
+            if not len(hashes) or not len(at):
+                continue
             lo = np.searchsorted(hashes, h[at], "left")
             n = np.searchsorted(hashes, h[at], "right") - lo
             if n.any():
                 rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found.append(np.stack([item[rows], np.repeat(at, n) - place[rows]], 1))
-        for i in self.short:
-            own = self.ids[i]
-            for at in np.flatnonzero(ids == own[0]):
-                if (ids[at:at + len(own)][:SHORTEST] == own[:len(ids) - at][:SHORTEST]).all():
-                    found.append(np.array([[i, at]]))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                pairs = (item[rows] << 32) + (np.repeat(at, n) - place[rows] + (1 << 31))
+                pairs, count = np.unique(pairs, return_counts=True)
+                pairs = pairs[count >= least]
+                found.append(np.stack([pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)], 1))
+        return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
     def overlaps(self, text: str) -> list[dict]:
         """The best overlap of a text with each item that it overlaps."""

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -229,3 +230,27 @@ def test_items_in_blocks_give_the_same(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     assert len(list(decontaminate.item_blocks(bench, "item_id", "text"))) > 3
     assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == whole and len(whole) >= 3
+
+
+def seed_hits(size, mask, changed):
+    """Fewest windows that no change reaches, over all sets of changed words."""
+    sets = np.array(list(combinations(range(size), changed)), np.int64).reshape(-1, changed)
+    equal = np.ones((len(sets), size), bool)
+    equal[np.arange(len(sets))[:, None], sets] = False
+    windows = np.lib.stride_tricks.sliding_window_view(equal, len(mask), axis=1)
+    return int(windows[:, :, [m == "1" for m in mask]].all(axis=2).sum(axis=1).min())
+
+
+def test_seeds_reach_every_overlap():
+    for least, most, mask, hits in decontaminate.SEEDS:
+        for size in range(least, (most or 2 * decontaminate.MIN_WORDS - 1) + 1):
+            changed = size - int(np.ceil(decontaminate.MIN_SHARE * size))
+            assert seed_hits(size, mask, changed) >= hits, (size, mask)
+
+
+def test_every_fourth_word_changed_is_found():
+    item = [f"w{i}" for i in range(40)]
+    text = [w if i % 4 != 3 else "other" for i, w in enumerate(item)]
+    side = decontaminate.TestSide([(1, " ".join(item)), (2, "a1 a2 a3 a4 a5 a6 a7 a8")])
+    assert (0, 2) in map(tuple, side.hits(np.array([0, 0] + [side.words.get(w, 0) for w in text])).tolist())
+    assert [o["item_id"] for o in side.overlaps("x a1 a2 c a4 a5 a6 a7 a8 y")] == [2]
