@@ -8,10 +8,12 @@ an overlap of 26 words or more can be cut into two of ``MIN_WORDS`` or more,
 one of which has the same share of equal words or a higher one, and the shorter
 ones are enumerated in the tests.
 
-Around a hit both texts are compared word by word without gaps, and the best
-segment (a match counts 1, a mismatch ``-PENALTY``) is an overlap if it has at
-least ``MIN_WORDS`` words (or the whole item, if shorter, from ``SHORTEST``
-words on) and at least ``MIN_SHARE`` of them match.
+There both texts are compared word by word without gaps.  A diagonal is an
+overlap if any segment of at least ``MIN_WORDS`` words (or the whole item, if
+shorter, from ``SHORTEST`` words on) has at least ``MIN_SHARE`` equal words.
+Reported is the best segment (a match counts 1, a mismatch ``-PENALTY``) if it
+is such a one, or else the longest such segment, without changed words at its
+ends as far as its least length allows.
 
 The test side is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words;
 each block is held against all training rows.
@@ -70,6 +72,30 @@ def best_segment(match: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[:end + 1] == low[end])[-1]), end
 
 
+def overlap_segment(match: np.ndarray, least: int) -> tuple[int, int] | None:
+    """(start, end) of the segment to report, None where no segment of at least
+    ``least`` words has ``MIN_SHARE`` equal words."""
+    if len(match) < least:
+        return None
+    total = np.concatenate([[0.0], np.cumsum(np.where(match, 1 - MIN_SHARE, -MIN_SHARE))])
+    start, end = best_segment(match)
+    if end - start >= least and total[end] >= total[start]:
+        return start, end
+    # the last end with at least the start's total; ``top`` falls from left to right
+    top = np.maximum.accumulate(total[::-1])[::-1]
+    last = np.searchsorted(-top, -total, "right") - 1
+    size = last - np.arange(len(total))
+    start = int(size.argmax())
+    end = int(last[start])
+    if end - start < least:
+        return None
+    while end - start > least and not match[end - 1]:
+        end -= 1
+    while end - start > least and not match[start]:
+        start += 1
+    return start, end
+
+
 class TestSide:
     """Words, windows and their hashes of one block of test items."""
 
@@ -120,10 +146,11 @@ class TestSide:
             own = self.ids[i]
             lo, hi = max(0, -diagonal), min(len(own), len(ids) - diagonal)
             match = own[lo:hi] == ids[lo + diagonal:hi + diagonal]
-            start, end = best_segment(match)
-            size, same = end - start, int(match[start:end].sum())
-            if size < min(MIN_WORDS, len(own)) or size < SHORTEST or same < MIN_SHARE * size:
+            segment = overlap_segment(match, min(MIN_WORDS, len(own)))
+            if segment is None:
                 continue
+            start, end = segment
+            size, same = end - start, int(match[start:end].sum())
             if i not in best or same > best[i]["matched"]:
                 best[i] = {"item_id": self.names[i], "start_word": lo + diagonal + start,
                            "words": size, "matched": same, "item_words": len(own)}

@@ -254,3 +254,18 @@ def test_every_fourth_word_changed_is_found():
     side = decontaminate.TestSide([(1, " ".join(item)), (2, "a1 a2 a3 a4 a5 a6 a7 a8")])
     assert (0, 2) in map(tuple, side.hits(np.array([0, 0] + [side.words.get(w, 0) for w in text])).tolist())
     assert [o["item_id"] for o in side.overlaps("x a1 a2 c a4 a5 a6 a7 a8 y")] == [2]
+
+
+def test_any_qualifying_segment_counts():
+    runs = [True] * 13 + [False] * 8 + [True] * 13 + [False] * 8 + [True] * 13
+    near_end = [True] + [False] + [True] * 11 + [False] + [True]
+    assert decontaminate.overlap_segment(np.array(runs), 13) == (0, 34)
+    assert decontaminate.overlap_segment(np.array(near_end), 13) == (0, 15)
+    rnd = random.Random(5)
+    for _ in range(3000):
+        match = np.array([rnd.random() < rnd.choice([0.7, 0.8]) for _ in range(rnd.randint(0, 45))], bool)
+        least = rnd.choice([8, 13])
+        every = [(a, b) for a in range(len(match)) for b in range(a + least, len(match) + 1)
+                 if 4 * match[a:b].sum() >= 3 * (b - a)]
+        got = decontaminate.overlap_segment(match, least)
+        assert got in every if every else got is None
