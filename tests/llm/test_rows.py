@@ -269,3 +269,17 @@ def test_any_qualifying_segment_counts():
                  if 4 * match[a:b].sum() >= 3 * (b - a)]
         got = decontaminate.overlap_segment(match, least)
         assert got in every if every else got is None
+
+
+def test_secret_threshold_reports_its_recall():
+    rng = np.random.default_rng(4)
+
+    class Weak:
+        def logits(self, rows):
+            return rows[:, 0]
+
+    labels = (np.arange(2000) % 4 == 0).astype(float)
+    rows = (rng.normal(0, 1, 2000) + 0.5 * labels)[:, None]
+    scanner = secrets.calibrate(Weak(), rows, labels)
+    kept = (scanner.scores(rows[labels == 1]) >= scanner.threshold).mean()
+    assert scanner.recall == kept < secrets.RECALL and scanner.threshold == secrets.LEAST
