@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchtide.llm import decontaminate, langid, minhash, packing, pii, quality, repetition, secrets, shards, suffixes
+from benchtide.llm import (decontaminate, langid, minhash, mixing, packing, pii, quality, repetition, resampling,
+                           secrets, shards, suffixes, vectorcodes)
 from benchtide.llm.common import held_out, prepare, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -15,8 +16,11 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(key: str):
+def register(key: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
+        if oracle is not None:
+            ORACLES[key] = oracle.strip()
+
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
             return fn(spark, sf_dir)
@@ -96,3 +100,21 @@ def q_suffixes(spark, sf_dir):
 def q_pii(spark, sf_dir):
     """Personal data and disclosing words of every document."""
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@register("op11_vector_codes", vectorcodes.SQL)
+def q_vector_codes(spark, sf_dir):
+    """Product codes of every usable embedding."""
+    return vectorcodes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_resample")
+def q_resample(spark, sf_dir):
+    """Importance weights of every document towards the benchmark, and the draw."""
+    return resampling.resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_mix_sources", mixing.SQL)
+def q_mix(spark, sf_dir):
+    """What the mix of all sources takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
