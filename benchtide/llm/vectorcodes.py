@@ -54,7 +54,12 @@ BLOCK = 4096
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of ``x`` to all rows of ``y``, whole numbers."""
+    """Squared distances of all rows of ``x`` to all rows of ``y``, whole numbers.
+    A product of doubles is exact as long as no sum passes 2^53."""
+    reach = max(abs(x).max(initial=0), abs(y).max(initial=0))
+    if x.shape[1] * (2.0 * reach) ** 2 < 2.0 ** 53:
+        a, b = x.astype(float), y.astype(float)
+        return ((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)).astype(np.int64)
     out = np.zeros((len(x), len(y)), np.int64)
     for k in range(x.shape[1]):
         step = x[:, k, None] - y[None, :, k]
@@ -179,6 +184,19 @@ def whole(vectors: pa.Array) -> np.ndarray:
     return np.floor(flat.reshape(len(vectors), -1) * SCALE).astype(np.int64)
 
 
+def grouped(batches, rows: int = BLOCK):
+    """Arrow batches put together to at least ``rows`` rows each (but the last)."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def usable(rows: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """The rows whose vector is whole: no null, NaN or infinite component."""
     x = F.col(vector_col)
@@ -222,9 +240,7 @@ def train(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             m = shared.value
             n = [np.zeros(len(b), np.int64) for b in m.books]
             total = [np.zeros(b.shape, np.int64) for b in m.books]
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in grouped(batches):
                 x = whole(batch.column(0))
                 entry, _ = m.assign(x)
                 for p in range(parts):
@@ -251,20 +267,21 @@ def encode(rows: DataFrame, model: Codebooks, vector_col: str = "embedding") ->
     squared distances summed over the parts)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf(T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())),
-                               T.StructField("error", T.LongType())]))
-    def nearest(vectors: pa.Array) -> pa.Array:
+    def nearest(batches):
         m = shared.value
         parts = len(m.books)
-        entry, near = m.assign(whole(vectors)) if len(vectors) else (np.zeros((0, parts)), np.zeros((0, parts)))
-        codes = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * parts, pa.int32()),
-                                         pa.array(entry.ravel().astype(np.int32)))
-        return pa.StructArray.from_arrays([codes, pa.array(near.sum(axis=1).astype(np.int64))],
-                                          ["codes", "error"])
+        for batch in grouped(batches):
+            entry, near = m.assign(whole(batch.column(1)))
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(entry) + 1) * parts, pa.int32()),
+                                             pa.array(entry.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes, pa.array(near.sum(axis=1))],
+                                             ["row", "codes", "error"])
 
     kept = [c for c in rows.columns if c.lower() not in ("codes", "error")]
-    paired = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), nearest(F.col(vector_col)).alias("got"))
-    return paired.select("row.*", "got.codes", "got.error")
+    paired = rows.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(vector_col).alias("v"))
+    schema = T.StructType([paired.schema["row"], T.StructField("codes", T.ArrayType(T.IntegerType())),
+                           T.StructField("error", T.LongType())])
+    return paired.mapInArrow(nearest, schema).select("row.*", "codes", "error")
 
 
 SALTS = 16
