@@ -57,7 +57,8 @@ def fold_table() -> list[list[int]]:
     return rows
 
 
-def _state_name(idx: Column) -> Column:
+def state_name(idx: Column) -> Column:
+    """Name of a fold state (0: none, null)."""
     names = F.array(F.lit(None).cast("string"), *[F.lit(s) for s in BUILD_STATES])
     return F.element_at(names, idx + 1)
 
@@ -97,14 +98,29 @@ def build_state_fold(events: DataFrame, keys: Sequence[str], ts: str = "ts", seq
     if dispatched is not None:
         accepted = accepted | (F.col(dispatched) & (F.col("_before") <= _idx("REQUESTING")))
     return (scanned
-            .withColumn("state_after", _state_name(after))
-            .withColumn("state_before", _state_name(F.col("_before")))
+            .withColumn("state_after", state_name(after))
+            .withColumn("state_before", state_name(F.col("_before")))
             .withColumn("accepted", F.coalesce(accepted, F.lit(False)))
             .withColumn("publish", F.coalesce(final, F.lit(False)))
             .withColumn("out_of_order", F.coalesce(final & (F.col("_finals") > 0), F.lit(False)))
             .drop("_before", "_finals"))
 
 
+def live_step() -> Column:
+    """Of a fold row: 1 where a build begins to be recorded, -1 where it ends."""
+    return (F.col("state_after").isNotNull().cast("long") - F.col("state_before").isNotNull().cast("long"))
+
+
+def live_counts(fold: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq",
+                partitions: int | None = None) -> DataFrame:
+    """The fold rows where a build of the key begins or ends, with ``live``:
+    how many are recorded from then on."""
+    rows = fold.where(live_step() != 0).withColumn("_step", live_step())
+    counted = keyed_scan(rows, keys, [ts, seq], flag=F.col("_step"), state_col=None,
+                         count_col="_live", partitions=partitions)
+    return counted.withColumn("live", F.col("_live") + F.col("_step")).drop("_live", "_step")
+
+
 def publish_requests(fold: DataFrame) -> DataFrame:
     """J-3: one publish request per final event, accepted or not."""
     return fold.filter(F.col("publish"))
@@ -228,6 +244,11 @@ def inflight_snapshot(fold: DataFrame, keys: Sequence[str], ts: str = "ts",
         *keys, F.col("state_after").alias("state"))
 
 
+def inflight_counts(snapshot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How many builds of each key (the ref) a snapshot holds: ``builds``."""
+    return snapshot.groupBy(*keys).agg(F.count(F.lit(1)).alias("builds"))
+
+
 def attach_build_state(requests: DataFrame, fold: DataFrame, keys: Sequence[str],
                        ts: str = "ts", seq: str = "seq", name: str = "build_state_now") -> DataFrame:
     """D-2 (batch): each request row gets its build's current state (after

@@ -1,9 +1,10 @@
 """Build-response queue -> publish requests -> results history, as
 streaming queries (SURVEY 3.2 and 3.3).
 
-queue (A-2) -> F-2 decode (bad -> B-4 dead-letter folder) -> J-1 keyed fold
-on ``buildRequest.ref`` -> J-3 publish requests -> E-3 results rows -> B-2
-CSV history, each micro-batch written to its own ``batch_id=N`` folder.
+queue (A-2) -> F-2 decode (bad -> B-4 dead-letter folder) -> each response
+once -> J-1 keyed fold on (ref, build) -> J-3 publish requests -> E-3 results
+rows -> B-2 CSV history, each micro-batch written to its own ``batch_id=N``
+folder.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from benchtide.streaming import jobs
 def decoded_responses(spark: SparkSession, queue: str, stream: bool = True,
                       max_files_per_trigger: int | None = None) -> DataFrame:
     """Build-response messages with ``record`` / ``error`` columns."""
-    raw = read_queue(spark, queue, stream=stream, max_files_per_trigger=max_files_per_trigger)
+    raw = read_queue(spark, queue, stream=stream, max_files_per_trigger=max_files_per_trigger, arrival=True)
     # callers filter on the error: decode once
     return computed_once(decode_records(raw, "value", "build_response"), ["record", "error"])
 
@@ -40,7 +41,15 @@ def state_events(decoded: DataFrame) -> DataFrame:
         r["timeStamp"].cast("timestamp_ntz").alias("ts"),
         seq.alias("seq"), r["buildState"].alias("build_state"),
         r["id"].alias("response_id"), r["buildRequest"]["commit"].alias("commit"),
-        r["buildStats"].alias("buildStats"))
+        r["buildStats"].alias("buildStats"), "arrived")
+
+
+def delivered_once(events: DataFrame, message_id: str, window: str, clock: str = "arrived") -> DataFrame:
+    """J-3 ahead of the fold: a message that is delivered again within
+    ``window`` of its first arrival is left out, in the same micro-batch or a
+    later one, so it changes neither the builds nor what is published.  The
+    ids are state that ends with the window; no earlier output is read."""
+    return events.withWatermark(clock, window).dropDuplicatesWithinWatermark([message_id])
 
 
 def run_dead_letters(spark: SparkSession, queue: str, out: str, checkpoint: str) -> None:
@@ -52,24 +61,21 @@ def run_dead_letters(spark: SparkSession, queue: str, out: str, checkpoint: str)
 
 
 def run_results_history(spark: SparkSession, queue: str, history: str, publish_out: str,
-                        checkpoint: str, max_files_per_trigger: int | None = None) -> None:
+                        checkpoint: str, max_files_per_trigger: int | None = None,
+                        redelivery: str = "7 days", retention: str = "30 days") -> None:
     """Fold the response stream and turn every publish request into results
-    rows (appended to ``history``) and a publish outcome (``publish_out``)."""
+    rows (appended to ``history``) and a publish outcome (``publish_out``).
+    ``redelivery`` is how long after its arrival a response may come again,
+    ``retention`` how long a build is remembered after its last response."""
     src = decoded_responses(spark, queue, max_files_per_trigger=max_files_per_trigger)
-    folded = jobs.fold_stream(state_events(src),
-                              ["ref"], "build_id", "ts", "seq", "build_state")
+    events = delivered_once(state_events(src), "response_id", redelivery)
+    folded = jobs.fold_stream(events, ["ref"], "build_id", "ts", "seq", "build_state",
+                              clock="arrived", retention=retention)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # a re-delivered response message must not publish twice, neither in
-        # this batch nor after an earlier one
         pubs = jobs.publish_stream(batch).select(
             "ref", "build_id", "response_id", "commit", F.col("ts").alias("date"),
-            "buildStats", "out_of_order").dropDuplicates(["response_id"])
-        if batch_id:
-            sent = (batch.sparkSession.read.schema("response_id string, batch_id bigint")
-                    .parquet(publish_out).where(F.col("batch_id") < batch_id).select("response_id"))
-            pubs = pubs.join(sent, "response_id", "left_anti")
-        pubs = pubs.persist()
+            "buildStats", "out_of_order").persist()
         write_results(results_rows(pubs), f"{history.rstrip('/')}/batch_id={batch_id}",
                       mode="overwrite")
         (publish_state(pubs).drop("buildStats").write.mode("overwrite")

@@ -777,6 +777,9 @@ def q_unpivot_timings(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming forms
 
+from benchtide.operators.joins import lookup_join  # noqa: E402
+from benchtide.plans.builds import delivered_once  # noqa: E402
+from benchtide.schemas import BUILD_STATES, PREV_STATE  # noqa: E402
 from benchtide.streaming import jobs  # noqa: E402
 
 
@@ -788,19 +791,144 @@ def events_stream(spark, sf_dir) -> DataFrame:
             .parquet(sf_dir))
 
 
-@register("state_fold_stream", _FOLD_SQL + "SELECT * FROM traced")
+_STATE_SQL = "[" + ", ".join(f"'{s}'" for s in BUILD_STATES) + "]"
+_FOLD_REFS_SQL = f"""
+WITH RECURSIVE named AS (
+  SELECT 'refs/heads/b' || CAST(user_id % 4 AS VARCHAR) AS ref, CAST(user_id AS VARCHAR) AS id, event_id, ts,
+         {_STATE_SQL}[CAST(json_extract_string(props, '$.k') AS INTEGER) % 11 + 1] AS s
+  FROM events),
+ev AS (
+  SELECT *, row_number() OVER (PARTITION BY ref, id ORDER BY ts, event_id) AS rn, s = 'REQUESTED' AS sent,
+         {_case_sql('s', {k: v for k, v in PREV_STATE.items() if v})} AS p,
+         s IN ('UPDATING_SOURCE_FAILED','BUILDING_FAILED','BENCHMARKING_FAILED','BENCHMARKING_COMPLETE') AS fin,
+         s IN ('UPDATING_SOURCE','UPDATING_SOURCE_COMPLETE','BUILDING','BUILDING_COMPLETE','BENCHMARKING') AS upd
+  FROM named),
+fold AS (
+  SELECT ref, id, rn, event_id, ts, s, p, fin, upd, sent, CAST(NULL AS VARCHAR) AS before_s,
+         CASE WHEN sent THEN 'REQUESTED' WHEN upd THEN s END AS after_s
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.ref, e.id, e.rn, e.event_id, e.ts, e.s, e.p, e.fin, e.upd, e.sent, f.after_s,
+         CASE WHEN e.sent AND (f.after_s IS NULL OR f.after_s = 'REQUESTING') THEN 'REQUESTED'
+              WHEN e.upd AND (f.after_s IS NULL OR f.after_s = e.p) THEN e.s
+              WHEN e.fin AND (f.after_s IS NULL OR f.after_s = e.p) THEN NULL
+              ELSE f.after_s END
+  FROM fold f JOIN ev e ON e.ref = f.ref AND e.id = f.id AND e.rn = f.rn + 1),
+traced AS (
+  SELECT ref, id, event_id, ts, s AS build_state, before_s AS state_before, after_s AS state_after,
+         coalesce(CASE WHEN sent THEN before_s IS NULL OR before_s = 'REQUESTING'
+                       ELSE (upd OR fin) AND (before_s IS NULL OR before_s = p) END, false) AS accepted,
+         fin AS publish,
+         fin AND coalesce(sum(CAST(fin AS INT)) OVER (PARTITION BY ref, id ORDER BY rn
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS out_of_order
+  FROM fold)
+"""
+_FOLD_COLUMNS = ["ref", "id", "event_id", "ts", "build_state", "state_before", "state_after",
+                 "accepted", "publish", "out_of_order"]
+
+
+def ref_events(events: DataFrame) -> DataFrame:
+    """events as build events keyed by (ref, id) with all eleven states: the
+    state is the number in ``props``, REQUESTED standing for a sent request."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    state = F.element_at(F.array(*[F.lit(s) for s in BUILD_STATES]), k % len(BUILD_STATES) + 1)
+    rows = events.select(
+        F.concat(F.lit("refs/heads/b"), (F.col("user_id") % 4).cast("string")).alias("ref"),
+        F.col("user_id").cast("string").alias("id"), "event_id", "ts", state.alias("build_state"),
+        *[c for c in events.columns if c == "arrived"])
+    return rows.withColumn("sent", F.col("build_state") == "REQUESTED")
+
+
+@register("state_fold_refs", _FOLD_REFS_SQL + "SELECT * FROM traced")
+def q_state_fold_refs(spark, sf_dir):
+    """J-1 over (ref, id) with all eleven states and sent requests."""
+    return builds.build_state_fold(ref_events(table(spark, sf_dir, "events")), ["ref", "id"], "ts", "event_id",
+                                   dispatched="sent").select(*_FOLD_COLUMNS)
+
+
+def _run_ref_fold(spark, sf_dir, name: str, live: bool = False) -> str:
+    """Run the streaming fold over (ref, id); the folder of its data and checkpoint."""
+    stream = jobs.fold_stream(ref_events(events_stream(spark, sf_dir)), ["ref"], "id", "ts", "event_id",
+                              dispatched="sent")
+    if live:
+        stream = jobs.live_stream(stream, ["ref"], "ts", "event_id")
+    out = jobs.stream_folder(spark, name)
+    jobs.run_available_now(stream, f"{out}/data", f"{out}/checkpoint")
+    return out
+
+
+@register("state_fold_stream", _FOLD_REFS_SQL + "SELECT * FROM traced")
 def q_state_fold_stream(spark, sf_dir):
-    """J-1 as a stateful stream (transformWithStateInPandas, MapState per
-    user), run with availableNow into an idempotent per-batch sink."""
-    ev = events_stream(spark, sf_dir).select(
-        "user_id", "event_id", "ts", _map_col("event_type", FOLD_STATES).alias("build_state"),
-        F.col("user_id").cast("string").alias("build_id"))
-    folded = jobs.fold_stream(ev, ["user_id"], "build_id", "ts", "event_id", "build_state")
-    out = jobs.stream_folder(spark, "state_fold")
-    jobs.run_available_now(folded, f"{out}/data", f"{out}/checkpoint")
+    """J-1 as a stateful stream: one state entry per (ref, id), so the builds
+    of a ref spread over the tasks; an idempotent per-batch sink."""
+    out = _run_ref_fold(spark, sf_dir, "state_fold")
+    return jobs.read_batches(spark, f"{out}/data").select(*_FOLD_COLUMNS)
+
+
+_LIVE_SQL = """
+SELECT ref, id, event_id, ts, state_after,
+       CAST(sum(CASE WHEN state_before IS NULL THEN 1 ELSE -1 END) OVER (
+         PARTITION BY ref ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS live
+FROM traced WHERE (state_before IS NULL) <> (state_after IS NULL)
+"""
+
+
+@register("live_builds", _FOLD_REFS_SQL + _LIVE_SQL)
+def q_live_builds(spark, sf_dir):
+    """J-1: live builds of each ref after every beginning or end of one."""
+    fold = builds.build_state_fold(ref_events(table(spark, sf_dir, "events")), ["ref", "id"], "ts", "event_id",
+                                   dispatched="sent")
+    return builds.live_counts(fold, ["ref"], "ts", "event_id").select(
+        "ref", "id", "event_id", "ts", "state_after", "live")
+
+
+@register("live_builds_stream", _FOLD_REFS_SQL + _LIVE_SQL)
+def q_live_builds_stream(spark, sf_dir):
+    """The same as two keyed steps of one stream: builds, then refs."""
+    out = _run_ref_fold(spark, sf_dir, "live_builds", live=True)
+    return jobs.read_batches(spark, f"{out}/data").select("ref", "id", "event_id", "ts", "state_after", "live")
+
+
+@register("inflight_stream_snapshot", _FOLD_REFS_SQL + """
+, now AS (
+  SELECT ref, id, state_after AS state FROM (
+    SELECT *, row_number() OVER (PARTITION BY ref, id ORDER BY ts DESC, event_id DESC) AS rk FROM traced)
+  WHERE rk = 1 AND state_after IS NOT NULL)
+SELECT ref, id, state, count(*) OVER (PARTITION BY ref) AS builds FROM now
+""")
+def q_inflight_stream_snapshot(spark, sf_dir):
+    """D-7 of a running stream: the recorded builds of each ref and how many
+    there are, read from the state store of the fold's checkpoint."""
+    out = _run_ref_fold(spark, sf_dir, "snapshot")
+    now = jobs.stream_snapshot(spark, f"{out}/checkpoint", "id")
+    return lookup_join(now, builds.inflight_counts(now, ["ref"]), ["ref"]).select("ref", "id", "state", "builds")
+
+
+@register("publish_redelivered_stream", _FOLD_REFS_SQL + """
+SELECT ref, id, event_id, ts, build_state, accepted, out_of_order FROM traced WHERE publish
+""")
+def q_publish_redelivered_stream(spark, sf_dir):
+    """J-3: the older half of the events arrives, is published, and arrives
+    again with the newer half after a restart: each event counts once."""
+    events = table(spark, sf_dir, "events")
+    middle = events.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    out = jobs.stream_folder(spark, "redelivered")
+
+    def run():
+        arrived = F.col("_metadata.file_modification_time").alias("arrived")
+        queue = (spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+                 .parquet(f"{out}/queue").select("*", arrived))
+        once = delivered_once(ref_events(queue), "event_id", "1 day")
+        fold = jobs.fold_stream(once, ["ref"], "id", "ts", "event_id", dispatched="sent",
+                                clock="arrived", retention="7 days")
+        jobs.run_available_now(jobs.publish_stream(fold), f"{out}/data", f"{out}/checkpoint")
+
+    events.where(F.col("ts") <= F.lit(middle)).write.parquet(f"{out}/queue/first")
+    run()
+    events.write.parquet(f"{out}/queue/second")
+    run()
     return jobs.read_batches(spark, f"{out}/data").select(
-        "user_id", "event_id", "ts", "build_state", "state_before", "state_after",
-        "accepted", "publish", "out_of_order")
+        "ref", "id", "event_id", "ts", "build_state", "accepted", "out_of_order")
 
 
 @register("dispatch_latest_stream", ORACLES["dispatch_latest"].replace(

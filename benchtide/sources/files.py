@@ -23,24 +23,29 @@ def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataF
 
 
 def read_queue(spark: SparkSession, path: str, stream: bool = False,
-               max_files_per_trigger: int | None = None) -> DataFrame:
+               max_files_per_trigger: int | None = None, arrival: bool = False) -> DataFrame:
     """A-2: a queue stored as JSON-lines text files; one message per line in
-    ``value``.  Arrival order is the message's own ``(timeStamp, id)``."""
+    ``value``.  Arrival order is the message's own ``(timeStamp, id)``;
+    ``arrival`` adds the time its file was written as ``arrived``."""
     reader = spark.readStream if stream else spark.read
     if stream and max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path).filter(F.length("value") > 0)
+    lines = reader.text(path)
+    if arrival:
+        lines = lines.select("value", F.col("_metadata.file_modification_time").alias("arrived"))
+    return lines.filter(F.length("value") > 0)
 
 
 def read_kafka_queue(spark: SparkSession, bootstrap_servers: str, topic: str,
                      stream: bool = True, starting_offsets: str = "earliest") -> DataFrame:
     """A-2 on Kafka: one message per record as ``value`` text, with the
-    topic partition and offset as arrival order.  Needs the Spark Kafka
-    connector on the cluster's classpath."""
+    topic partition and offset as arrival order, and the broker's time as
+    ``arrived``.  Needs the Spark Kafka connector on the cluster's classpath."""
     reader = spark.readStream if stream else spark.read
     df = (reader.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
           .option("subscribe", topic).option("startingOffsets", starting_offsets).load())
-    return df.select(F.col("value").cast("string").alias("value"), "partition", "offset")
+    return df.select(F.col("value").cast("string").alias("value"), "partition", "offset",
+                     F.col("timestamp").alias("arrived"))
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """Keyed streaming state for the build bookkeeping.
 
-``BuildFoldProcessor`` (J-1, with the J-3 publish flags) keeps, per grouping
-key (the ref), a ``MapState`` build id -> (state, number of final events).
-``DispatchProcessor`` (J-2, latest-wins) keeps a busy flag and the newest
-waiting request per key.  Rows of a key inside one micro-batch arrive
-unordered, so each handler sorts them by ``(ts, seq)`` first; across
-micro-batches arrival order rules.  Only the build ids seen in the batch are
-read from state, and only changed entries are written back.
+``BuildFoldProcessor`` (J-1, with the J-3 publish flags) keeps one build per
+grouping key, (ref, build id): its state and its number of final events, so
+the builds of one busy ref spread over all tasks.  ``LiveCountProcessor`` is
+the second step, keyed by ref alone: it only sees a build's beginning and end
+and keeps how many builds of the ref are live.  ``DispatchProcessor`` (J-2,
+latest-wins) keeps a busy flag and the newest waiting request per key.
+
+Rows of a key inside one micro-batch arrive unordered, so each handler sorts
+them by ``(ts, seq)`` first; across micro-batches arrival order rules.  State
+can end: with ``retention_ms`` an event-time timer drops a finished build's
+record, and a build that never finishes, that long after its last event.
 """
 
 from __future__ import annotations
@@ -18,75 +22,143 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from benchtide.operators.builds import _DISPATCH_TABLE, _IDLE, fold_table
 from benchtide.schemas import BUILD_STATES, FINAL_STATES, PREV_STATE, UPDATE_SUCCESS_STATES
 
-_NAMES = [None] + BUILD_STATES
-
-
-def _idx(state):
-    return 0 if state is None else BUILD_STATES.index(state) + 1
+_NAMES = np.array([None] + BUILD_STATES, dtype=object)
+_CODES = {s: i for i, s in enumerate(BUILD_STATES)}
+_DISPATCHED, _OTHER = len(BUILD_STATES), len(BUILD_STATES) + 1
+# per event code: the map over fold states, the state that must precede, its class
+_MAPS = np.vstack([fold_table(), np.arange(len(BUILD_STATES) + 1)])
+_PREV = np.array([_CODES[PREV_STATE[s]] + 1 if PREV_STATE[s] else -1 for s in BUILD_STATES] + [-1, -1])
+_UPDATE = np.array([s in UPDATE_SUCCESS_STATES for s in BUILD_STATES] + [False, False])
+_FINAL = np.array([s in FINAL_STATES for s in BUILD_STATES] + [False, False])
+_REQUESTING, _REQUESTED = _CODES["REQUESTING"] + 1, _CODES["REQUESTED"] + 1
 
 
 def _ts_micros(v) -> int:
     return int(pd.Timestamp(v).value // 1000)
 
 
+def _frame(rows) -> pd.DataFrame:
+    frames = list(rows)
+    return frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+
+
+def in_order(pdf: pd.DataFrame, ts: str, seq: str) -> pd.DataFrame:
+    """Rows by (ts, seq); a null time comes first, as in batch."""
+    at = pdf[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+    number = pd.to_numeric(pdf[seq]).to_numpy()
+    return pdf.take(np.lexsort((number, at)))
+
+
+def walk(codes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """States before and after each event: the events' maps composed in
+    log2(n) steps, then looked up at the start state."""
+    comp = _MAPS[codes]
+    step = 1
+    while step < len(comp):
+        comp[step:] = np.take_along_axis(comp[step:], comp[:-step], axis=1)
+        step *= 2
+    after = comp[:, start]
+    return np.concatenate([[start], after[:-1]]), after
+
+
 class BuildFoldProcessor(StatefulProcessor):
-    """J-1: apply state events to builds; emits one trace row per event.
+    """J-1: apply state events to one build; emits one trace row per event.
 
     A build whose state returns to "none" is kept as a tombstone (state 0,
     finals > 0) so a second final event is flagged ``out_of_order``, as in
-    the batch fold; ``keep_tombstones=False`` deletes it instead.
+    the batch fold; ``keep_tombstones=False`` deletes it at once.
+
+    With ``retention_ms`` the record ends that long after the build's last
+    event by the ``clock`` column, the one with the watermark.  A build that is
+    still live then gives one row more, ``expired``, with ``state_after`` null.
+    A final event of a build without a record counts as ``out_of_order`` if its
+    own time is that far behind the watermark: its record may have ended.
     """
 
-    def __init__(self, key_cols, id_col, ts, seq, state, keep_tombstones=True):
-        self.key_cols, self.id_col, self.ts, self.seq, self.state = key_cols, id_col, ts, seq, state
-        self.keep_tombstones = keep_tombstones
+    def __init__(self, key_cols, ts, seq, state, keep_tombstones=True, dispatched=None,
+                 clock=None, retention_ms=None, columns=()):
+        self.key_cols, self.ts, self.seq, self.state = list(key_cols), ts, seq, state
+        self.keep_tombstones, self.dispatched = keep_tombstones, dispatched
+        self.clock, self.retention_ms, self.columns = clock, retention_ms, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.builds = handle.getMapState("builds", "id string", "state int, finals long")
+        self.handle = handle
+        self.build = handle.getValueState("build", "state int, finals long, due long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.seq], kind="stable")
-        table = fold_table()
-        ids = pdf[self.id_col].astype(str).to_numpy()
-        cache = {}
-        for bid in set(ids):
-            cache[bid] = self.builds.getValue((bid,)) if self.builds.containsKey((bid,)) else None
-        states = pdf[self.state].to_numpy()
-        n = len(pdf)
-        before_out, after_out = [None] * n, [None] * n
-        accepted, publish, ooo = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-        for i in range(n):
-            bid, s = ids[i], states[i]
-            cur = cache[bid]
-            before, finals = (int(cur[0]), int(cur[1])) if cur is not None else (0, 0)
-            if s in BUILD_STATES:
-                after = table[BUILD_STATES.index(s)][before]
-            else:
-                after = before
-            final = s in FINAL_STATES
-            prev = PREV_STATE.get(s) if s in BUILD_STATES else None
-            if s in UPDATE_SUCCESS_STATES or final:
-                accepted[i] = before == 0 or (prev is not None and before == _idx(prev))
-            publish[i] = final
-            ooo[i] = final and finals > 0
-            before_out[i], after_out[i] = _NAMES[before], _NAMES[after]
-            cache[bid] = (after, finals + int(final))
-        for bid, val in cache.items():
-            if val is None:
-                continue
-            if val[0] == 0 and (val[1] == 0 or not self.keep_tombstones):
-                if self.builds.containsKey((bid,)):
-                    self.builds.removeKey((bid,))
-            else:
-                self.builds.updateValue((bid,), (int(val[0]), int(val[1])))
-        out = pdf.copy()
-        out["state_before"] = before_out
-        out["state_after"] = after_out
-        out["accepted"] = accepted
-        out["publish"] = publish
-        out["out_of_order"] = ooo
+        pdf = in_order(_frame(rows), self.ts, self.seq)
+        state, finals = (int(v) for v in self.build.get()[:2]) if self.build.exists() else (0, 0)
+        known = state != 0 or finals != 0
+        codes = pdf[self.state].map(_CODES).fillna(_OTHER).to_numpy().astype(np.int64)
+        if self.dispatched:
+            codes = np.where(pdf[self.dispatched].fillna(False).to_numpy().astype(bool), _DISPATCHED, codes)
+        before, after = walk(codes, state)
+        final = _FINAL[codes]
+        earlier = finals + np.cumsum(final) - final
+        late = np.zeros(len(pdf), bool)
+        if self.retention_ms is not None and not known:
+            at = pdf[self.ts].to_numpy().astype("datetime64[ms]").astype(np.int64)
+            late = at + self.retention_ms <= timerValues.getCurrentWatermarkInMs()
+        out = pdf.assign(
+            state_before=_NAMES[before], state_after=_NAMES[after],
+            accepted=np.where(codes == _DISPATCHED, before <= _REQUESTING,
+                              (_UPDATE[codes] | final) & ((before == 0) | (before == _PREV[codes]))),
+            publish=final, out_of_order=final & ((earlier > 0) | late))
+        state, finals = int(after[-1]), int(finals + final.sum())
+        if state == 0 and (finals == 0 or not self.keep_tombstones):
+            self.build.clear()
+        else:
+            due = 0
+            if self.retention_ms is not None:
+                last = pdf[self.clock].max()
+                due = max(timerValues.getCurrentWatermarkInMs() + 1,
+                          int(pd.Timestamp(last).value // 10 ** 6) + self.retention_ms)
+                self.handle.registerTimer(due)
+            self.build.update((state, finals, due))
+        if self.retention_ms is not None:
+            out["expired"] = False
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.build.exists():
+            return
+        state, _, due = self.build.get()
+        if due > expiredTimerInfo.getExpiryTimeInMs():
+            return      # a later event has put the end off
+        self.build.clear()
+        if state == 0:
+            return
+        row = dict.fromkeys(self.columns)
+        row.update(zip(self.key_cols, key))
+        now = pd.Timestamp(timerValues.getCurrentWatermarkInMs() + 1, unit="ms")
+        row.update({self.ts: now, self.clock: now, "state_before": _NAMES[state], "state_after": None,
+                    "accepted": False, "publish": False, "out_of_order": False, "expired": True})
+        yield pd.DataFrame([row])
+
+    def close(self) -> None:
+        pass
+
+
+class LiveCountProcessor(StatefulProcessor):
+    """Builds of a ref that are live, after each beginning (+1) or end (-1)."""
+
+    def __init__(self, ts, seq):
+        self.ts, self.seq = ts, seq
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getValueState("live", "n long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = in_order(_frame(rows), self.ts, self.seq)
+        before = int(self.live.get()[0]) if self.live.exists() else 0
+        step = pdf["state_after"].notna().astype(int) - pdf["state_before"].notna().astype(int)
+        live = before + step.to_numpy().cumsum()
+        if live[-1]:
+            self.live.update((int(live[-1]),))
+        else:
+            self.live.clear()
+        yield pdf.assign(live=live)
+
     def close(self) -> None:
         pass
 
@@ -105,7 +177,7 @@ class DispatchProcessor(StatefulProcessor):
         self.pending = handle.getValueState("pending", "ts_us long, seq long")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.seq], kind="stable")
+        pdf = in_order(_frame(rows), self.ts, self.seq)
         state = self.busy.get()[0] if self.busy.exists() else _IDLE
         pend = tuple(self.pending.get()) if self.pending.exists() else None
         out_seq, out_ts, out_action, out_at = [], [], [], []
@@ -165,98 +237,130 @@ class OrchestratorProcessor(StatefulProcessor):
     request is sent.  Sent requests are recorded as REQUESTED builds.
 
     Emits one row per state event (fold trace) and one per request once its
-    fate is known (dispatch / dispatch_backlog / drop).
+    fate is known (dispatch / dispatch_backlog / drop).  A decision depends on
+    every earlier row of the ref, so this step is sequential per ref.
+
+    With ``retention_ms`` the builds of a batch are forgotten that long after
+    its latest ``clock``, unless later rows named them again.  A live one that
+    ends so frees the ref: its waiting request is sent then.
     """
 
-    def __init__(self, key_cols, id_col, ts, seq, kind, state, mode="latest"):
+    def __init__(self, key_cols, id_col, ts, seq, kind, state, mode="latest", clock=None, retention_ms=None):
         self.key_cols = list(key_cols)
         self.id_col, self.ts, self.seq, self.kind, self.state = id_col, ts, seq, kind, state
-        self.mode = mode
+        self.mode, self.clock, self.retention_ms = mode, clock, retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.builds = handle.getMapState("builds", "id string", "state int, finals long")
+        self.handle = handle
+        self.builds = handle.getMapState("builds", "id string", "state int, finals long, due long")
         self.live = handle.getValueState("live", "n long")
         self.pending = handle.getValueState("pending", "id string, ts_us long, seq long")
 
+    # a null id is no text: it must not meet the build named "None"
+    @staticmethod
+    def _entry(bid):
+        return ("s" + bid if bid is not None else "n",)
+
+    def _load(self) -> None:
+        self.n_live = int(self.live.get()[0]) if self.live.exists() else 0
+        self.wait = tuple(self.pending.get()) if self.pending.exists() else None
+        self.cache, self.out = {}, []
+
+    def _get(self, bid):
+        if bid not in self.cache:
+            entry = self._entry(bid)
+            v = self.builds.getValue(entry) if self.builds.containsKey(entry) else None
+            self.cache[bid] = (int(v[0]), int(v[1])) if v is not None else (0, 0)
+        return self.cache[bid]
+
+    def _put(self, bid, state, finals):
+        self.n_live += int(state != 0) - int(self._get(bid)[0] != 0)
+        self.cache[bid] = (state, finals)
+
+    def _decide(self, bid, ts_us, seq, action, at_us=None):
+        if at_us is not None:
+            cur, finals = self._get(bid)
+            if cur in (0, _REQUESTING):
+                self._put(bid, _REQUESTED, finals)
+        self.out.append((bid, ts_us, seq, "request", None, action, at_us) + (None,) * 5)
+
+    def _release(self, at_us):
+        if self.wait is not None and self.n_live == 0:
+            self._decide(*self.wait, "dispatch_backlog", at_us)
+            self.wait = None
+
+    def _save(self, due):
+        for bid, (state, finals) in self.cache.items():
+            entry = self._entry(bid)
+            if state == 0 and finals == 0:
+                if self.builds.containsKey(entry):
+                    self.builds.removeKey(entry)
+            else:
+                self.builds.updateValue(entry, (int(state), int(finals), int(due)))
+        if due and self.cache:
+            self.handle.registerTimer(due)
+        self.live.update((int(self.n_live),))
+        if self.wait is None:
+            self.pending.clear()
+        else:
+            self.pending.update(self.wait)
+
+    def _rows(self, key):
+        if not self.out:
+            return
+        cols = [self.id_col, self.ts, self.seq, self.kind, self.state, "action", "dispatched_at",
+                "state_before", "state_after", "accepted", "publish", "out_of_order"]
+        frame = pd.DataFrame(self.out, columns=cols)
+        frame[self.ts] = pd.to_datetime(frame[self.ts], unit="us")
+        frame["dispatched_at"] = pd.to_datetime(frame["dispatched_at"], unit="us")
+        for i, (k, v) in enumerate(zip(self.key_cols, key)):
+            frame.insert(i, k, v)
+        yield frame
+
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.seq], kind="stable")
-        table = fold_table()
-        requested = _idx("REQUESTED")
-        live = int(self.live.get()[0]) if self.live.exists() else 0
-        pend = tuple(self.pending.get()) if self.pending.exists() else None
-        cache = {}
-        out = []
-
-        def get(bid):
-            if bid not in cache:
-                v = self.builds.getValue((bid,)) if self.builds.containsKey((bid,)) else None
-                cache[bid] = (int(v[0]), int(v[1])) if v is not None else (0, 0)
-            return cache[bid]
-
-        def put(bid, new_state, finals):
-            nonlocal live
-            old = get(bid)[0]
-            live += int(new_state != 0) - int(old != 0)
-            cache[bid] = (new_state, finals)
-
-        def send(bid, ts_us, seq_v, action, at_us):
-            cur, finals = get(bid)
-            if cur in (0, _idx("REQUESTING")):
-                put(bid, requested, finals)
-            out.append((bid, ts_us, seq_v, "request", None, action, at_us,
-                        None, None, None, None, None))
-
-        for row in pdf.itertuples(index=False):
-            bid = str(getattr(row, self.id_col))
-            t = _ts_micros(getattr(row, self.ts))
-            sq = int(getattr(row, self.seq))
-            kind = getattr(row, self.kind)
+        pdf = in_order(_frame(rows), self.ts, self.seq)
+        codes = pdf[self.state].map(_CODES).fillna(_OTHER).to_numpy().astype(np.int64)
+        at = pdf[self.ts].to_numpy().astype("datetime64[us]").astype(np.int64).tolist()
+        self._load()
+        for bid, t, seq, kind, state, code in zip(pdf[self.id_col], at, pdf[self.seq], pdf[self.kind],
+                                                  pdf[self.state], codes.tolist()):
+            bid, seq = None if pd.isna(bid) else str(bid), int(seq)
             if kind == "request":
-                if self.mode == "all" or live == 0:
-                    send(bid, t, sq, "dispatch", t)
-                elif pend is None or t > pend[1]:
-                    if pend is not None:
-                        out.append((pend[0], pend[1], pend[2], "request", None, "drop", None,
-                                    None, None, None, None, None))
-                    pend = (bid, t, sq)
+                if self.mode == "all" or self.n_live == 0:
+                    self._decide(bid, t, seq, "dispatch", t)
+                elif self.wait is None or t > self.wait[1]:
+                    if self.wait is not None:
+                        self._decide(*self.wait, "drop")
+                    self.wait = (bid, t, seq)
                 else:
-                    out.append((bid, t, sq, "request", None, "drop", None,
-                                None, None, None, None, None))
+                    self._decide(bid, t, seq, "drop")
             elif kind == "state":
-                s = getattr(row, self.state)
-                before, finals = get(bid)
-                after = table[BUILD_STATES.index(s)][before] if s in BUILD_STATES else before
-                final = s in FINAL_STATES
-                prev = PREV_STATE.get(s) if s in BUILD_STATES else None
-                accepted = (s in UPDATE_SUCCESS_STATES or final) and (
-                    before == 0 or (prev is not None and before == _idx(prev)))
-                put(bid, after, finals + int(final))
-                out.append((bid, t, sq, "state", s, None, None, _NAMES[before], _NAMES[after],
-                            bool(accepted), bool(final), bool(final and finals > 0)))
-                if final and pend is not None and live == 0:
-                    send(pend[0], pend[1], pend[2], "dispatch_backlog", t)
-                    pend = None
-        for bid, (st, finals) in cache.items():
-            if st == 0 and finals == 0:
-                if self.builds.containsKey((bid,)):
-                    self.builds.removeKey((bid,))
-            else:
-                self.builds.updateValue((bid,), (int(st), int(finals)))
-        self.live.update((int(live),))
-        if pend is None:
-            self.pending.clear()
-        else:
-            self.pending.update(pend)
-        if out:
-            cols = [self.id_col, self.ts, self.seq, self.kind, self.state, "action", "dispatched_at",
-                    "state_before", "state_after", "accepted", "publish", "out_of_order"]
-            frame = pd.DataFrame(out, columns=cols)
-            frame[self.ts] = pd.to_datetime(frame[self.ts], unit="us")
-            frame["dispatched_at"] = pd.to_datetime(frame["dispatched_at"], unit="us")
-            frame[self.seq] = frame[self.seq].astype("int64")
-            for i, (k, v) in enumerate(zip(self.key_cols, key)):
-                frame.insert(i, k, v)
-            yield frame
+                before, finals = self._get(bid)
+                after, final = int(_MAPS[code, before]), bool(_FINAL[code])
+                accepted = bool((_UPDATE[code] or final) and (before == 0 or before == _PREV[code]))
+                self._put(bid, after, finals + int(final))
+                self.out.append((bid, t, seq, "state", state, None, None, _NAMES[before], _NAMES[after],
+                                 accepted, final, final and finals > 0))
+                if final:
+                    self._release(t)
+        due = 0
+        if self.retention_ms is not None:
+            due = max(timerValues.getCurrentWatermarkInMs() + 1,
+                      int(pd.Timestamp(pdf[self.clock].max()).value // 10 ** 6) + self.retention_ms)
+        self._save(due)
+        yield from self._rows(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self._load()
+        ended = [(entry[0], v) for entry, v in self.builds.iterator() if v[2] <= now]
+        for name, v in ended:
+            bid = name[1:] if name[0] == "s" else None
+            self.cache[bid] = (int(v[0]), int(v[1]))
+            self._put(bid, 0, 0)
+        self._release(now * 1000)
+        self._save(timerValues.getCurrentWatermarkInMs() + self.retention_ms)
+        yield from self._rows(key)
 
     def close(self) -> None:
         pass
