@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from benchtide.operators.decide import latest_wins
 from benchtide.operators.scan import keyed_scan
 from benchtide.operators.states import state_index
 from benchtide.schemas import BUILD_STATES, FINAL_STATES, PREV_STATE, UPDATE_SUCCESS_STATES
@@ -126,14 +127,6 @@ def publish_requests(fold: DataFrame) -> DataFrame:
     return fold.filter(F.col("publish"))
 
 
-# dispatch machine: 0 idle, 1 busy, 2 busy with a pending request
-_IDLE, _BUSY, _PENDING = 0, 1, 2
-_DISPATCH_TABLE = [
-    [_BUSY, _PENDING, _PENDING],   # request
-    [_IDLE, _IDLE, _BUSY],         # completion (a pending request starts)
-]
-
-
 def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_completion: Column,
              ts: str = "ts", seq: str = "seq", mode: str = "latest",
              partitions: int | None = None, persist_input: bool = False) -> DataFrame:
@@ -144,7 +137,8 @@ def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_comp
     the newest waiting request (latest ``ts``, earlier arrival on a tie) is
     kept and sent when the running build completes; the others are dropped;
     one still waiting at the end stays in the backlog.  ``persist_input``
-    keeps an expensive input plan between the scan's two passes.
+    keeps an expensive input plan between Spark's sampling of it and the scan.
+    The decisions are made in one pass (see ``operators.decide``).
 
     Returns the request rows with ``action`` in (dispatch, dispatch_backlog,
     drop, backlog) and ``dispatched_at``.
@@ -155,33 +149,7 @@ def dispatch(events: DataFrame, keys: Sequence[str], is_request: Column, is_comp
                 .withColumn("dispatched_at", F.col(ts)))
     if mode != "latest":
         raise ValueError(f"unknown dispatch mode {mode!r}")
-    code = F.when(is_request, F.lit(0)).when(is_completion, F.lit(1))
-    scanned = keyed_scan(events.withColumn("_req", is_request).withColumn("_done", is_completion),
-                         keys, [ts, seq], code=code, table=_DISPATCH_TABLE, flag=F.col("_done"),
-                         state_col="_busy", count_col="_seg", partitions=partitions,
-                         persist_input=persist_input)
-    waiting = F.col("_req") & (F.col("_busy") != _IDLE)
-    newest = F.struct(F.col(ts).alias("t"), (-F.col(seq)).alias("s"))
-    segments = (scanned.filter(waiting | F.col("_done"))
-                .groupBy(*keys, "_seg")
-                .agg(F.max(F.when(waiting, newest)).alias("_win"),
-                     F.max(F.when(F.col("_done"), F.col(ts))).alias("_closed_at")))
-    requests = scanned.filter(F.col("_req"))
-    # null keys form a group in the scan, so match them null-safely here too
-    seg = segments.select(*[F.col(k).alias(f"_sk{i}") for i, k in enumerate(keys)],
-                          F.col("_seg").alias("_sseg"), "_win", "_closed_at")
-    cond = [requests[k].eqNullSafe(seg[f"_sk{i}"]) for i, k in enumerate(keys)]
-    joined = requests.join(seg, cond + [requests["_seg"] == seg["_sseg"]], "left").drop(
-        *[f"_sk{i}" for i in range(len(keys))], "_sseg")
-    winner = ((F.col("_win.t") == F.col(ts)) & (F.col("_win.s") == -F.col(seq)))
-    action = (F.when(F.col("_busy") == _IDLE, "dispatch")
-              .when(winner & F.col("_closed_at").isNotNull(), "dispatch_backlog")
-              .when(winner, "backlog")
-              .otherwise("drop"))
-    at = (F.when(F.col("_busy") == _IDLE, F.col(ts))
-          .when(winner, F.col("_closed_at")))
-    return (joined.withColumn("action", action).withColumn("dispatched_at", at)
-            .drop("_req", "_done", "_busy", "_seg", "_win", "_closed_at"))
+    return latest_wins(events, keys, is_request, is_completion, ts, seq, partitions, persist_input)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str = "seq") -> DataFrame:

@@ -19,7 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from benchtide.operators.builds import _DISPATCH_TABLE, _IDLE, fold_table
+from benchtide.operators.builds import fold_table
+from benchtide.operators.decide import DISPATCH_TABLE, IDLE
 from benchtide.schemas import BUILD_STATES, FINAL_STATES, PREV_STATE, UPDATE_SUCCESS_STATES
 
 _NAMES = np.array([None] + BUILD_STATES, dtype=object)
@@ -178,7 +179,7 @@ class DispatchProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = in_order(_frame(rows), self.ts, self.seq)
-        state = self.busy.get()[0] if self.busy.exists() else _IDLE
+        state = self.busy.get()[0] if self.busy.exists() else IDLE
         pend = tuple(self.pending.get()) if self.pending.exists() else None
         out_seq, out_ts, out_action, out_at = [], [], [], []
 
@@ -191,7 +192,7 @@ class DispatchProcessor(StatefulProcessor):
         for ts_v, seq_v, kind in zip(pdf[self.ts], pdf[self.seq], pdf[self.kind]):
             t = _ts_micros(ts_v)
             if kind == "request":
-                if state == _IDLE:
+                if state == IDLE:
                     emit(int(seq_v), t, "dispatch", t)
                 elif pend is None or t > pend[0]:
                     if pend is not None:
@@ -199,12 +200,12 @@ class DispatchProcessor(StatefulProcessor):
                     pend = (t, int(seq_v))
                 else:
                     emit(int(seq_v), t, "drop", None)
-                state = _DISPATCH_TABLE[0][state]
+                state = DISPATCH_TABLE[0][state]
             elif kind == "completion":
                 if pend is not None:
                     emit(pend[1], pend[0], "dispatch_backlog", t)
                     pend = None
-                state = _DISPATCH_TABLE[1][state]
+                state = DISPATCH_TABLE[1][state]
         self.busy.update((int(state),))
         if pend is None:
             self.pending.clear()
