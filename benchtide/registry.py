@@ -1002,6 +1002,51 @@ def q_intake_dispatch(spark, sf_dir):
     return decisions.select("id", "ref", "seq", "action", "dispatched_at")
 
 
+@register("intake_completions", """
+WITH RECURSIVE req AS (
+  SELECT event_id, ts, 'refs/heads/' || event_type AS ref, true AS req FROM events
+  WHERE event_id % 7 = 6 AND event_type IN ('view', 'click', 'signup')),
+fin AS (
+  SELECT event_id, ts, 'refs/heads/' || ['view', 'click', 'signup'][user_id % 3 + 1] AS ref, false AS req
+  FROM events WHERE event_type IN ('purchase', 'error')),
+ev AS (
+  SELECT *, row_number() OVER (PARTITION BY ref ORDER BY ts, event_id) AS rn
+  FROM (SELECT * FROM req UNION ALL SELECT * FROM fin)),
+sim AS (
+  SELECT ref, rn, ts, req, req AS busy, CAST(NULL AS BIGINT) AS pend_id, CAST(NULL AS TIMESTAMP) AS pend_ts,
+         CASE WHEN req THEN event_id END AS sent_now
+  FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.ref, e.rn, e.ts, e.req, CASE WHEN e.req THEN true ELSE s.pend_id IS NOT NULL END,
+         CASE WHEN e.req AND s.busy AND (s.pend_id IS NULL OR e.ts > s.pend_ts) THEN e.event_id
+              WHEN e.req THEN s.pend_id END,
+         CASE WHEN e.req AND s.busy AND (s.pend_id IS NULL OR e.ts > s.pend_ts) THEN e.ts
+              WHEN e.req THEN s.pend_ts END,
+         CASE WHEN e.req AND NOT s.busy THEN e.event_id WHEN NOT e.req THEN s.pend_id END
+  FROM sim s JOIN ev e ON e.ref = s.ref AND e.rn = s.rn + 1),
+sent AS (SELECT ref, sent_now AS event_id, ts AS sent_ts, req FROM sim WHERE sent_now IS NOT NULL),
+left_over AS (SELECT ref, pend_id FROM sim QUALIFY rn = max(rn) OVER (PARTITION BY ref))
+SELECT CAST(r.event_id AS VARCHAR) AS id, r.ref, r.event_id AS seq,
+       CASE WHEN s.event_id IS NOT NULL AND s.req THEN 'dispatch' WHEN s.event_id IS NOT NULL THEN 'dispatch_backlog'
+            WHEN l.pend_id IS NOT NULL THEN 'backlog' ELSE 'drop' END AS action,
+       s.sent_ts AS dispatched_at
+FROM req r LEFT JOIN sent s ON s.event_id = r.event_id LEFT JOIN left_over l ON l.pend_id = r.event_id
+""")
+def q_intake_completions(spark, sf_dir):
+    """The same chain with build-state events of the same time: a final one
+    frees its ref, and the newest waiting request is sent."""
+    bodies = damaged_payloads(spark, sf_dir)
+    req = bodies.select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("received_at"),
+                        F.col("event_id").alias("seq"), "body")
+    refs = F.array(F.lit("view"), F.lit("click"), F.lit("signup"))
+    states = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("refs/heads/"), F.get(refs, F.col("user_id") % 3)).alias("ref"), F.col("ts").alias("timeStamp"),
+        F.col("event_id").alias("seq"), _map_col("event_type", {
+            "purchase": "BENCHMARKING_COMPLETE", "error": "BUILDING_FAILED", "view": "BUILDING"}).alias("build_state"))
+    decisions, _dead = intake.intake(req, ref_patterns=INTAKE_PATTERNS, state_events=states)
+    return decisions.select("id", "ref", "seq", "action", "dispatched_at")
+
+
 @register("build_status", _FOLD_SQL + """
 , now AS (
   SELECT user_id, state_after FROM (
