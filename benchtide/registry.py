@@ -383,7 +383,7 @@ def q_phase_durations(spark, sf_dir):
 
 from benchtide.functions import codec, records, text, times  # noqa: E402
 from benchtide.operators import logs, results, webhook  # noqa: E402
-from benchtide.sinks.assets import changed_assets  # noqa: E402
+from benchtide.sinks.assets import changed_assets, folder_files, sync_assets, write_files  # noqa: E402
 
 REF_PATTERNS = ["1-.*", "[23]-.*"]
 
@@ -619,16 +619,37 @@ SELECT doc_id,
 FROM documents
 """)
 def q_details_decode(spark, sf_dir):
-    """F-4 over document texts stored as zstd+base64 details: whole, as two
-    frames, cut short, and not zstd at all."""
+    """F-4 over document texts stored as zstd+base64 details."""
+    packed = packed_details(spark, sf_dir)
+    return logs.decode_details(packed).select("doc_id", F.col("content").cast("string").alias("content"), "error")
+
+
+def packed_details(spark, sf_dir) -> DataFrame:
+    """Document texts as zstd+base64 details: whole, as two frames, cut short,
+    and not zstd at all."""
     docs = table(spark, sf_dir, "documents").withColumn("_z", codec.zstd_compress(F.col("text").cast("binary")))
     m = F.col("doc_id") % 4
     data = (F.when(m == 0, F.col("_z")).when(m == 1, F.concat("_z", "_z"))
             .when(m == 2, F.substring("_z", 1, 12)).otherwise(F.encode(F.lit("junk"), "UTF-8")))
-    packed = docs.select("doc_id", F.array(F.struct(
+    return docs.select("doc_id", F.array(F.struct(
         F.lit("STDOUT_LOG").alias("type"), F.lit("ZSTD").alias("detailCompression"),
         F.lit("BASE64").alias("detailEncoding"), codec.b64_encode(data).alias("detail"))).alias("buildDetails"))
-    return logs.decode_details(packed).select("doc_id", F.col("content").cast("string").alias("content"), "error")
+
+
+@register("detail_lines", """
+WITH d AS (
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || text END AS content,
+         CASE doc_id % 4 WHEN 2 THEN 'truncated zstd frame' WHEN 3 THEN 'not zstd data' END AS error
+  FROM documents),
+l AS (SELECT doc_id, string_split(content, chr(10)) AS parts FROM d WHERE content IS NOT NULL)
+SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line, CAST(NULL AS VARCHAR) AS error FROM l
+UNION ALL
+SELECT doc_id, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), error FROM d WHERE error IS NOT NULL
+""")
+def q_detail_lines(spark, sf_dir):
+    """F-4 piece by piece: the numbered lines of the stored details above, and
+    the reason where one can't be read."""
+    return logs.detail_lines(packed_details(spark, sf_dir)).select("doc_id", "line_no", "line", "error")
 
 
 @register("enum_valid", """
@@ -1237,3 +1258,51 @@ def q_log_names(spark, sf_dir):
     cols = logs.parse_log_name("path")
     return df.select("event_id", *[c.alias(n) for n, c in cols.items()]).withColumn(
         "started", F.col("started").cast("timestamp_ntz"))
+
+
+def _shared_folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def document_logs(spark, sf_dir) -> DataFrame:
+    """documents as log files: (name, content)."""
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".build.stdout.20240102030405.log")).alias("name"),
+        F.col("text").alias("content"))
+
+
+@register("log_file_lines", """
+WITH l AS (
+  SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN substr(text, 1, length(text) - 1) ELSE text END AS body
+  FROM documents WHERE text <> ''),
+p AS (SELECT doc_id, string_split(body, chr(10)) AS parts FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS build_id, 'stdout' AS stream, unnest(range(1, len(parts) + 1)) AS line_no,
+       unnest(parts) AS line
+FROM p
+""")
+def q_log_file_lines(spark, sf_dir):
+    """A-5: every document written as a log file, then the files' lines."""
+    folder = _shared_folder(spark, "log-files")
+    write_files(document_logs(spark, sf_dir), folder).count()
+    return file_sources.read_log_lines(spark, folder).select("build_id", "stream", "line_no", "line")
+
+
+@register("synced_assets", """
+SELECT CAST(doc_id AS VARCHAR) || '.build.stdout.20240102030405.log' AS name, sha256(coalesce(text, '')) AS sha256,
+       (SELECT count(*) FILTER (WHERE doc_id % 10 IN (0, 1)) FROM documents) AS copied, 0 AS copied_again
+FROM documents WHERE text <> ''
+""")
+def q_synced_assets(spark, sf_dir):
+    """B-5 whole: the target lacks some assets (doc_id % 10 = 1) and holds other
+    bytes for some (0); after the sync it equals what was shipped, and a second
+    sync copies nothing.  Spark's readers pass over empty files."""
+    folder = _shared_folder(spark, "assets")
+    shipped = document_logs(spark, sf_dir)
+    number = F.substring_index("name", ".", 1).cast("bigint")
+    before = shipped.where(number % 10 != 1).withColumn(
+        "content", F.when(number % 10 == 0, F.concat(F.coalesce("content", F.lit("")), F.lit("old"))).otherwise(F.col("content")))
+    write_files(before, folder).count()
+    copied = [sync_assets(shipped, folder) for _ in range(2)]
+    return folder_files(spark, folder).select(
+        "name", F.sha2("content", 256).alias("sha256"), F.lit(copied[0]).cast("bigint").alias("copied"),
+        F.lit(copied[1]).cast("int").alias("copied_again"))

@@ -6,7 +6,7 @@ Each has a batch and, where it makes sense, a streaming form.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from benchtide.functions.times import CHART_DATE_FORMAT, CSV_DATE_FORMAT
@@ -72,3 +72,24 @@ def read_log_files(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
     df = df.filter(F.col("length") > 0)
     cols = parse_log_name("path")
     return df.select("path", "length", "content", *[c.alias(n) for n, c in cols.items()])
+
+
+def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+    """A-5 for log files of any size: one row per line, numbered from 1 in its
+    file, with what the file's name tells.  A large file is cut into many byte
+    ranges (``spark.sql.files.maxPartitionBytes``), each read by its own task;
+    a line's number is its place in its range plus the lines of the ranges
+    before, one small row per range.  Lines end at a newline, also where the
+    file does not; empty files give no rows, files that vanish are passed over."""
+    lines = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+             .option("ignoreMissingFiles", True).option("lineSep", "\n").text(path)
+             .select(F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("_start"),
+                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
+    ranges = lines.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    cols = parse_log_name("path")
+    return lines.join(ranges, ["path", "_start"]).select(
+        "path", *[c.alias(n) for n, c in cols.items()],
+        (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "line")
