@@ -3,8 +3,7 @@ streaming queries (SURVEY 3.2 and 3.3).
 
 queue (A-2) -> F-2 decode (bad -> B-4 dead-letter folder) -> each response
 once -> J-1 keyed fold on (ref, build) -> J-3 publish requests -> E-3 results
-rows -> B-2 CSV history, each micro-batch written to its own ``batch_id=N``
-folder.
+rows -> B-2 history, each micro-batch one committed append.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from benchtide.functions.records import decode_records
 from benchtide.operators.fence import computed_once
 from benchtide.operators.states import state_index
 from benchtide.operators.results import publish_state, results_rows
-from benchtide.sinks.files import write_results
+from benchtide.sinks.history import append_results
 from benchtide.sources.files import read_queue
 from benchtide.streaming import jobs
 
@@ -64,7 +63,9 @@ def run_results_history(spark: SparkSession, queue: str, history: str, publish_o
                         checkpoint: str, max_files_per_trigger: int | None = None,
                         redelivery: str = "7 days", retention: str = "30 days") -> None:
     """Fold the response stream and turn every publish request into results
-    rows (appended to ``history``) and a publish outcome (``publish_out``).
+    rows (one committed append to ``history`` a micro-batch) and a publish
+    outcome (``publish_out``).  Runs are named by the query and the batch, so a
+    replayed batch replaces itself, and a new checkpoint replaces nothing.
     ``redelivery`` is how long after its arrival a response may come again,
     ``retention`` how long a build is remembered after its last response."""
     src = decoded_responses(spark, queue, max_files_per_trigger=max_files_per_trigger)
@@ -76,10 +77,10 @@ def run_results_history(spark: SparkSession, queue: str, history: str, publish_o
         pubs = jobs.publish_stream(batch).select(
             "ref", "build_id", "response_id", "commit", F.col("ts").alias("date"),
             "buildStats", "out_of_order").persist()
-        write_results(results_rows(pubs), f"{history.rstrip('/')}/batch_id={batch_id}",
-                      mode="overwrite")
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_results(results_rows(pubs), history, f"{query}-{batch_id}")
         (publish_state(pubs).drop("buildStats").write.mode("overwrite")
-         .parquet(f"{publish_out.rstrip('/')}/batch_id={batch_id}"))
+         .parquet(f"{publish_out.rstrip('/')}/query={query}/batch_id={batch_id}"))
         pubs.unpersist()
 
     q = (folded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1111,7 +1111,7 @@ def q_publish_outcomes(spark, sf_dir):
 import uuid  # noqa: E402
 
 from benchtide.session import checkpoint_dir  # noqa: E402
-from benchtide.sinks import files as file_sinks  # noqa: E402
+from benchtide.sinks import files as file_sinks, history  # noqa: E402
 from benchtide.sinks.deadletter import decode_messages  # noqa: E402
 from benchtide.sources import files as file_sources  # noqa: E402
 
@@ -1306,3 +1306,40 @@ def q_synced_assets(spark, sf_dir):
     return folder_files(spark, folder).select(
         "name", F.sha2("content", 256).alias("sha256"), F.lit(copied[0]).cast("bigint").alias("copied"),
         F.lit(copied[1]).cast("int").alias("copied_again"))
+
+
+@register("history_runs", """
+SELECT event_type AS task, CAST(event_id AS VARCHAR) AS commit, date_trunc('millisecond', ts) AS date,
+       CAST(round(value) AS BIGINT) AS time, CAST(ts AS DATE) AS day
+FROM events
+""")
+def q_history_runs(spark, sf_dir):
+    """B-2 / A-3: the events as results in two committed runs, one run written
+    twice, one never committed, then compacted: every row is there once."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("task"), F.col("event_id").cast("string").alias("commit"),
+        F.col("ts").alias("date"), F.round("value").cast("bigint").alias("time"))
+    folder = _shared_folder(spark, "history")
+    view = F.col("task") == "view"
+    history.append_results(events.where(view), folder, "views")
+    history.append_results(events.where(~view), folder, "others")
+    history.append_results(events.where(~view), folder, "others")
+    history.write_run(events, folder, "killed")
+    history.compact_history(spark, folder)
+    return history.read_history(spark, folder).select("task", "commit", F.col("date").cast("timestamp_ntz").alias("date"),
+                                                     "time", "day")
+
+
+@register("history_day", """
+SELECT event_type AS task, CAST(event_id AS VARCHAR) AS commit, CAST(round(value) AS BIGINT) AS time
+FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'
+""")
+def q_history_day(spark, sf_dir):
+    """A-3 -> C-9: the index day's rows, read from that day's folders."""
+    events = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("task"), F.col("event_id").cast("string").alias("commit"),
+        F.col("ts").alias("date"), F.round("value").cast("bigint").alias("time"))
+    folder = _shared_folder(spark, "history")
+    history.append_results(events, folder)
+    rows = history.read_history(spark, folder).where(F.col("day") == F.lit(EVENT_INDEX_DATE).cast("date"))
+    return series.index_day_filter(rows, EVENT_INDEX_DATE).select("task", "commit", "time")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from benchtide.plans import builds as plan
 from benchtide.sinks.files import write_queue
-from benchtide.sources.files import read_results
+from benchtide.sinks.history import read_history
 
 T0 = dt.datetime(2021, 6, 1, 10, 0)
 SCHEMA = ("id string, timeStamp timestamp_ntz, buildState string, "
@@ -40,13 +40,18 @@ def test_response_queue_to_results_history(spark, tmp_path):
     history, pub, ck = str(tmp_path / "history"), str(tmp_path / "pub"), str(tmp_path / "ck")
     for _ in range(2):   # the second run finds nothing new: no duplicates
         plan.run_results_history(spark, queue, history, pub, ck, max_files_per_trigger=1)
-    rows = sorted((r.commit, r.task, r.time) for r in read_results(spark, history).collect())
+    rows = sorted((r.commit, r.task, r.time) for r in read_history(spark, history).collect())
     assert rows == sorted([("abcdef1", "Update Source", 1234), ("abcdef1", "Compile Source", 4321),
                            ("abcdef1", "Benchmark 1", 54321), ("1a2b3c4", "Update Source", 100),
                            ("1a2b3c4", "Compile Source", -1), ("1a2b3c4", "Benchmark 1", -1)])
     outcomes = spark.read.parquet(pub).select("build_id", "publishState", "out_of_order").collect()
     assert sorted(tuple(r) for r in outcomes) == [("A", "COMPLETE", False), ("B", "COMPLETE", False)]
 
+    # a second job over the same queue adds its own runs and replaces none
+    plan.run_results_history(spark, queue, history, pub, str(tmp_path / "ck2"))
+    again = sorted((r.commit, r.task, r.time) for r in read_history(spark, history).collect())
+    assert again == sorted(rows + rows)
+
     plan.run_dead_letters(spark, queue, str(tmp_path / "dead"), str(tmp_path / "ck-dead"))
     dead = spark.read.json(str(tmp_path / "dead")).select("reason").collect()
     assert sorted(r.reason for r in dead) == ["invalid JSON", "missing field timeStamp"]
