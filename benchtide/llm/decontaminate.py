@@ -1,9 +1,10 @@
-"""Benchmark decontamination (operator 1): seeds that miss no overlap.
+"""Benchmark decontamination (operator 1): spaced-seed hashing.
 
-A seed is a mask over consecutive words.  The windows of the test items are
-hashed under the mask; training windows that hash alike are hits, and where a
-diagonal (the place in the text less the place in the item) has enough of them,
-it is verified.  ``SEEDS`` reach every overlap that the verification accepts:
+A seed is a mask over consecutive words that ignores some of them.  The windows
+of the test items are hashed under each mask; training windows that hash alike
+are hits, and where a diagonal (the place in the text less the place in the
+item) has enough of them under all masks together, it is verified.  ``SEEDS``
+reach every overlap that the verification accepts, whatever words it changes:
 an overlap of 26 words or more can be cut into two of ``MIN_WORDS`` or more,
 one of which has the same share of equal words or a higher one, and the shorter
 ones are enumerated in the tests.
@@ -19,8 +20,11 @@ The test side is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words;
 each block is held against all training rows.
 
 Defined cases: null and empty texts overlap with nothing; items shorter than
-``SHORTEST`` words are never matched; repeated rows are each reported; an
-empty table on either side gives an empty result.
+``SHORTEST`` words are never matched; repeated rows are each reported; of
+diagonals with equally many equal words the first counts; long texts are read
+whole; an empty table on either side gives an empty result; other columns don't
+matter to ``overlaps`` and pass through ``drop_contaminated``, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 from benchtide.llm.common import mix, text_of
 
 WORDS = re.compile(r"[^\W_]+")
-# (least and most words of an item, mask, least hits on a diagonal)
-SEEDS = ((13, None, "111", 2), (8, 12, "11", 3))
+# (least and most words of an item, masks, least hits of a diagonal under them)
+SEEDS = ((13, None, ("1101", "1011"), 4), (8, 12, ("101", "1001"), 3))
 MIN_WORDS = 13
 SHORTEST = 8
 MIN_SHARE = 0.75
@@ -108,32 +112,36 @@ class TestSide:
                 self.names.append(name)
                 self.ids.append(np.array([self.words.setdefault(w, len(self.words) + 1) for w in words]))
         self.index = []
-        for least, most, mask, hits in SEEDS:
-            parts = [(masked_hashes(ids, mask), i) for i, ids in enumerate(self.ids)
-                     if least <= len(ids) <= (most or len(ids))]
-            hashes = np.concatenate([h for h, _ in parts] or [np.empty(0, np.uint64)])
-            item = np.concatenate([np.full(len(h), i) for h, i in parts] or [np.empty(0, np.int64)])
-            place = np.concatenate([np.arange(len(h)) for h, _ in parts] or [np.empty(0, np.int64)])
-            order = np.argsort(hashes, kind="stable")
-            self.index.append((mask, hits, hashes[order], item[order], place[order]))
+        for least, most, masks, hits in SEEDS:
+            own = [i for i, ids in enumerate(self.ids) if least <= len(ids) <= (most or len(ids))]
+            if own:
+                self.index.append(([self._sorted(mask, own) for mask in masks], hits))
+
+    def _sorted(self, mask: str, own: list[int]):
+        """The windows of the items ``own`` by their hashes."""
+        parts = [masked_hashes(self.ids[i], mask) for i in own]
+        sizes = [len(h) for h in parts]
+        hashes = np.concatenate(parts)
+        order = np.argsort(hashes, kind="stable")
+        place = np.concatenate([np.arange(n) for n in sizes])
+        return mask, hashes[order], np.repeat(own, sizes)[order], place[order]
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Distinct (item, diagonal) pairs with enough common windows; the
         diagonal is the place in the text minus the place in the item."""
         found = []
-        for mask, least, hashes, item, place in self.index:
-            h = masked_hashes(ids, mask)
-            at = np.flatnonzero(h)
-            if not len(hashes) or not len(at):
-                continue
-            lo = np.searchsorted(hashes, h[at], "left")
-            n = np.searchsorted(hashes, h[at], "right") - lo
-            if n.any():
+        for seeds, least in self.index:
+            pairs = []
+            for mask, hashes, item, place in seeds:
+                h = masked_hashes(ids, mask)
+                at = np.flatnonzero(h)
+                lo = np.searchsorted(hashes, h[at], "left")
+                n = np.searchsorted(hashes, h[at], "right") - lo
                 rows = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                pairs = (item[rows] << 32) + (np.repeat(at, n) - place[rows] + (1 << 31))
-                pairs, count = np.unique(pairs, return_counts=True)
-                pairs = pairs[count >= least]
-                found.append(np.stack([pairs >> 32, (pairs & 0xFFFFFFFF) - (1 << 31)], 1))
+                pairs.append((item[rows] << 32) + (np.repeat(at, n) - place[rows] + (1 << 31)))
+            both, count = np.unique(np.concatenate(pairs), return_counts=True)
+            both = both[count >= least]
+            found.append(np.stack([both >> 32, (both & 0xFFFFFFFF) - (1 << 31)], 1))
         return np.concatenate(found) if found else np.empty((0, 2), np.int64)
 
     def overlaps(self, text: str) -> list[dict]:

@@ -232,20 +232,61 @@ def test_items_in_blocks_give_the_same(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontaminate.overlaps(df, bench).collect())) == whole and len(whole) >= 3
 
 
-def seed_hits(size, mask, changed):
+def seed_hits(size, masks, changed):
     """Fewest windows that no change reaches, over all sets of changed words."""
     sets = np.array(list(combinations(range(size), changed)), np.int64).reshape(-1, changed)
     equal = np.ones((len(sets), size), bool)
     equal[np.arange(len(sets))[:, None], sets] = False
-    windows = np.lib.stride_tricks.sliding_window_view(equal, len(mask), axis=1)
-    return int(windows[:, :, [m == "1" for m in mask]].all(axis=2).sum(axis=1).min())
+    return int(sum(np.lib.stride_tricks.sliding_window_view(equal, len(mask), axis=1)[
+        :, :, [m == "1" for m in mask]].all(axis=2).sum(axis=1) for mask in masks).min())
 
 
 def test_seeds_reach_every_overlap():
-    for least, most, mask, hits in decontaminate.SEEDS:
+    for least, most, masks, hits in decontaminate.SEEDS:
+        assert all("0" in mask for mask in masks)
         for size in range(least, (most or 2 * decontaminate.MIN_WORDS - 1) + 1):
             changed = size - int(np.ceil(decontaminate.MIN_SHARE * size))
-            assert seed_hits(size, mask, changed) >= hits, (size, mask)
+            assert seed_hits(size, masks, changed) >= hits, (size, masks)
+
+
+def test_overlaps_against_every_diagonal(spark, docs):
+    """Brute force: all items against all texts on all diagonals."""
+    rnd = random.Random(12)
+    pool = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choices(pool, k=rnd.choice([5, 8, 10, 12, 13, 18, 40])))) for i in range(30)]
+    rows = []
+    for d in range(60):
+        words = rnd.choices(pool, k=rnd.randrange(60))
+        for _ in range(rnd.randrange(3)):
+            part = rnd.choice(items)[1].split()
+            part = [w if rnd.random() > rnd.choice([0, .1, .25, .3]) else "changed" for w in part]
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = part
+        rows.append((d, " ".join(words)))
+    rows += rows[:3]
+    want = []
+    for d, text in rows:
+        words = text.split()
+        for i, item in items:
+            own = item.split()
+            best = None
+            for diagonal in range(-len(own), len(words) + 1) if len(own) >= decontaminate.SHORTEST else ():
+                lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
+                match = np.array([own[k] == words[k + diagonal] for k in range(lo, hi)], bool)
+                segment = decontaminate.overlap_segment(match, min(decontaminate.MIN_WORDS, len(own)))
+                if segment:
+                    same = int(match[slice(*segment)].sum())
+                    if best is None or same > best[4]:
+                        best = (d, i, lo + diagonal + segment[0], segment[1] - segment[0], same, len(own))
+            want += [best] if best else []
+    bench = spark.createDataFrame(items + [(99, None), (98, "")], "item_id bigint, text string")
+    df = docs(rows + [(None, None), (200, "")]).withColumn("o", F.lit("x")).withColumn("item_id", F.lit(1))
+    got = decontaminate.overlaps(df, bench).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 40
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id < 200").collect()) == sorted(
+        d for d, _ in rows if d not in {w[0] for w in want})
 
 
 def test_every_fourth_word_changed_is_found():
