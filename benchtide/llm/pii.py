@@ -24,10 +24,10 @@ other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchtide.llm.common import release, stage, text_of
+from benchtide.llm.common import stage, text_of
 
 # The rules (fixed values), written so that Java neither recurses nor tries a
 # run twice: a match starts where its first run starts (or, for e-mail, where
@@ -47,8 +47,6 @@ WORD = r"\p{L}{3,}+"
 DISCOUNT = 0.75
 REMOVE_BITS = 0.5
 GENERALISE_BITS = 1.5
-# cells of the bounded filter that thins out words before they are counted
-FILTER_BITS = 1 << 20
 # parts that the rows of one word or entity are dealt to in a join
 SALTS = 16
 
@@ -140,29 +138,6 @@ def _words(plain: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def _cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS))
-
-
-def _bit_map(words: DataFrame):
-    """A test of words against a bit map of the hashes of ``words``
-    (``FILTER_BITS`` bits, whatever the corpus): true for those, and for a few
-    others, which a join has to drop."""
-    cell = _cell(F.col("word"))
-    cells = words.groupBy(F.floor(cell / 64).cast("int").alias("i")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (cell % 64).cast("int"))).alias("bits")).collect()
-    bits = [0] * (FILTER_BITS // 64)
-    for row in cells:
-        bits[row["i"]] = row["bits"]
-    table = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
-
-    def held(word: Column) -> Column:
-        cell = _cell(word)
-        return F.bit_get(F.get(table, F.floor(cell / 64).cast("int")), (cell % 64).cast("int")) == 1
-
-    return held
-
-
 def _dealt_join(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
     """``rows`` with the one row of ``by`` for their key; the rows of a frequent
     key are dealt to ``SALTS`` parts."""
@@ -171,14 +146,16 @@ def _dealt_join(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_salt", salt).join(by.withColumn("_salt", salts), [key, "_salt"]).drop("_salt")
 
 
-def _plain(docs: DataFrame, text: Column) -> DataFrame:
-    """_k1, _k2, plain: every text without the spans of the rules."""
-    rows = docs.select(text.alias("text"), base_spans(text).alias("base"))
-    return rows.select(*[v.alias(k) for k, v in _key(F.col("text")).items()],
-                       blanked(F.col("text"), F.col("base")).alias("plain"))
+def _read(docs: DataFrame, text: Column) -> DataFrame:
+    """_k1, _k2, base, words: of every text the spans of the rules and the
+    different words outside them, found once and written."""
+    rows = docs.select(text.alias("text"), base_spans(text).alias("base"), *[
+        v.alias(k) for k, v in _key(text).items()])
+    return stage(rows.select("_k1", "_k2", "base", _words(blanked(F.col("text"), F.col("base"))).alias("words")),
+                 "pii-texts")
 
 
-def disclosing_words(docs: DataFrame, text: Column, found: DataFrame) -> DataFrame:
+def disclosing_words(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(word, kind): words to remove (``term``) or generalise (``hint``)."""
     # pairs seen in one row are never flagged: entities and words of one row go
     values = found.select("_k1", "_k2", "copies", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
@@ -186,10 +163,10 @@ def disclosing_words(docs: DataFrame, text: Column, found: DataFrame) -> DataFra
     values = stage(_dealt_join(values, repeated, "entity").select("_k1", "_k2", "entity", "n_entity"), "pii-entities")
     most = values.groupBy("_k1", "_k2").agg(F.max("n_entity").alias("most"))
     words = stage(found.join(most, ["_k1", "_k2"]).select(
-        "_k1", "_k2", "copies", "most", F.explode(_words(blanked(F.col("text"), F.col("base")))).alias("word")), "pii-near")
-    held = _bit_map(words)
-    counts = (_plain(docs, text).select(F.explode(F.filter(_words(F.col("plain")), held)).alias("word"))
-              .groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+        "_k1", "_k2", "copies", "most", F.explode("words").alias("word")), "pii-near")
+    # every word of the corpus is counted, summed in each partition first
+    counts = (texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+              .where("n > 1").join(words.select("word").distinct(), "word", "left_semi"))
 
     def may(n_both: str) -> Column:
         return F.col("n") <= (F.col(n_both) - DISCOUNT) * 2 ** GENERALISE_BITS
@@ -202,18 +179,32 @@ def disclosing_words(docs: DataFrame, text: Column, found: DataFrame) -> DataFra
             .groupBy("word").agg(F.max(F.when(F.col("doubt") <= REMOVE_BITS, "term").otherwise("hint")).alias("kind")))
 
 
-def _disclosed(docs: DataFrame, text: Column, flagged: DataFrame) -> DataFrame:
-    """_k1, _k2, more: the places of flagged words in every different text."""
-    held = _bit_map(flagged)
-    places = located(F.col("plain"), WORD, "word", 0, lambda w: held(F.lower(w)))
-    rows = (_plain(docs, text).select("_k1", "_k2", places.alias("words")).where(F.size("words") > 0)
-            .dropDuplicates(["_k1", "_k2"]).select("_k1", "_k2", F.explode("words").alias("w"))
-            .select("_k1", "_k2", "w.start", "w.end", F.lower("w.value").alias("word")))
+def word_places(rows: DataFrame) -> DataFrame:
+    """_k1, _k2, start, end, value: the words of every ``plain``, a row each.
+    The lengths of the words and of what lies between them add up to places."""
+    found = F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))
+    pairs = F.arrays_zip(found.alias("word"), F.slice(F.split("plain", WORD, -1), F.lit(1), F.size(found)).alias("gap"))
+    each = rows.select("_k1", "_k2", F.posexplode(pairs).alias("at", "w")).select(
+        "_k1", "_k2", "at", F.col("w.word").alias("value"), F.char_length("w.word").alias("size"),
+        F.char_length("w.gap").alias("gap"))
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("_k1", "_k2").orderBy("at")).cast("int")
+    return each.select("_k1", "_k2", (end - F.col("size")).alias("start"), end.alias("end"), "value")
+
+
+def _disclosed(docs: DataFrame, text: Column, texts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """_k1, _k2, more: the places of flagged words in every different text.
+    Which texts hold which of them is a join; only those are read again."""
+    held = stage(_dealt_join(texts.select("_k1", "_k2", F.explode("words").alias("word")), flagged, "word")
+                 .dropDuplicates(["_k1", "_k2", "word"]), "pii-held")
+    some = held.select("_k1", "_k2").distinct()
+    keyed = docs.select(text.alias("text"), *[v.alias(k) for k, v in _key(text).items()])
+    rows = keyed.join(some, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).withColumn("base", base_spans(F.col("text")))
+    places = word_places(rows.select("_k1", "_k2", blanked(F.col("text"), F.col("base")).alias("plain")))
     term = F.col("kind") == "term"
-    return (_dealt_join(rows, flagged, "word")
+    return (places.withColumn("word", F.lower("value")).join(held, ["_k1", "_k2", "word"])
             .select("_k1", "_k2", F.struct(
                 "start", F.when(term, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
-                "end", "kind", F.lit("").alias("value")).alias("s"))
+                "end", "kind", "value").alias("s"))
             .groupBy("_k1", "_k2").agg(F.collect_list("s").alias("more")))
 
 
@@ -221,13 +212,12 @@ def spans_by_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """_k1, _k2, base, spans: for every different text with personal data or
     words that disclose it, the spans of the rules, and all spans."""
     text = text_of(text_col)
-    found = docs.select(text.alias("text"), base_spans(text).alias("base"), *[
-        v.alias(k) for k, v in _key(text).items()]).where(F.size("base") > 0)
+    texts = _read(docs, text)
+    found = texts.where(F.size("base") > 0)
     copies = found.groupBy("_k1", "_k2").agg(F.count("*").alias("copies"))
     found = stage(found.dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"]), "pii-found")
-    flagged = stage(disclosing_words(docs, text, found), "pii-words")
-    release(docs.sparkSession)
-    extra = _disclosed(docs, text, flagged)
+    flagged = stage(disclosing_words(texts, found), "pii-words")
+    extra = _disclosed(docs, text, texts, flagged)
     none = F.array().cast(_SPAN)
     base, more = F.coalesce(F.col("base"), none), F.coalesce(F.col("more").cast(_SPAN), none)
     return found.select("_k1", "_k2", "base").join(extra, ["_k1", "_k2"], "full").select(
@@ -255,10 +245,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: rules by the kind's name, hints by a
-    word class, terms by nothing."""
+    """The text with each span replaced: rules by the kind's name, hints by the
+    class of the word (an acronym, a name, any other word), terms by nothing."""
     def step(acc, s):
-        mark = F.when(s["kind"] == "term", "").when(s["kind"] == "hint", "[WORD]").otherwise(
+        word = F.when(F.upper(s["value"]) == s["value"], "[ACRONYM]").when(
+            s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+        mark = F.when(s["kind"] == "term", "").when(s["kind"] == "hint", word).otherwise(
             F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), mark)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
