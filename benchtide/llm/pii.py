@@ -24,7 +24,7 @@ other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.llm.common import stage, text_of
@@ -179,33 +179,22 @@ def disclosing_words(texts: DataFrame, found: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.max(F.when(F.col("doubt") <= REMOVE_BITS, "term").otherwise("hint")).alias("kind")))
 
 
-def word_places(rows: DataFrame) -> DataFrame:
-    """_k1, _k2, start, end, value: the words of every ``plain``, a row each.
-    The lengths of the words and of what lies between them add up to places."""
-    found = F.regexp_extract_all("plain", F.lit(WORD), F.lit(0))
-    pairs = F.arrays_zip(found.alias("word"), F.slice(F.split("plain", WORD, -1), F.lit(1), F.size(found)).alias("gap"))
-    each = rows.select("_k1", "_k2", F.posexplode(pairs).alias("at", "w")).select(
-        "_k1", "_k2", "at", F.col("w.word").alias("value"), F.char_length("w.word").alias("size"),
-        F.char_length("w.gap").alias("gap"))
-    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("_k1", "_k2").orderBy("at")).cast("int")
-    return each.select("_k1", "_k2", (end - F.col("size")).alias("start"), end.alias("end"), "value")
-
-
 def _disclosed(docs: DataFrame, text: Column, texts: DataFrame, flagged: DataFrame) -> DataFrame:
     """_k1, _k2, more: the places of flagged words in every different text.
     Which texts hold which of them is a join; only those are read again."""
-    held = stage(_dealt_join(texts.select("_k1", "_k2", F.explode("words").alias("word")), flagged, "word")
-                 .dropDuplicates(["_k1", "_k2", "word"]), "pii-held")
-    some = held.select("_k1", "_k2").distinct()
+    held = _dealt_join(texts.select("_k1", "_k2", F.explode("words").alias("word")), flagged, "word")
+    hits = stage(held.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("word", "kind")).alias("hits")), "pii-held")
     keyed = docs.select(text.alias("text"), *[v.alias(k) for k, v in _key(text).items()])
-    rows = keyed.join(some, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).withColumn("base", base_spans(F.col("text")))
-    places = word_places(rows.select("_k1", "_k2", blanked(F.col("text"), F.col("base")).alias("plain")))
-    term = F.col("kind") == "term"
-    return (places.withColumn("word", F.lower("value")).join(held, ["_k1", "_k2", "word"])
-            .select("_k1", "_k2", F.struct(
-                "start", F.when(term, len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
-                "end", "kind", "value").alias("s"))
-            .groupBy("_k1", "_k2").agg(F.collect_list("s").alias("more")))
+    rows = keyed.join(hits, ["_k1", "_k2"]).withColumn("base", base_spans(F.col("text")))
+    plain, kinds = blanked(F.col("text"), F.col("base")), F.map_from_entries("hits")
+    places = located(plain, WORD, "word", 0, lambda w: F.array_contains(F.col("hits.word"), F.lower(w)))
+
+    def named(s: Column) -> Column:
+        kind = F.try_element_at(kinds, F.lower(s["value"]))
+        return F.struct(s["start"].alias("start"), F.when(kind == "term", len(KINDS)).otherwise(len(KINDS) + 1).alias("rank"),
+                        s["end"].alias("end"), kind.alias("kind"), s["value"].alias("value"))
+
+    return rows.select("_k1", "_k2", F.transform(places, named).alias("more")).dropDuplicates(["_k1", "_k2"])
 
 
 def spans_by_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
