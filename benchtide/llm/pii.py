@@ -50,6 +50,9 @@ GENERALISE_BITS = 1.5
 # parts that the rows of one word or entity are dealt to in a join
 SALTS = 16
 
+# the hits of texts are broadcast up to this size, 64 bytes a text and a word
+BROADCAST_BYTES = 32 << 20
+
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -184,6 +187,9 @@ def _disclosed(docs: DataFrame, text: Column, texts: DataFrame, flagged: DataFra
     Which texts hold which of them is a join; only those are read again."""
     held = _dealt_join(texts.select("_k1", "_k2", F.explode("words").alias("word")), flagged, "word")
     hits = stage(held.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("word", "kind")).alias("hits")), "pii-held")
+    size = hits.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size("hits")), F.lit(0)).alias("words")).first()
+    if (size["texts"] + size["words"]) * 64 <= BROADCAST_BYTES:
+        hits = F.broadcast(hits)        # or else the texts are shuffled to it
     keyed = docs.select(text.alias("text"), *[v.alias(k) for k, v in _key(text).items()])
     rows = keyed.join(hits, ["_k1", "_k2"]).withColumn("base", base_spans(F.col("text")))
     plain, kinds = blanked(F.col("text"), F.col("base")), F.map_from_entries("hits")
