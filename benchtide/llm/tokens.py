@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,13 @@ END_OF_DOCUMENT = 1
 # batches are encoded together up to this many bytes
 MERGE_BYTES = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
-# ids of distinct words kept per Python worker: about this many at most
-CACHE_IDS = 200_000
+# ids of distinct words kept per Python worker: about this many at most (some
+# 350,000 words, 120 MB with their pieces)
+CACHE_IDS = 1_500_000
 # characters whose lower case, normal form or class needs the tokenizer itself
 _ODD = "[^\x00-\x7fÀ-ÿ]|<\\|(?:startof|endof)text\\|>"
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)"
-                     "|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+")
+                     "|[^\x09-\x0d\x20a-z0-9ß-öø-ÿ]+|\n")
 
 
 def default_path() -> str:
@@ -51,10 +53,6 @@ class _Store:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def missing(self, texts: list[str]) -> list[str]:
-        row = self.row
-        return [t for t in texts if t not in row]
-
     def add(self, texts: list[str], ids: np.ndarray, bounds: np.ndarray) -> None:
         rows = len(self.row) + np.arange(len(texts))
         while self.used + len(ids) > len(self.ids):
@@ -68,7 +66,8 @@ class _Store:
         self.row.update(zip(texts, rows.tolist()))
 
     def rows(self, texts: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.row.__getitem__, texts), np.int64, len(texts))
+        """The row of each text, -1 for those not held."""
+        return np.fromiter(map(self.row.get, texts, repeat(-1)), np.int64, len(texts))
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after the other, and where each begins."""
@@ -93,18 +92,20 @@ class WordTokenizer:
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
         self._words, self._pieces = _Store(), _Store()
+        self.largest_id = max(self._whole.get_vocab().values())
 
     def _learn(self, words: list[str]) -> None:
         """Encode words not seen before, their new pieces in one call."""
-        own = [_PIECES.findall(w) for w in words]
-        flat = [p for pieces in own for p in pieces]
-        new = self._pieces.missing(list(dict.fromkeys(flat)))
+        flat = np.array(_PIECES.findall("\n".join(words) + "\n"), object)
+        ends = np.flatnonzero(flat == "\n")
+        flat = np.delete(flat, ends).tolist()
+        new = list(dict.fromkeys(p for p in flat if p not in self._pieces.row))
         if new:
             text = " ".join(new).encode("utf-8").decode("latin-1").translate(self._letters)
             ids = np.asarray(self._bare.encode_batch_fast([text])[0].ids, np.uint32)
             self._pieces.add(new, ids, np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1]))
         ids, bounds = self._pieces.gather(self._pieces.rows(flat))
-        last = np.cumsum([0] + [len(pieces) for pieces in own])
+        last = np.concatenate([[0], ends - np.arange(len(ends))])
         self._words.add(words, ids, bounds[last])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +114,11 @@ class WordTokenizer:
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self._words.used > CACHE_IDS:
             self._words, self._pieces = _Store(), _Store()
-        new = self._words.missing(words)
-        if new:
-            self._learn(new)
         rows = self._words.rows(words)
+        new = rows < 0
+        if new.any():
+            rows[new] = len(self._words.row) + np.arange(np.count_nonzero(new))
+            self._learn(list(compress(words, new.tolist())))
         ids, bounds = self._words.gather(rows[coded.indices.to_numpy()] if len(words) else rows)
         offsets = lists.offsets.to_numpy()
         return ids, bounds[offsets - offsets[0]]
