@@ -59,6 +59,11 @@ def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder of results that nobody named when the application ends."""
+    _STAGED.append((spark, path))
+
+
 def unstage(df: DataFrame) -> None:
     """Remove a staged table that no later step reads."""
     path = getattr(df, "_staged_path", None)

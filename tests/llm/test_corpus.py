@@ -343,8 +343,9 @@ def test_feistel_is_a_permutation(n):
 def test_shards_round_trip(spark, docs, tmp_path, monkeypatch):
     rnd = random.Random(7)
     rows = [(i, " ".join(prose(rnd, rnd.randint(0, 300)))) for i in range(80)] + ODD
-    numbered, n = shards.number(shards.sequences(docs(rows), 64))
     path = str(tmp_path / "shards")
+    shards.write_sequences(shards.sequences(docs(rows), 64), f"{path}-sequences")
+    numbered, n = shards.number(spark, f"{path}-sequences")
     shards.write_shards(numbered, n, path, 64, per_shard=16, rounds=2)
     back = shards.read_shards(spark, path, 64).collect()
     assert sorted(r.slot for r in back) == list(range(n))
@@ -364,14 +365,45 @@ def test_shards_round_trip(spark, docs, tmp_path, monkeypatch):
         if len(own) == 1:
             assert b"".join(v[0] for _, v in sorted(got[doc].items())) == own[0]
     assert sum(r.n_tokens for r in back) == sum(len(b) // 2 for own in texts.values() for b in own)
-    # a finished round need not be written again
-    again = str(tmp_path / "again")
-    shards.write_shards(numbered, n, again, 64, per_shard=16, rounds=2, start_round=1)
-    half = {r.slot for r in shards.read_shards(spark, again, 64).collect()}
-    assert half and min(half) > 0 and max(half) == n - 1
+    digests = {r.slot: r.ids_crc32 for r in shards.shard_digests(spark, path, 64).collect()}
+    assert digests == {r.slot: zlib.crc32(np.frombuffer(r.ids, "<u2").astype("<u4")) for r in back}
     assert shards.materialise(docs([])).count() == 0
 
 
+def test_shards_go_on_after_a_lost_range(spark, docs, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(prose(rnd, rnd.randint(0, 300)))) for i in range(60)] + ODD
+    given = docs(rows).withColumn("slot", F.lit("x")).withColumn("ids", F.lit(1)).withColumn("uid", F.lit(2))
+    settings = {"length": 64, "per_shard": 16, "rounds": 3}
+    want = {tuple(r) for r in shards.shard_digests(
+        spark, _written(shards, given, str(tmp_path / "once"), settings), 64).select("slot", "n_tokens").collect()}
+    path = str(tmp_path / "twice")
+    write, calls = shards.write_range, []
+
+    def dies(numbered, path, first, last, *rest):
+        calls.append(first)
+        write(numbered, path, first, last, *rest)
+        if len(calls) == 2:
+            # all of the range is written but its mark
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(shards, "write_range", dies)
+    with pytest.raises(RuntimeError):
+        shards.materialise(given, path, **settings)
+    got = shards.materialise(docs([]), path, **settings).collect()
+    assert calls[1] == calls[2] and len(calls) == 4
+    assert {(r.slot, r.n_tokens) for r in got} == want and len(got) == len(want)
+    shards.materialise(given, path, **settings)
+    assert len(calls) == 4
+    with pytest.raises(ValueError):
+        shards.materialise(given, path, key=1, **settings)
+
+
+def _written(shards, given, path, settings):
+    shards.materialise(given, path, **settings)
+    return path
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages_take_effect(spark, tmp_path):
