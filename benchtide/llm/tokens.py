@@ -22,8 +22,8 @@ END_OF_DOCUMENT = 1
 MERGE_BYTES = 2_000_000
 VOCABULARY = "word_bpe_49k.json"
 # ids of distinct words kept per Python worker: about this many at most (some
-# 350,000 words, 120 MB with their pieces)
-CACHE_IDS = 1_500_000
+# 290,000 words, 60 MB)
+CACHE_IDS = 1_200_000
 # characters whose lower case, normal form or class needs the tokenizer itself
 _ODD = "[^\x00-\x7fÀ-ÿ]|<\\|(?:startof|endof)text\\|>"
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)"
@@ -91,29 +91,31 @@ class WordTokenizer:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._letters = {b: c for b, c in enumerate(byte_letters()) if b != 32}
-        self._words, self._pieces = _Store(), _Store()
+        self._words = _Store()
         self.largest_id = max(self._whole.get_vocab().values())
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words not seen before, their new pieces in one call."""
+        """Encode words not seen before, their different pieces in one call."""
         flat = np.array(_PIECES.findall("\n".join(words) + "\n"), object)
         ends = np.flatnonzero(flat == "\n")
         flat = np.delete(flat, ends).tolist()
-        new = list(dict.fromkeys(p for p in flat if p not in self._pieces.row))
-        if new:
-            text = " ".join(new).encode("utf-8").decode("latin-1").translate(self._letters)
-            ids = np.asarray(self._bare.encode_batch_fast([text])[0].ids, np.uint32)
-            self._pieces.add(new, ids, np.concatenate([[0], np.flatnonzero(self._ends[ids]) + 1]))
-        ids, bounds = self._pieces.gather(self._pieces.rows(flat))
+        row = {p: i for i, p in enumerate(dict.fromkeys(flat))}
+        text = " ".join(row).encode("utf-8").decode("latin-1").translate(self._letters)
+        ids = np.asarray(self._bare.encode_batch_fast([text])[0].ids, np.uint32)
+        stop = np.flatnonzero(self._ends[ids]) + 1
+        start = np.concatenate([[0], stop[:-1]])
+        at = np.fromiter(map(row.__getitem__, flat), np.int64, len(flat))
+        size = (stop - start)[at]
+        bounds = np.concatenate([[0], np.cumsum(size)])
         last = np.concatenate([[0], ends - np.arange(len(ends))])
-        self._words.add(words, ids, bounds[last])
+        self._words.add(words, ids[np.repeat(start[at] - bounds[:-1], size) + np.arange(bounds[-1])], bounds[last])
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self._words.used > CACHE_IDS:
-            self._words, self._pieces = _Store(), _Store()
+            self._words = _Store()
         rows = self._words.rows(words)
         new = rows < 0
         if new.any():
