@@ -8,7 +8,9 @@ rows for the n-grams of a batch and sums them per text in numpy.
 
 Defined cases: a null text, an empty one or one without letters gives ``und``
 with score 0; equal scores go to the alphabetically first language; rows with
-a null language train nothing; without any training row every text is ``und``.
+a null language train nothing; without any training row every text is ``und``, and an empty table gives no
+rows; repeated rows are scored alike; very long texts are scored in pieces;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from benchtide.llm.common import blocks, code_points
+from benchtide.llm.common import blocks, code_points, free_name
 from benchtide.llm.ngrams import BLOCK_CHARS, char_ngrams, text_pieces
 
 SIZES = (1, 2, 3)
@@ -129,7 +131,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     known = has_letter(F.col(text_col))
     got = identify(F.coalesce(letters(F.col(text_col)), F.lit("")))
-    return (docs.withColumn("_id_result", got)
-            .withColumns({"lang_pred": F.when(known, F.col("_id_result.lang")).otherwise(UNKNOWN),
-                          "score": F.when(known, F.col("_id_result.score")).otherwise(0.0)})
-            .drop("_id_result"))
+    name = free_name(docs, "_id_result")
+    return (docs.withColumn(name, got)
+            .withColumns({"lang_pred": F.when(known, F.col(f"{name}.lang")).otherwise(UNKNOWN),
+                          "score": F.when(known, F.col(f"{name}.score")).otherwise(0.0)})
+            .drop(name))

@@ -11,7 +11,7 @@ level, so that a block's last bins don't stay half empty.
 
 Defined cases: a null or empty text is one piece holding only the end mark;
 repeated rows and repeated or null ids are packed row by row; an empty table
-gives an empty result.
+gives an empty result; other columns of the pieces stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchtide.llm.common import release, stage, text_of
+from benchtide.llm.common import free_name, release, stage, text_of
 from benchtide.llm.tokens import default_path, merged, tokenizer
 
 CAPACITY = 4096
@@ -230,10 +230,13 @@ def _pack_level(pieces: DataFrame, n: int, level: int, capacity: int, seed: int)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 7) -> DataFrame:
-    """``pieces`` (with a ``length`` column) with sequence_id and offset added."""
+    """``pieces`` (with a ``length`` column) with sequence_id and offset added
+    (replacing columns of those names)."""
     spark = pieces.sparkSession
-    pieces = stage(pieces.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
-    todo, left, level, placed = pieces.select("uid", "length"), pieces.count(), 0, []
+    pieces = pieces.drop("sequence_id", "offset")
+    uid = free_name(pieces, "uid")
+    pieces = stage(pieces.withColumn(uid, F.monotonically_increasing_id()), "pack-pieces")
+    todo, left, level, placed = pieces.select(F.col(uid).alias("uid"), "length"), pieces.count(), 0, []
     while left:
         packed = stage(_pack_level(todo, left, level, capacity, seed), "pack-level")
         poor = packed.where(F.col("filled") < WELL_FILLED * capacity)
@@ -247,9 +250,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, seed: int = 7) -> DataFram
         todo, left, level = poor.select("uid", "length"), again, level + 1
     release(spark)
     if not placed:
-        return pieces.drop("uid").withColumns({"sequence_id": F.lit(0).cast("bigint"),
+        return pieces.drop(uid).withColumns({"sequence_id": F.lit(0).cast("bigint"),
                                                "offset": F.lit(0).cast("bigint")})
     where = placed[0]
     for more in placed[1:]:
         where = where.unionByName(more)
-    return pieces.join(where, "uid").drop("uid")
+    return pieces.join(where.withColumnRenamed("uid", uid), uid).drop(uid)

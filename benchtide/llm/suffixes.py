@@ -21,7 +21,8 @@ Ranks are 64-bit hashes, two of which must agree.
 
 Defined cases: a null or empty text has no bytes; texts below ``LENGTH`` bytes
 keep all; null ids come first; rows of one id and text count as one document
-and get the same result, other texts of the same id are ordered by a hash.
+and get the same result, other texts of the same id are ordered by a hash; an empty table gives no rows; other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import BinaryType
 
-from benchtide.llm.common import mix, release, stage, text_of
+from benchtide.llm.common import mix, quoted, release, stage, text_of
 
 LENGTH = 100
 GRAM = 40
@@ -298,12 +299,13 @@ def sort_suffixes(batches):
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)),
-                             "_tie": F.xxhash64(text), "_raw": text.cast("binary")})
+    own = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.select(*own, *(c.alias(name) for name, c in {"_doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(FIRST)),
+                             "_tie": F.xxhash64(text), "_raw": text.cast("binary")}.items()))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lo`` and ``_hi`` (first and last starts of the runs of
+    """The columns of ``docs`` as ``c0``, ``c1``, ... (so that no name clashes) with ``_lo`` and ``_hi`` (first and last starts of the runs of
     repeated strings, null without any), ``_raw``, ``_doc`` and ``_tie``."""
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
@@ -373,11 +375,12 @@ def kept_bytes(raw: pa.Array, lo: pa.Array, hi: pa.Array) -> pa.Array:
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     got = repeats(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    return got.select("doc_id", removal_digest("_raw", "_lo", "_hi").alias("d")).select("doc_id", "d.*")
+    return got.select(F.col("c0").alias("doc_id"), removal_digest("_raw", "_lo", "_hi").alias("d")).select("doc_id", "d.*")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  out_col: str = "kept") -> DataFrame:
     """``docs`` with the remaining bytes of each text in ``out_col``."""
-    got = repeats(docs, id_col, text_col).withColumn(out_col, kept_bytes("_raw", "_lo", "_hi"))
-    return got.select(*[c for c in docs.columns if c != out_col], out_col)
+    return repeats(docs, id_col, text_col).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c != out_col],
+        kept_bytes("_raw", "_lo", "_hi").alias(out_col))

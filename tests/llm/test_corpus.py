@@ -180,8 +180,13 @@ def test_removal_on_odd_rows(docs):
     # "word " repeats with a period of 5: all but the first period and a string
     assert {r.n_removed for r in got if r.doc_id == 4} == {200000 - 5}
     assert suffixes.removal_report(docs([])).count() == 0
-    clash = docs([(1, "x")]).withColumn("lo", F.lit(1))
-    assert suffixes.drop_repeats(clash).columns == clash.columns + ["kept"]
+    names = ["lo", "hi", "doc", "tie", "_doc", "_tie", "_raw", "_lo", "_hi", "c0", "whole", "a.b"]
+    clash = docs([(1, "x"), (2, "z" * 150), (3, "z" * 150)]).withColumns({c: F.lit(c) for c in names})
+    kept = suffixes.drop_repeats(clash)
+    assert kept.columns == clash.columns + ["kept"]
+    rows = sorted(kept.collect())
+    assert [bytes(r.kept) for r in rows] == [b"x", b"z", b""]
+    assert all(r[c] == c for r in rows for c in names)
 
 
 # ------------------------------------------------------------- personal data
@@ -317,6 +322,16 @@ def test_packing_is_gapless_and_near_the_bound(docs, monkeypatch):
     assert packing.pack(packing.cut_documents(docs([]))).count() == 0
 
 
+def test_packing_keeps_columns_of_any_name(docs):
+    names = ["uid", "uid_", "block", "bin", "size", "sequence_id", "offset"]
+    pieces = docs([(i, "a b c") for i in range(5)]).withColumn("length", F.lit(4)).withColumns(
+        {c: F.lit(c) for c in names})
+    out = packing.pack(pieces)
+    assert sorted(out.columns) == sorted(pieces.columns)
+    assert all(r[c] == c for r in out.collect() for c in names[:5])
+    assert sorted(r.offset for r in out.collect()) == [0, 4, 8, 12, 16]
+
+
 def test_crossover_keeps_every_piece_once():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 60, 200)

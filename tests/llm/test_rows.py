@@ -72,6 +72,8 @@ def test_language_model_learns_and_ignores_the_held_out(spark, docs):
     assert got and all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in got)
     odd = {r.doc_id: r for r in langid.predict(docs(ODD + [(9, "12 34 !!")]), model).collect()}
     assert {odd[k].lang_pred for k in (1, 2, 3, 9)} == {"und"} and odd[4].lang_pred in ("aa", "bb")
+    clash = langid.predict(df.withColumn("_id_result", F.lit("own")), model)
+    assert {r["_id_result"] for r in clash.collect()} == {"own"} and "lang_pred" in clash.columns
     none = langid.train(df.where("false"))
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
     assert langid.predict(docs([]), model).count() == 0
