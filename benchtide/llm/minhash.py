@@ -9,7 +9,10 @@ that share a band key are candidates:
    where there is one.
 2. Where a bucket still spans several components, its members outside the
    pivot's component are compared with the others by packed bits, block by
-   block; nothing is left out, however large the bucket.
+   block; nothing is left out, however large the bucket.  Members of such
+   buckets get a second signature of ``FINE`` minima from their full sets, so
+   that unlinked members of a group (copies of one original that differ from
+   each other) are told apart here and not by reading their sets.
 
 In both, pairs whose collision-corrected similarity can't reach the limit go
 (``KEEP_SIGMAS`` standard errors below it), in the second also those that the
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 from benchtide.llm.common import mix, release, stage, text_of, unstage
 from benchtide.llm.components import components
@@ -44,6 +47,8 @@ SHINGLE = 5
 BANDS, ROWS = 42, 6
 HASHES = BANDS * ROWS
 BITS = 4
+# minima of the second signature, of members of buckets that stay open
+FINE = 1024
 SIMILARITY = 85  # per cent, where the caller gives no other limit
 KEEP_SIGMAS = 4.5
 # members of a bucket that one task compares with as many others
@@ -82,16 +87,16 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(mix(h))
 
 
-@lru_cache(1)
-def _family() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _family(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return (rng.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1),
-            rng.integers(0, 1 << 63, HASHES, np.uint64))
+    return (rng.integers(1, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1),
+            rng.integers(0, 1 << 63, hashes, np.uint64))
 
 
-def minima(values: np.ndarray) -> np.ndarray:
-    a, b = _family()
-    low = np.full(HASHES, np.iinfo(np.uint64).max)
+def minima(values: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    a, b = _family(hashes)
+    low = np.full(hashes, np.iinfo(np.uint64).max)
     for i in range(0, len(values), 256):
         low = np.minimum(low, (values[i:i + 256, None] * a + b).min(axis=0))
     return low
@@ -109,25 +114,25 @@ def packed_bits(low: np.ndarray) -> bytes:
     kept = mix(low)
     planes = [np.packbits(((kept >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), bitorder="little")
               for b in range(BITS)]
-    width = -(-HASHES // 64) * 8
+    width = -(-len(low) // 64) * 8
     return b"".join(p.tobytes().ljust(width, b"\0") for p in planes)
 
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def agreeing(a: np.ndarray, b: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Minima whose kept bits agree; a, b: (..., BITS * words) uint64 rows."""
     differ = a ^ b
     words = differ.shape[-1] // BITS
     some = differ[..., :words]
     for k in range(1, BITS):
         some = some | differ[..., k * words:(k + 1) * words]
-    return HASHES - np.bitwise_count(some).sum(axis=-1, dtype=np.int64)
+    return hashes - np.bitwise_count(some).sum(axis=-1, dtype=np.int64)
 
 
-def least_agreeing(similarity: int = SIMILARITY) -> int:
+def least_agreeing(similarity: int = SIMILARITY, hashes: int = HASHES) -> int:
     """Agreeing minima that a pair at the limit has, less the sampling error."""
     chance = 2.0 ** -BITS
     p = chance + (1 - chance) * similarity / 100
-    return int(np.floor(HASHES * p - KEEP_SIGMAS * np.sqrt(HASHES * p * (1 - p))))
+    return int(np.floor(hashes * p - KEEP_SIGMAS * np.sqrt(hashes * p * (1 - p))))
 
 
 def estimated_similarity(agree: np.ndarray) -> np.ndarray:
@@ -174,6 +179,13 @@ def shingles(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(t.as_py()).view(np.int64) for t in texts], pa.list_(pa.int64()))
 
 
+@F.arrow_udf(BinaryType())
+def fine_bits(sets: pa.Array) -> pa.Array:
+    """Packed bits of ``FINE`` minima per set."""
+    return pa.array([packed_bits(minima(s.values.to_numpy(zero_copy_only=False).view(np.uint64), FINE))
+                     for s in sets], pa.binary())
+
+
 def may_link(similarity: int):
     """Whether two classes' packed bits allow the wanted similarity."""
     least = least_agreeing(similarity)
@@ -194,24 +206,27 @@ UNKNOWN = -1.0
 
 def block_pairs(similarity: int):
     """Pairs of one block of a bucket that may link and aren't connected yet.
-    Both sides are lists of (cid, root, out, far, bits, bands).  A pair is left
+    Both sides are lists of (cid, root, out, far, bits, bands, fine).  A pair is left
     to the first bucket it shares; and as Jaccard distance is a metric, a pair
     whose distances to the pivot differ by more than the limit can't link."""
     least, limit = least_agreeing(similarity), 1 - similarity / 100 + 1e-9
+    least_fine = least_agreeing(similarity, FINE)
 
     @F.arrow_udf(from_arrow_type(_PAIRS))
     def pairs_of(bucket: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
         def unpack(x):
             own = x.values
-            bits = np.frombuffer(b"".join(own.field("bits").to_pylist()), np.uint64).reshape(len(own), -1)
+            bits, fine = (np.frombuffer(b"".join(own.field(k).to_pylist()), np.uint64).reshape(len(own), -1)
+                          for k in ("bits", "fine"))
             bands = own.field("bands").flatten().to_numpy().reshape(len(own), BANDS)
-            return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "out", "far")), bits, bands)
+            return (*(own.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "out", "far")),
+                    bits, bands, fine)
 
         out = []
         for h, a, b in zip(bucket.to_pylist(), left, right):
             pairs = []
-            ids, roots, _, far, bits, bands = unpack(a)
-            ids2, roots2, out2, far2, bits2, bands2 = unpack(b)
+            ids, roots, _, far, bits, bands, fine = unpack(a)
+            ids2, roots2, out2, far2, bits2, bands2, fine2 = unpack(b)
             for k in range(len(ids)):
                 may = (roots2 != roots[k]) & (~out2 | (ids2 > ids[k]))
                 if far[k] != UNKNOWN:
@@ -220,6 +235,7 @@ def block_pairs(similarity: int):
                 near = near[agreeing(bits2[near], bits[k]) >= least]
                 common = bands2[near] == bands[k]
                 near = near[bands[k][common.argmax(axis=1)] == h] if len(near) else near
+                near = near[agreeing(fine2[near], fine[k], FINE) >= least_fine]
                 pairs += [{"a": min(i, ids[k]), "b": max(i, ids[k])} for i in ids2[near]]
             out.append(pairs)
         return pa.array(out, _PAIRS)
@@ -290,13 +306,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivot_root = pivots.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")),
                              "pivot", "left").select("h", "pivot", F.coalesce("pivot_root", "pivot").alias("pivot_root"))
     far = stars.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    members = (rooted.join(open_, "h", "left_semi").join(pivot_root, "h").where("cid <> pivot")
+    inside = rooted.join(open_, "h", "left_semi")
+    fine = stage(sets.join(inside.select("cid").distinct(), "cid", "left_semi")
+                 .select("cid", fine_bits("set").alias("fine")), "near-fine")
+    members = (inside.join(pivot_root, "h").where("cid <> pivot")
                .withColumns({"a": F.least("cid", "pivot"), "b": F.greatest("cid", "pivot")})
-               .join(far, ["a", "b"], "left").join(classes.select("cid", "bits", "bands"), "cid")
+               .join(far, ["a", "b"], "left").join(classes.select("cid", "bits", "bands"), "cid").join(fine, "cid")
                .withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
                .withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
                .withColumn("entry", F.struct("cid", "root", (F.col("root") != F.col("pivot_root")).alias("out"),
-                                             F.coalesce("far", F.lit(UNKNOWN)).alias("far"), "bits", "bands")))
+                                             F.coalesce("far", F.lit(UNKNOWN)).alias("far"), "bits", "bands", "fine")))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     left = members.where("entry.out").select("h", F.col("own").alias("l"), others.alias("r"),
                                              F.col("entry").alias("x"), F.lit(None).alias("y"))
