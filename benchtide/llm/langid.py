@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.llm.common import blocks, code_points, free_name
-from benchtide.llm.ngrams import BLOCK_CHARS, char_ngrams, text_pieces
+from benchtide.llm.ngrams import BLOCK_CHARS, char_ngrams, text_char_ngrams
 
 SIZES = (1, 2, 3)
 BITS = 14
@@ -46,9 +46,8 @@ def _ngram_counts(batches):
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             sums = total.setdefault(lang, np.zeros(1 << BITS, np.int64))
-            for cps in text_pieces(text, max(SIZES) - 1):
-                for _, bucket in char_ngrams(cps, SIZES, BITS):
-                    sums += np.bincount(bucket, minlength=1 << BITS)
+            for bucket in text_char_ngrams(text, SIZES, BITS):
+                sums += np.bincount(bucket, minlength=1 << BITS)
     for lang, sums in total.items():
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays(
@@ -67,11 +66,10 @@ class LanguageModel:
         total = np.tile(self.log_prior, (len(texts), 1))
         for lo, hi in blocks(texts, BLOCK_CHARS):
             if hi - lo == 1:
-                for cps in text_pieces(texts[lo], max(SIZES) - 1):
-                    for _, bucket in char_ngrams(cps, SIZES, BITS):
-                        counts = np.bincount(bucket, minlength=1 << BITS)
-                        used = np.flatnonzero(counts)
-                        total[lo] += counts[used] @ self.log_probs[used]
+                for bucket in text_char_ngrams(texts[lo], SIZES, BITS):
+                    counts = np.bincount(bucket, minlength=1 << BITS)
+                    used = np.flatnonzero(counts)
+                    total[lo] += counts[used] @ self.log_probs[used]
                 continue
             lengths = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
             ends = np.cumsum(lengths)

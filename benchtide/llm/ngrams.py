@@ -49,3 +49,39 @@ def text_pieces(text: str, overlap: int):
         return
     for at in range(0, len(cps), BLOCK_CHARS):
         yield cps[at:at + BLOCK_CHARS + overlap]
+
+
+def text_char_ngrams(text: str, sizes: tuple[int, ...], bits: int):
+    """Buckets of the character n-grams of a whole text, piece by piece; each
+    belongs to the piece that it starts in, so that none counts twice."""
+    for cps in text_pieces(text, max(sizes) - 1):
+        for _, bucket in char_ngrams(cps, sizes, bits):
+            yield bucket[:BLOCK_CHARS]
+
+
+def text_word_hashes(text: str):
+    """Hashes of the words of a whole text, piece by piece; a word that a cut
+    divides is put together again (its hash is a sum over its characters)."""
+    open_hash, open_length = np.uint64(0), 0
+    for cps in text_pieces(text, 0):
+        starts, hashes = word_hashes(cps)
+        if not len(starts):
+            if open_length and len(cps):
+                yield np.array([open_hash], np.uint64)
+                open_hash, open_length = np.uint64(0), 0
+            continue
+        if open_length:
+            if starts[0] == 0:
+                power = np.uint64(pow(int(_MULT), open_length, 1 << 64))
+                hashes[:1] = hashes[:1] * power + open_hash
+            else:
+                yield np.array([open_hash], np.uint64)
+        length = len(cps) - int(starts[-1]) + (open_length if len(starts) == 1 and starts[0] == 0 else 0)
+        if cps[-1] == 32 or 9 <= cps[-1] <= 13:
+            open_hash, open_length = np.uint64(0), 0
+        else:
+            open_hash, open_length = hashes[-1], length
+            hashes = hashes[:-1]
+        yield hashes
+    if open_length:
+        yield np.array([open_hash], np.uint64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.llm.common import blocks, code_points, text_of
-from benchtide.llm.ngrams import BLOCK_CHARS, char_ngrams, text_pieces, word_hashes
+from benchtide.llm.ngrams import BLOCK_CHARS, char_ngrams, text_char_ngrams, text_word_hashes, word_hashes
 
 SIZES = (3, 4, 5)
 BITS = 15
@@ -40,10 +40,10 @@ def _word_buckets(hashes: np.ndarray) -> np.ndarray:
 def feature_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of all words and character n-grams of a text."""
     total = np.zeros(1 << BITS, np.int64)
-    for cps in text_pieces(text, max(SIZES) - 1):
-        for _, bucket in char_ngrams(cps, SIZES, BITS):
-            total += np.bincount(bucket, minlength=1 << BITS)
-        total += np.bincount(_word_buckets(word_hashes(cps)[1]), minlength=1 << BITS)
+    for bucket in text_char_ngrams(text, SIZES, BITS):
+        total += np.bincount(bucket, minlength=1 << BITS)
+    for hashes in text_word_hashes(text):
+        total += np.bincount(_word_buckets(hashes), minlength=1 << BITS)
     used = np.flatnonzero(total)
     return used, total[used]
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from benchtide.llm import decontaminate, langid, ngrams, quality, repetition, secrets
-from benchtide.llm.common import held_out
+from benchtide.llm.common import code_points, held_out
 from tests.llm.conftest import ODD
 
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -97,11 +97,23 @@ def test_held_out_is_the_contracts_fold(spark):
 # ------------------------------------------------------------------ quality
 
 def test_word_hashes_split_at_white_space():
-    from benchtide.llm.common import code_points
     starts, hashes = ngrams.word_hashes(code_points("  ab c\tab\n"))
     assert starts.tolist() == [2, 5, 7] and hashes[0] == hashes[2] != hashes[1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \t", max_size=60), st.integers(1, 12))
+def test_pieces_of_a_text_count_what_the_whole_does(text, block):
+    before, ngrams.BLOCK_CHARS = ngrams.BLOCK_CHARS, block
+    try:
+        words = [int(h) for part in ngrams.text_word_hashes(text) for h in part]
+        chars = sorted(int(b) for part in ngrams.text_char_ngrams(text, (1, 3, 5), 15) for b in part)
+    finally:
+        ngrams.BLOCK_CHARS = before
+    assert words == [int(h) for h in ngrams.word_hashes(code_points(text))[1]]
+    assert chars == sorted(int(b) for _, part in ngrams.char_ngrams(code_points(text), (1, 3, 5), 15) for b in part)
+
+
 def test_quality_learns_held_out_accuracy(spark, docs):
     rnd = random.Random(2)
     def text(good):
