@@ -183,6 +183,53 @@ def test_secret_scan_trains_and_keeps_the_rules(spark, docs):
     assert secrets.scan(docs([]), None).count() == 0 and secrets.train(docs([])) is None
 
 
+def test_secret_training_takes_every_finding(spark, docs, monkeypatch):
+    """1,650 distinct findings a class, some of many windows: more than one
+    part's worth, none left out."""
+    rnd = random.Random(6)
+    def draw(letters, n):
+        return "".join(rnd.choices(letters, k=n))
+    long = draw("0123456789abcdef", 24 + 40 * 30)
+    rows = [(i, "\n".join(f"{draw('klmnop', 5)} {draw('0123456789abcdef', 32)} {draw('klmnop', 6)} {draw('ghijklm', 20)}X1"
+                          for _ in range(11))) for i in range(150)] + [(200, long), (201, long), (202, None)]
+    df = docs(rows)
+    got = secrets.labelled_findings(df).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: r.at):
+        whole[r.finding] = whole.get(r.finding, "") + r.piece[r.start:r.end]
+        assert (secrets.windows(r.piece, r.start, r.end).shape == (1, secrets.WINDOW)) and r.end - r.start <= secrets.VALUE
+    plain = {w for _, t in rows if t for w in t.split() if len(w) >= 20}
+    assert len(whole) == 3301 and set(whole.values()) == plain
+    held = {r.finding for r in got if r.held_out}
+    assert held.isdisjoint(r.finding for r in got if not r.held_out) and 600 < len(held) < 1050
+    seen, learn = spark.sparkContext.accumulator(0), secrets.Learner.learn
+    def counted(self, rows, labels, share):
+        seen.add(len(rows))
+        learn(self, rows, labels, share)
+    monkeypatch.setattr(secrets.Learner, "learn", counted)
+    monkeypatch.setattr(secrets, "PART_WINDOWS", 500)
+    scanner = secrets.train(df)
+    assert seen.value == secrets.EPOCHS * 2 * sum(not r.held_out for r in got)
+    assert scanner.recall >= secrets.RECALL
+    values = {k: [r for r in got if r.held_out and r.label == k] for k in (0, 1)}
+    high = {k: [scanner.scores(secrets.windows(r.piece, r.start, r.end))[0] >= scanner.threshold for r in v]
+            for k, v in values.items()}
+    assert np.mean(high[1]) >= 0.97 and np.mean(high[0]) <= 0.03
+
+
+def test_findings_calibrate_like_arrays(spark, docs):
+    rnd = random.Random(8)
+    rows = [(i, f"{''.join(rnd.choices('abcdef0123456789', k=30))} or {''.join(rnd.choices('ghij', k=20))}Z9") for i in range(200)]
+    net = secrets.Network.fresh(np.random.default_rng(2))
+    pieces = secrets.labelled_findings(docs(rows))
+    got = secrets.calibrate_findings(net, pieces)
+    plain = pieces.collect()
+    labels = np.array([float(r.label) for r in plain])
+    want = secrets.calibrate(net, np.concatenate([secrets.windows(r.piece, r.start, r.end) for r in plain]), labels)
+    assert np.allclose([got.slope, got.shift, got.threshold, got.recall],
+                       [want.slope, want.shift, want.threshold, want.recall], rtol=1e-3)
+
+
 def test_network_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = secrets.Network.fresh(rng)
