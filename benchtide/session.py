@@ -37,7 +37,12 @@ STATE_STORE_PROVIDER = (
 )
 
 
+# what opening a file counts for when files are dealt to tasks: Spark's 4 MB
+# make a task of every 32 small files, this one of about 2,000
+OPEN_COST, SMALL_OPEN_COST = "spark.sql.files.openCostInBytes", 64 << 10
+
 _SHIPPED: set[str] = set()
+_OPEN_COST: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -70,10 +75,20 @@ def configure(spark: SparkSession) -> SparkSession:
     package to the Python workers."""
     for key, value in SQL_CONF.items():
         spark.conf.set(key, value)
+    own = _OPEN_COST.pop(spark.sparkContext.applicationId, None)
+    if own is not None:
+        spark.conf.set(OPEN_COST, own)
     ship_package(spark)
     return spark
 
 
+def many_files(spark: SparkSession) -> None:
+    """For folders of many small files: many of them to a task, in the scans
+    that run until the next ``configure``, which puts the old setting back."""
+    _OPEN_COST.setdefault(spark.sparkContext.applicationId, spark.conf.get(OPEN_COST))
+    spark.conf.set(OPEN_COST, str(SMALL_OPEN_COST))
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "benchtide", extra: dict | None = None) -> SparkSession:
     """Local session for tests and benchmarks (UI off, RocksDB state store)."""

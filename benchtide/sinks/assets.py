@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benchtide.session import many_files
+
 
 def changed_assets(shipped: DataFrame, current: DataFrame, name: str = "name",
                    content: str = "content") -> DataFrame:
@@ -38,6 +40,7 @@ def write_files(files: DataFrame, folder: str, name: str = "name", content: str
 
         system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") \
             else (fs.LocalFileSystem(), folder)
+        made = set()
         for batch in batches:
             names, sizes = [], []
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -50,7 +53,9 @@ def write_files(files: DataFrame, folder: str, name: str = "name", content: str
                 if not len(body) and system.get_file_info(target).size == 0:
                     continue
                 draft = posixpath.join(posixpath.dirname(target), f".{parts[-1]}.{uuid.uuid4().hex}")
-                system.create_dir(posixpath.dirname(target), recursive=True)
+                if posixpath.dirname(target) not in made:
+                    system.create_dir(posixpath.dirname(target), recursive=True)
+                    made.add(posixpath.dirname(target))
                 with system.open_output_stream(draft) as out:
                     out.write(body)
                 system.move(draft, target)
@@ -63,8 +68,14 @@ def write_files(files: DataFrame, folder: str, name: str = "name", content: str
     return rows.mapInArrow(write, "name string, bytes bigint")
 
 
+def make_folder(spark, folder: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+
+
 def folder_files(spark, folder: str, glob: str = "*") -> DataFrame:
     """The files below ``folder`` as (name, content); drafts are left out."""
+    many_files(spark)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(folder))
     root = folder.split(":", 1)[-1].rstrip("/").replace("//", "/")
@@ -76,9 +87,7 @@ def sync_assets(shipped: DataFrame, folder: str, name: str = "name", content: st
     """B-5 whole: make every shipped asset stand in ``folder`` as it was
     shipped, copying those that are new there or changed; how many."""
     spark = shipped.sparkSession
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)
+    make_folder(spark, folder)
     changes = changed_assets(shipped, folder_files(spark, folder), name, content)
     todo = shipped.join(changes.select(F.col("name").alias(name)), name, "left_semi")
     return write_files(todo, folder, name, content).count()

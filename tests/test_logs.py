@@ -1,14 +1,18 @@
 """Logs in pieces, log files in byte ranges, assets copied into place."""
 
+import gzip
 import random
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from benchtide import registry
 from benchtide.functions.codec import b64_encode
 from benchtide.operators import logs
+from benchtide.session import configure
 from benchtide.sinks.assets import folder_files, sync_assets, write_files
+from benchtide.sources import files
 from benchtide.sources.files import read_log_lines
 
 DETAILS = "id string, buildDetails array<struct<type:string,detailCompression:string,detailEncoding:string,detail:string>>"
@@ -90,6 +94,14 @@ def test_a_large_log_file_is_read_by_many_tasks(spark, tmp_path):
     assert {(r.phase, r.stream) for r in got} == {("build", "stdout"), ("benchmark", "stderr")}
 
 
+def test_folder_files_reads_many_small_files_in_a_task(spark, tmp_path):
+    for i in range(900):
+        (tmp_path / f"{i}.txt").write_text(str(i))
+    got = folder_files(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+    assert {r.name: bytes(r.content) for r in got.collect()} == {f"{i}.txt": str(i).encode() for i in range(900)}
+
+
 def test_sync_copies_what_changed_and_nothing_twice(spark, tmp_path):
     folder = str(tmp_path / "target")
     shipped = spark.createDataFrame([("a.html", bytearray(b"1")), ("js/b.js", bytearray(b"2" * 100000)), ("c", None)],
