@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from benchtide.functions.times import CHART_DATE_FORMAT, CSV_DATE_FORMAT
 from benchtide.operators.logs import parse_log_name
 from benchtide.schemas import BENCHMARK_RESULT, CHART_POINT
+from benchtide.session import many_files
 
 
 def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A-1: one request body per file, as ``body`` with its ``source`` path."""
     reader = spark.readStream if stream else spark.read
+    if not stream:
+        many_files(spark)
     df = reader.text(path, wholetext=True)
     return df.select(F.col("value").alias("body"),
                      F.col("_metadata.file_path").alias("source"))

@@ -102,6 +102,19 @@ def test_folder_files_reads_many_small_files_in_a_task(spark, tmp_path):
     assert {r.name: bytes(r.content) for r in got.collect()} == {f"{i}.txt": str(i).encode() for i in range(900)}
 
 
+def test_payload_files_are_written_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"s{i}") for i in range(1, 400)] + [(400, None)]
+    supplier = spark.createDataFrame(rows, "s_suppkey bigint, s_name string").coalesce(1)
+    supplier.write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r.s_suppkey: r for r in registry.q_payload_files(spark, str(tmp_path)).collect()}
+    assert len(got) == 400 and got[400].n_chars == 0
+    assert [got[i].verdict for i in (4, 5, 6)] == ["OK", "INVALID_JSON", "INVALID_PAYLOAD"] and got[4].ref == "s4"
+    supplier.limit(0).write.parquet(str(tmp_path / "none" / "supplier.parquet"))
+    assert registry.q_payload_files(spark, str(tmp_path / "none")).count() == 0
+    tasks = registry.payload_bodies(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count()
+    assert tasks.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_sync_copies_what_changed_and_nothing_twice(spark, tmp_path):
     folder = str(tmp_path / "target")
     shipped = spark.createDataFrame([("a.html", bytearray(b"1")), ("js/b.js", bytearray(b"2" * 100000)), ("c", None)],
