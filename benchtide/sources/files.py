@@ -14,6 +14,12 @@ from benchtide.operators.logs import parse_log_name
 from benchtide.schemas import BENCHMARK_RESULT, CHART_POINT
 from benchtide.session import many_files
 
+# log files up to this size are read whole, many by a task
+WHOLE_FILE = 4 << 20
+# what Spark's text reader unpacks (the reader of whole files does not)
+_PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst)$"
+_LATIN = "ISO-8859-1"  # one character a byte: any bytes come back as they were
+
 
 def read_payloads(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """A-1: one request body per file, as ``body`` with its ``source`` path."""
@@ -70,6 +76,7 @@ def read_chart_points(spark: SparkSession, path: str) -> DataFrame:
 def read_log_files(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
     """A-5: log files as bytes with build id, phase, stream and start stamp
     taken from the name; missing or empty files are skipped."""
+    many_files(spark)
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", True).load(path))
     df = df.filter(F.col("length") > 0)
@@ -79,16 +86,52 @@ def read_log_files(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
 
 def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
     """A-5 for log files of any size: one row per line, numbered from 1 in its
-    file, with what the file's name tells.  A large file is cut into many byte
-    ranges (``spark.sql.files.maxPartitionBytes``), each read by its own task;
-    a line's number is its place in its range plus the lines of the ranges
-    before, one small row per range.  Lines end at a newline, also where the
-    file does not; empty files give no rows, files that vanish are passed over."""
-    lines = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-             .option("ignoreMissingFiles", True).option("lineSep", "\n").text(path)
-             .select(F.col("_metadata.file_path").alias("path"),
-                     F.col("_metadata.file_block_start").alias("_start"),
-                     F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line")))
+    file, with what the file's name tells.  Files up to ``WHOLE_FILE`` are read
+    whole, many by a task, and numbered where they are read.  A larger (or
+    packed) file is cut into byte ranges (``spark.sql.files.maxPartitionBytes``),
+    each read by its own task; a line's number is its place in its range plus
+    the lines of the ranges before, one small row per range.  Lines end at a
+    newline, also where the file does not; a byte order mark is no text; empty
+    files give no rows, files that vanish are passed over."""
+    many_files(spark)
+
+    def reader():
+        return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+                .option("ignoreMissingFiles", True))
+
+    range_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    whole = ((F.col("_metadata.file_size") <= min(WHOLE_FILE, range_bytes))
+             & ~F.col("_metadata.file_path").rlike(_PACKED))
+    files = reader().format("binaryFile").load(path)
+    lines = _whole_lines(files.where(whole))
+    # only the sizes of the listed files are looked at
+    if files.where(~whole).select("path").limit(1).collect():
+        lines = lines.unionByName(_range_lines(reader().option("lineSep", "\n").text(path).where(~whole)))
+    return lines
+
+
+def _whole_lines(files: DataFrame) -> DataFrame:
+    """The lines of files read whole; names are parsed once a file."""
+    mark = F.lit(b"\xef\xbb\xbf")
+    content = F.when(F.startswith("content", mark), F.expr("substring(content, 4)")).otherwise(F.col("content"))
+    parts = files.select(F.col("_metadata.file_path").alias("path"),
+                         F.split(F.decode(content, _LATIN), "\n", -1).alias("parts"))
+    cols = parse_log_name("path")
+    names = [c.alias(n) for n, c in cols.items()]
+    # after the last newline there is no line
+    parts = parts.select("path", *names, F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1))
+                         .otherwise(F.col("parts")).alias("parts"))
+    return parts.select("path", *cols, F.posexplode("parts").alias("at", "line")).select(
+        "path", *cols, (F.col("at").cast("bigint") + 1).alias("line_no"),
+        F.encode("line", _LATIN).cast("string").alias("line"))
+
+
+def _range_lines(text: DataFrame) -> DataFrame:
+    """The lines of files read in byte ranges."""
+    lines = text.select(F.col("_metadata.file_path").alias("path"),
+                        F.col("_metadata.file_block_start").alias("_start"),
+                        F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
     ranges = lines.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

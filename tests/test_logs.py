@@ -94,6 +94,31 @@ def test_a_large_log_file_is_read_by_many_tasks(spark, tmp_path):
     assert {(r.phase, r.stream) for r in got} == {("build", "stdout"), ("benchmark", "stderr")}
 
 
+def test_small_log_files_are_read_whole_and_once(spark, tmp_path, monkeypatch):
+    """The same rows whole and in ranges, of any bytes; whole files need no
+    shuffle, and a task reads many of them."""
+    bodies = [b"one\r\ntwo\n", b"no end", b"\n", b"\n\na\n\n", b"", b"\xef\xbb\xbfmarked\nb", b"\xef\xbb\xbf",
+              b"bad \xff\xfe bytes\n\xc3", "é 漢字 \U0001f600\n\x00\u2028x\x85y".encode(), b"\xef\xbb\xbf\nz"]
+    (tmp_path / "deep").mkdir()
+    for i in range(600):
+        (tmp_path / ("deep" if i % 2 else ".") / f"b{i}.build.stdout.20240102030405.log").write_bytes(bodies[i % len(bodies)])
+    (tmp_path / "z.build.stdout.20240102030405.log.gz").write_bytes(gzip.compress(b"packed\nlines\n"))
+
+    def rows(glob):
+        df = read_log_lines(spark, str(tmp_path), glob)
+        return df, sorted(map(tuple, df.withColumn("line", F.col("line").cast("binary")).collect()))
+
+    df, whole = rows("*.log")
+    assert df.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    both = rows("*")[1]
+    assert {bytes(r[-1]) for r in both} - {bytes(r[-1]) for r in whole} == {b"packed", b"lines"}
+    monkeypatch.setattr(files, "WHOLE_FILE", -1)
+    assert rows("*.log")[1] == whole and rows("*")[1] == both and len(whole) == 60 * 16
+    configure(spark)
+    assert "65536" not in spark.conf.get("spark.sql.files.openCostInBytes")
+
+
 def test_folder_files_reads_many_small_files_in_a_task(spark, tmp_path):
     for i in range(900):
         (tmp_path / f"{i}.txt").write_text(str(i))
