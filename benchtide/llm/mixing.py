@@ -69,7 +69,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
     levels = stage(levels.withColumn("_capped", capped), "mix-capped")
     full = levels.where("_capped").agg(F.coalesce(F.sum("_cap"), F.lit(0)).alias("cap"),
                                        F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
-    share = ((F.col("_w") * F.lit(whole["size"] - full["cap"])).cast("double")
+    # the rest as a long: a literal below 2^31 is an int, and times the weight it passes that
+    share = ((F.col("_w") * F.lit(whole["size"] - full["cap"]).cast("bigint")).cast("double")
              / F.lit(float(whole["w"] - full["w"])))
     return levels.select("source", "source_size", F.when(
         F.col("_capped"), F.col("_cap").cast("double")).otherwise(share).alias("target"))

@@ -261,6 +261,15 @@ def test_mix_meets_the_targets(spark, sources):
         assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_report(df.repartition(3)).collect()))
 
 
+@pytest.mark.parametrize("scale", [100_000_000, 3_000_000_000])
+def test_targets_of_more_words_than_an_int_holds(spark, scale):
+    """The words still to share, times a weight, pass 2^31 (the first case) or do so alone."""
+    sizes = {"a": 7 * scale + 1, "b": scale, "c": 3 * scale, None: 2 * scale, "tiny": 5}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    assert got == pytest.approx(water_fill(sizes), rel=1e-12)
+
+
 def test_mixed_texts_hold_the_taken_words(spark):
     rows = mixed_rows(random.Random(4), 300, ["a", "b", "c", "c", "c"]) + [(999, "  lead\tand  trail \n" * 50, "a")]
     mixed = mixing.mix(mixing.sized(spark.createDataFrame(rows, DOCS)))
