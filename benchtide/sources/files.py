@@ -13,6 +13,7 @@ from benchtide.functions.times import CHART_DATE_FORMAT, CSV_DATE_FORMAT
 from benchtide.operators.logs import parse_log_name
 from benchtide.schemas import BENCHMARK_RESULT, CHART_POINT
 from benchtide.session import many_files
+from benchtide.sources.folders import list_files, qualified, read_files
 
 # log files up to this size are read whole, many by a task
 WHOLE_FILE = 4 << 20
@@ -92,7 +93,10 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
     each read by its own task; a line's number is its place in its range plus
     the lines of the ranges before, one small row per range.  Lines end at a
     newline, also where the file does not; a byte order mark is no text; empty
-    files give no rows, files that vanish are passed over."""
+    files give no rows, files that vanish are passed over.  The files of a folder
+    are listed and read by the tasks (see ``folders``; larger and packed ones by
+    Spark's text reader), those of a pattern, or of a file system that pyarrow
+    does not open, by Spark, which holds their list on the driver."""
     many_files(spark)
 
     def reader():
@@ -101,10 +105,23 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
 
     range_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    whole = ((F.col("_metadata.file_size") <= min(WHOLE_FILE, range_bytes))
+    limit = min(WHOLE_FILE, range_bytes)
+    root = qualified(spark, path)
+    if root is not None:
+        listed = list_files(spark, root, glob)
+        whole = (F.col("size") <= limit) & ~F.col("name").rlike(_PACKED)
+        lines = _whole_lines(read_files(spark, listed.where(whole), root, missing=True))
+        # these names alone come to the driver, as their ranges would
+        large = [f"{root.rstrip('/')}/{r.name}" for r in listed.where(~whole).select("name").collect()]
+        if large:
+            # the paths are names, no patterns
+            text = reader().option("__globPaths__", "false").option("lineSep", "\n").text(large)
+            lines = lines.unionByName(_range_lines(text))
+        return lines
+    whole = ((F.col("_metadata.file_size") <= limit)
              & ~F.col("_metadata.file_path").rlike(_PACKED))
     files = reader().format("binaryFile").load(path)
-    lines = _whole_lines(files.where(whole))
+    lines = _whole_lines(files.where(whole).select(F.col("_metadata.file_path").alias("path"), "content"))
     # only the sizes of the listed files are looked at
     if files.where(~whole).select("path").limit(1).collect():
         lines = lines.unionByName(_range_lines(reader().option("lineSep", "\n").text(path).where(~whole)))
@@ -112,11 +129,10 @@ def read_log_lines(spark: SparkSession, path: str, glob: str = "*.log") -> DataF
 
 
 def _whole_lines(files: DataFrame) -> DataFrame:
-    """The lines of files read whole; names are parsed once a file."""
+    """The lines of files read whole, (path, content); names are parsed once a file."""
     mark = F.lit(b"\xef\xbb\xbf")
     content = F.when(F.startswith("content", mark), F.expr("substring(content, 4)")).otherwise(F.col("content"))
-    parts = files.select(F.col("_metadata.file_path").alias("path"),
-                         F.split(F.decode(content, _LATIN), "\n", -1).alias("parts"))
+    parts = files.select("path", F.split(F.decode(content, _LATIN), "\n", -1).alias("parts"))
     cols = parse_log_name("path")
     names = [c.alias(n) for n, c in cols.items()]
     # after the last newline there is no line
