@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchtide.session import many_files
+from benchtide.sources.folders import list_files, qualified, read_files
 
 
 def changed_assets(shipped: DataFrame, current: DataFrame, name: str = "name",
@@ -74,7 +75,12 @@ def make_folder(spark, folder: str) -> None:
 
 
 def folder_files(spark, folder: str, glob: str = "*") -> DataFrame:
-    """The files below ``folder`` as (name, content); drafts are left out."""
+    """The files below ``folder`` as (name, content); drafts are left out.  The
+    tasks list and read them (see ``sources.folders``); on a file system that
+    pyarrow does not open, Spark lists them on the driver."""
+    target = qualified(spark, folder)
+    if target is not None:
+        return read_files(spark, list_files(spark, target, glob), target).select("name", "content")
     many_files(spark)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
              .option("pathGlobFilter", glob).load(folder))

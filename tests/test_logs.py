@@ -11,6 +11,7 @@ from benchtide import registry
 from benchtide.functions.codec import b64_encode
 from benchtide.operators import logs
 from benchtide.session import configure
+from benchtide.sinks import assets
 from benchtide.sinks.assets import folder_files, sync_assets, write_files
 from benchtide.sources import files
 from benchtide.sources.files import read_log_lines
@@ -127,6 +128,76 @@ def test_folder_files_reads_many_small_files_in_a_task(spark, tmp_path):
     assert {r.name: bytes(r.content) for r in got.collect()} == {f"{i}.txt": str(i).encode() for i in range(900)}
 
 
+ODD_NAMES = ["a b", "50%", "50%25", "x#1", "q?", "[b]", "{c,d}", "k=v", "_k=v", "é漢", "a\u00a0b", "p+q;r,s@u!", "~'()*&$",
+             "q\"<>^`|\\", "_passed over", ".passed over", "in.COPYING_", "in._COPYING_", "line\nend"]
+
+
+def by_tasks_and_by_spark(monkeypatch, read):
+    """The rows that ``read`` gives when tasks list the files, and when Spark does."""
+    rows = [sorted(map(tuple, read().collect()))]
+    with monkeypatch.context() as m:
+        m.setattr(files, "qualified", lambda *_: None)
+        m.setattr(assets, "qualified", lambda *_: None)
+        rows.append(sorted(map(tuple, read().collect())))
+    return rows
+
+
+@pytest.mark.parametrize("glob", ["*.log", "*", "[!a]*.{log,txt}", "b?.*"])
+def test_files_listed_by_tasks_are_those_that_spark_lists(spark, tmp_path, monkeypatch, glob):
+    root = tmp_path / "the 100% root"
+    for i, name in enumerate(ODD_NAMES):
+        for folder in (".", "one/two/three/four", name):
+            (root / folder).mkdir(parents=True, exist_ok=True)
+            (root / folder / f"{name}.build.stdout.20240102030405.log").write_text(f"{i}\n{folder}")
+    for name in ("_metadata/b1.log", "_metadata.log", "b2.txt", "empty.log", "b3.log/inside.log"):
+        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).write_text("" if name == "empty.log" else name)
+    (root / "b4.log").symlink_to(root / "b2.txt")
+    (root / "nothing inside").mkdir()
+
+    def lines():
+        return read_log_lines(spark, str(root), glob).withColumn("started", F.col("started").cast("string"))
+
+    for whole_file in (files.WHOLE_FILE, 30):
+        monkeypatch.setattr(files, "WHOLE_FILE", whole_file)
+        got, want = by_tasks_and_by_spark(monkeypatch, lines)
+        assert got == want and got
+    got, want = by_tasks_and_by_spark(monkeypatch, lambda: folder_files(spark, f"file:{root}/", glob))
+    assert got == want and got
+
+
+def test_the_driver_lists_no_files(spark, tmp_path, monkeypatch):
+    """Spark's readers of files hold every file on the driver, so none is made;
+    what came to the driver of 3,000 files is the sum of their sizes."""
+    for i in range(3000):
+        (tmp_path / f"{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"{i % 7}" / f"{i}.build.stdout.20240102030405.log").write_text(f"{i}\n")
+
+    def leaves(df):
+        return df._jdf.queryExecution().analyzed().collectLeaves().toString()
+
+    lines, held = read_log_lines(spark, str(tmp_path)), folder_files(spark, str(tmp_path))
+    for df in (lines, held):
+        assert "LogicalRDD" in leaves(df) and "Relation [" not in leaves(df)
+        assert df.inputFiles() == []
+    assert lines.count() == held.count() == 3000
+    with monkeypatch.context() as m:
+        m.setattr(assets, "qualified", lambda *_: None)
+        assert len(folder_files(spark, str(tmp_path)).inputFiles()) == 3000
+
+
+def test_files_that_go_between_listing_and_reading(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.build.stdout.20240102030405.log").write_text("a")
+    lines, held = read_log_lines(spark, str(tmp_path)), folder_files(spark, str(tmp_path))
+    (tmp_path / "3.build.stdout.20240102030405.log").unlink()
+    assert lines.count() == 4
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        held.collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        folder_files(spark, str(tmp_path / "none"))
+
+
 def test_payload_files_are_written_by_many_tasks(spark, tmp_path):
     rows = [(i, f"s{i}") for i in range(1, 400)] + [(400, None)]
     supplier = spark.createDataFrame(rows, "s_suppkey bigint, s_name string").coalesce(1)
